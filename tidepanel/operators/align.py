@@ -184,7 +184,7 @@ def split_adjust(df: DataFrame, splits: DataFrame) -> DataFrame:
     marked = df.join(splits.select("asset", F.col("split_date").alias("date"), F.lit(True).alias("__s")), ["asset", "date"], "left")
     factor = F.when(F.col("__s"), F.col("price") / F.lag("price").over(w))
     marked = marked.withColumn("__f", factor)
-    later = F.product(F.coalesce("__f", F.lit(1.0))).over(w.rowsBetween(1, 2**31))
+    later = F.product(F.coalesce("__f", F.lit(1.0))).over(w.rowsBetween(1, Window.unboundedFollowing))
     return marked.withColumn("factor", F.coalesce(later, F.lit(1.0))).withColumn(
         "adjusted", F.col("price") * F.col("factor")
     ).drop("__s", "__f")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import (
@@ -81,7 +81,7 @@ def ema(df: DataFrame, col: str, span: int, out: str, chunk: int = EMA_CHUNK) ->
     scaled = F.sum(F.col(col) * alpha * F.pow(F.lit(q), -F.col(tmp["k"]))).over(local)
     step = step.withColumn(tmp["y"], F.pow(F.lit(q), F.col(tmp["k"])) * scaled)
     ends = F.collect_list(F.when(F.col(tmp["k"]) == chunk - 1, F.col(tmp["y"])))
-    before = w.rowsBetween(-(2**31), -1)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     step = step.withColumn(tmp["ends"], ends.over(before))
     carry = F.aggregate(F.col(tmp["ends"]), F.col(tmp["x0"]), lambda acc, e: e + F.lit(q**chunk) * acc)
     return step.withColumn(

@@ -56,7 +56,6 @@ def interpolate_table(df: DataFrame, anchors: DataFrame, log: bool = False, out:
     tagged = df.select("date").distinct().withColumn("v", F.lit(None).cast("double"))
     pts = anchors.select("date", F.col("level").alias("v"))
     rows = tagged.unionByName(pts).withColumn("__a", F.when(F.col("v").isNotNull(), F.struct("date", "v")))
-    w = Window.orderBy("date", F.col("v").asc_nulls_last())
     prev = F.last("__a", ignorenulls=True).over(Window.orderBy("date").rangeBetween(Window.unboundedPreceding, 0))
     nxt = F.first("__a", ignorenulls=True).over(Window.orderBy("date").rangeBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"__p": prev, "__n": nxt}).filter("v IS NULL")
