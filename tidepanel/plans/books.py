@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.functions.draws import uniform_sql
 from tidepanel.functions.expr import rnd
 from tidepanel.operators import align as A
 from tidepanel.operators import backtest as B
@@ -111,15 +112,16 @@ def opt_01(spark, sf):
     return point(cloud(spark, sf))
 
 
-@query("opt_01b_dirichlet_cloud")
+LIMITS = " AND ".join(f"w{i} >= {K.BOUNDS[a][0]} - 1e-9 AND w{i} <= {K.BOUNDS[a][1]} + 1e-9" for i, a in enumerate(ASSETS)) + f" AND w0 + w1 <= {K.GROUP_CAP} + 1e-9"
+DIRICHLET = "dx AS (SELECT " + ", ".join(f"-ln({uniform_sql('p', str(i), '7')}) AS e{i}" for i in range(NP)) + " FROM range(1, 25001) t(p)), lat AS (SELECT " + _each("e{i} / (e0 + e1 + e2 + e3 + e4) AS w{i}") + " FROM dx)"
+
+
+@query("opt_01b_dirichlet_cloud", ctes(RETS, ALL, cma_sql("src"), DIRICHLET, score_sql("cma", "CROSS JOIN lat")) + f"SELECT book, {POINT} FROM scored WHERE {LIMITS}")
 def opt_01b(spark, sf):
     df = S.score(S.dirichlet(cma(spark, sf), NP, 25_000), NP, RF)
     return point(S.within(df, ASSETS, K.BOUNDS, 1.0, P.EQUITY, K.GROUP_CAP))
 
 
-LIMITS = " AND ".join(f"w{i} >= {K.BOUNDS[a][0]} - 1e-9 AND w{i} <= {K.BOUNDS[a][1]} + 1e-9" for i, a in enumerate(ASSETS)) + f" AND w0 + w1 <= {K.GROUP_CAP} + 1e-9"
-
-
 @query("opt_02_bounds_and_group_cap", ctes(*SEARCH) + f"SELECT book, {POINT} FROM scored WHERE {LIMITS}")
 def opt_02(spark, sf):
     return point(S.within(cloud(spark, sf), ASSETS, K.BOUNDS, 1.0, P.EQUITY, K.GROUP_CAP))
