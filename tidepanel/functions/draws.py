@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODULUS = 2147483647  # 2^31 - 1
@@ -16,15 +16,19 @@ MULTIPLIERS = (48271, 69621, 16807, 39373)
 ROUNDS = ((40692, 1), (630360016, 7), (742938285, 11))
 
 
-def mix(*ids: Column | int) -> Column:
-    """Hash of up to four ids in [0, 2^31 - 1); squaring keeps 64-bit range."""
+def _seeded(*ids: Column | int) -> Column:
     h = F.lit(0).cast("long")
     for k, x in zip(MULTIPLIERS, ids):
         x = F.lit(x) if isinstance(x, int) else x
         h = h + x.cast("long") * F.lit(k).cast("long")
-    h = h % MODULUS
+    return h % MODULUS
+
+
+def mix(*ids: Column | int) -> Column:
+    """Hash of up to four ids in [0, 2^31 - 1); squaring keeps 64-bit range."""
+    h = _seeded(*ids)
     for a, b in ROUNDS:
-        h = (h * h + h * F.lit(a).cast("long") + b) % MODULUS
+        h = (h * (h + F.lit(a).cast("long")) + b) % MODULUS
     return h
 
 
@@ -33,10 +37,28 @@ def uniform(*ids: Column | int) -> Column:
     return (mix(*ids) + 0.5) / float(MODULUS)
 
 
-def normal(*ids: Column | int) -> Column:
-    """Standard normal by Box-Muller; the last id must leave room for its successor."""
-    *rest, last = ids
-    u, v = uniform(*rest, last), uniform(*rest, last + 1)
+def with_uniforms(df: DataFrame, draws: dict[str, tuple[Column | int, ...]]) -> DataFrame:
+    """Add several uniform columns at once.
+
+    Each mixing round is its own one-row ``inline``: the optimiser does not push
+    filters or inline projections through a generator, so a round's result is
+    computed once instead of being copied into every later use.
+    """
+    start = {n: _seeded(*ids) for n, ids in draws.items()}
+    df = _fixed(df, start)
+    for a, b in ROUNDS:
+        step = {n: (F.col(n) * (F.col(n) + F.lit(a).cast("long")) + b) % MODULUS for n in draws}
+        df = _fixed(df, step)
+    return _fixed(df, {n: (F.col(n) + 0.5) / float(MODULUS) for n in draws})
+
+
+def _fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    kept = [F.col(n) for n in df.columns if n not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))))
+
+
+def box_muller(u: Column, v: Column) -> Column:
+    """Standard normal from two uniforms."""
     return F.sqrt(-2.0 * F.log(u)) * F.cos(v * (2.0 * math.pi))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.draws import mix, normal, uniform
+from tidepanel.functions.draws import box_muller, mix, with_uniforms
 from tidepanel.functions.expr import AF
 from tidepanel.operators.portfolio import small_side
 
@@ -54,12 +54,14 @@ def parametric_paths(books: DataFrame, paths: int = PATHS, horizon: int = HORIZO
     """
     x = _path_rows(books.select("book", F.col("ret").alias("m"), F.col("vol").alias("s")), paths)
     x = x.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
-    day, path = F.col("day"), F.col("path")
-    z = normal(path, day, seed, F.lit(1))
-    if df is not None:
-        if df <= 2 or df % 2:
-            raise ValueError("df must be an even number above 2")
-        chi2 = -2.0 * sum((F.log(uniform(path, day, seed, 10 + k)) for k in range(1, df // 2)), F.log(uniform(path, day, seed, 10)))
+    if df is not None and (df <= 2 or df % 2):
+        raise ValueError("df must be an even number above 2")
+    half = 0 if df is None else df // 2
+    ids = F.col("path"), F.col("day"), seed
+    x = with_uniforms(x, {f"u{k}": (*ids, k) for k in (1, 2, *range(10, 10 + half))})
+    z = box_muller(F.col("u1"), F.col("u2"))
+    if half:
+        chi2 = -2.0 * sum((F.log(F.col(f"u{10 + k}")) for k in range(1, half)), F.log(F.col("u10")))
         z = z * F.sqrt(F.lit(float(df - 2)) / F.greatest(chi2, F.lit(1e-12)))
     r = F.col("m") / AF + F.col("s") / F.sqrt(F.lit(float(AF))) * z
     return x.select("book", "path", "day", r.alias("ret"))

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.draws import uniform
+from tidepanel.functions.draws import with_uniforms
 
 EPS = 1e-12
 MAX_UNROLLED = 12
@@ -37,10 +37,11 @@ def lattice(cma: DataFrame, p: int, steps: int) -> DataFrame:
 def dirichlet(cma: DataFrame, p: int, n: int, seed: int = 7) -> DataFrame:
     """``n`` uniform random mixes per book: normalised exponentials."""
     df = cma.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).repartition("book", "draw")
-    raw = df.withColumns({f"e{i}": -F.log(uniform(F.col("draw"), i, seed)) for i in range(p)})
-    total = sum((F.col(f"e{i}") for i in range(1, p)), F.col("e0"))
-    out = raw.withColumn("__t", total).withColumns({f"w{i}": F.col(f"e{i}") / F.col("__t") for i in range(p)})
-    return out.drop("__t", "draw", *[f"e{i}" for i in range(p)])
+    raw = with_uniforms(df, {f"e{i}": (F.col("draw"), i, seed) for i in range(p)})
+    exp = [-F.log(F.col(f"e{i}")) for i in range(p)]
+    total = sum(exp[1:], exp[0])
+    mix = F.inline(F.array(F.struct(*[(e / total).alias(f"w{i}") for i, e in enumerate(exp)])))
+    return raw.select(*[n for n in cma.columns], mix)
 
 
 def weights(p: int) -> list[Column]:
