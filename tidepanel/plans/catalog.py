@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import alignment, books, decisions, learning, statistics, windows  # noqa: F401
+from tidepanel.plans import alignment, books, completion, decisions, learning, statistics, streams, windows  # noqa: F401
 from tidepanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
