@@ -47,7 +47,7 @@ def wide(df: DataFrame, assets: Sequence[str], value: str = "ret", keys: Sequenc
     discover pivot values.
     """
     cells = [F.max(F.when(F.col("asset") == a, F.col(value))).alias(f"a{i}") for i, a in enumerate(assets)]
-    return df.groupBy(*keys, "date").agg(*cells)
+    return df.filter(F.col("asset").isin(*assets)).groupBy(*keys, "date").agg(*cells)
 
 
 def union_calendar(df: DataFrame, assets: Sequence[str], value: str = "ret") -> DataFrame:
@@ -56,7 +56,7 @@ def union_calendar(df: DataFrame, assets: Sequence[str], value: str = "ret") ->
     Each date row carries its own values in a map and fans out over the asset list:
     the same result as dates x assets LEFT JOIN values, without the product or join.
     """
-    by_date = df.groupBy("date").agg(
+    by_date = df.filter(F.col("asset").isin(*assets)).groupBy("date").agg(
         F.map_from_entries(F.collect_list(F.struct("asset", value))).alias("m")
     )
     fan = F.explode(F.array(*[F.lit(a) for a in assets])).alias("asset")
@@ -64,9 +64,17 @@ def union_calendar(df: DataFrame, assets: Sequence[str], value: str = "ret") ->
 
 
 def strict_overlap(df: DataFrame, n_assets: int) -> DataFrame:
-    """Rows on dates where every asset has a value."""
-    n = F.count("ret").over(Window.partitionBy("date"))
-    return df.withColumn("__n", n).filter(F.col("__n") == n_assets).drop("__n")
+    """Rows on dates where every asset has a value.
+
+    The full dates are a map-side-combined count with at most one row per calendar
+    day, so they are broadcast and the panel itself is not shuffled.
+    """
+    return df.join(F.broadcast(full_days(df, n_assets)), "date", "left_semi")
+
+
+def full_days(df: DataFrame, n_assets: int) -> DataFrame:
+    counts = df.groupBy("date").agg(F.count("ret").alias("n"))
+    return counts.filter(F.col("n") == n_assets).select("date")
 
 
 def forward_fill(df: DataFrame, limit: int | None = 3, value: str = "ret") -> DataFrame:
@@ -78,8 +86,7 @@ def forward_fill(df: DataFrame, limit: int | None = 3, value: str = "ret") -> Da
 
 def common_start(df: DataFrame, n_assets: int) -> DataFrame:
     """The panel from its first fully observed date on."""
-    full = df.groupBy("date").agg(F.count("ret").alias("n")).filter(F.col("n") == n_assets)
-    first = full.agg(F.min("date").alias("d"))
+    first = full_days(df, n_assets).agg(F.min("date").alias("d"))
     return df.filter(F.col("date") >= one_row(first, "d"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import AF, one_row, rnd
 from tidepanel.operators import capital, risk, search
-from tidepanel.operators.portfolio import small_side
+from tidepanel.session import small_side, stage
 
 MIN_TRAIN_DAYS = 120
 
@@ -229,6 +229,34 @@ def summarise_segments(m: DataFrame) -> DataFrame:
     )
 
 
+def walk_forward(
+    panel: DataFrame,
+    roles: DataFrame,
+    assets: Sequence[str],
+    signals,
+    rf: float,
+    cost_bps: float,
+    focus: str,
+    sinks: Sequence[str],
+    cash: str,
+    target_vol: float,
+    dd_tol: float,
+    steps: int = 20,
+    **mu_options,
+) -> DataFrame:
+    """Daily out-of-sample returns: tangency weights per segment, tactical overlay,
+    risk guard, turnover cost. ``signals(train)`` gives the overlay's table.
+
+    Training rows and weights are read several times, so they are staged once; the
+    weights are one row per segment and asset.
+    """
+    train, test = stage(expand(panel, roles, "train"), "train"), expand(panel, roles, "test")
+    w = tangency_targets(train, assets, rf, steps, **mu_options)
+    w = stage(tactical_overlay(w, signals(train), focus, sinks), "overlay")
+    w = stage(risk_controls(w, risk_state(w, train, target_vol, dd_tol), cash), "weights")
+    return segment_returns(w, test, turnover(w, cost_bps))
+
+
 def curves(daily: DataFrame, days: DataFrame, series: Sequence[str], key: str = "series") -> DataFrame:
     """Cumulative return and drawdown of every series on the full calendar; days a
     series does not trade count as a 0 return."""

@@ -19,12 +19,10 @@ def fingerprint(df: DataFrame, reference: str, tail: int | None = None) -> DataF
     ``tail`` dates. The reference asset has no correlation with itself."""
     if tail:
         df = last_rows_of_panel(df, tail)
-    # The reference rides along on each date row, so no self-join is needed.
-    from pyspark.sql import Window
-
-    day = Window.partitionBy("date")
-    ref = F.max(F.when(F.col("asset") == reference, F.col("ret"))).over(day)
-    x = df.filter("ret IS NOT NULL").withColumn("__ref", ref)
+    # One row per calendar day, so the reference series can be broadcast; the panel
+    # is then only shuffled as partial aggregates per asset.
+    ref = df.filter((F.col("asset") == reference) & F.col("ret").isNotNull()).select("date", F.col("ret").alias("__ref"))
+    x = df.filter("ret IS NOT NULL").join(F.broadcast(ref), "date", "left")
     joint = F.count(F.when(F.col("__ref").isNotNull(), 1))
     corr = F.when((F.col("asset") != reference) & (joint >= MIN_JOINT), F.corr("ret", "__ref"))
     stats = x.groupBy("asset").agg(

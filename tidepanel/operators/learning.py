@@ -147,7 +147,9 @@ def model_skill(folds: DataFrame, last_fold: int = 3) -> DataFrame:
 def best_models(skill: DataFrame) -> DataFrame:
     """Winner per asset with how often each model wins overall."""
     win = skill.groupBy("asset").agg(F.max(F.struct("composite", "model")).alias("s")).select("asset", F.col("s.model").alias("best_model"))
-    return win.withColumn("wins", F.count("*").over(Window.partitionBy("best_model")))
+    # One row per model, however many assets there are.
+    wins = win.groupBy("best_model").agg(F.count("*").alias("wins"))
+    return win.join(F.broadcast(wins), "best_model")
 
 
 def forecast(rows: DataFrame, skill: DataFrame, min_rows: int = 80, horizon: int = HORIZON) -> DataFrame:

@@ -9,24 +9,13 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import clip
 from tidepanel.operators import search
-from tidepanel.session import stage
+from tidepanel.session import small_side
 
 
 
 def _book():
     return Window.partitionBy("book")
 
-# Rows a panel may have to be sent to every executor (about 100 MB of doubles).
-PANEL_ROWS = 4_000_000
-
-
-def small_side(df: DataFrame, name: str, max_rows: int = PANEL_ROWS) -> DataFrame:
-    """Stage a table and mark it for broadcast only if it turns out small enough;
-    a larger one is left for the planner to join by shuffle."""
-    staged = stage(df, name)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
-
-
 def book_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """Sum of weight x return per (book, date); missing weights and returns count 0.
 

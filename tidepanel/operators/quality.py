@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import ann_mean, ann_vol, one_row, sample_kurtosis, sample_skew, series, whole
+from tidepanel.session import small_side
 
 
-def date_slice(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Inclusive date range, as a plain comparison that reaches the file scan."""
-    return df.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def date_slice(df: DataFrame, start: str, end: str, column: str = "date") -> DataFrame:
+    """Inclusive range of days. The bounds are cast to the column's own type and the
+    column is left bare, so the comparison is pushed into the file scan whether it
+    holds dates or timestamps."""
+    kind = dict(df.dtypes)[column]
+    after = F.date_add(F.lit(end).cast("date"), 1).cast(kind)
+    return df.filter((F.col(column) >= F.lit(start).cast("date").cast(kind)) & (F.col(column) < after))
 
 
 def fill_with_mean(df: DataFrame, col: str) -> DataFrame:
     """Missing values take the asset's full-sample mean."""
-    means = df.groupBy("asset").agg(F.avg(col).alias("__m"))
+    means = small_side(df.groupBy("asset").agg(F.avg(col).alias("__m")), "means")
     return df.join(means, "asset").withColumn(col, F.coalesce(col, "__m")).drop("__m")
 
 
@@ -154,4 +159,4 @@ def last_rows_of_panel(df: DataFrame, n: int) -> DataFrame:
     days = df.select("date").distinct()
     rank = F.row_number().over(Window.orderBy(F.col("date").desc()))
     recent = days.withColumn("__r", rank).filter(F.col("__r") <= n).select("date")
-    return df.join(recent, "date", "left_semi")
+    return df.join(F.broadcast(recent), "date", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.draws import box_muller, mix, with_uniforms
 from tidepanel.functions.expr import AF
-from tidepanel.operators.portfolio import small_side
+from tidepanel.session import small_side
 
 HORIZON = 252
 PATHS = 5000

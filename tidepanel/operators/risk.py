@@ -123,8 +123,6 @@ def risk_pack(df: DataFrame, keys: Sequence[str], rf: float, ret: str = "ret") -
 
 def month_end(df: DataFrame, keys: Sequence[str], value: str, n_series: int) -> DataFrame:
     """Last value per month, for months in which every series has one."""
-    from pyspark.sql import Window
-
     last = df.groupBy(*keys, F.last_day("date").alias("month_end")).agg(F.max_by(value, "date").alias(value))
-    n = F.count(value).over(Window.partitionBy("month_end"))
-    return last.withColumn("__n", n).filter(F.col("__n") == n_series).drop("__n")
+    full = last.groupBy("month_end").agg(F.count(value).alias("n")).filter(F.col("n") == n_series)
+    return last.join(F.broadcast(full.select("month_end")), "month_end", "left_semi")

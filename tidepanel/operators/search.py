@@ -181,10 +181,18 @@ def inverse_volatility(vols: DataFrame, keys: Sequence[str] = ("book",)) -> Data
     return x.withColumn("w", F.col("__i") / F.sum("__i").over(Window.partitionBy(*keys))).drop("__i")
 
 
-def pareto(points: DataFrame, keys: Sequence[str] = ("book",), slack: float = 1e-10) -> DataFrame:
+def pareto(points: DataFrame, keys: Sequence[str] = ("book",), slack: float = 1e-10, shards: int = 64) -> DataFrame:
     """Keep points whose return is at least the best seen at lower volatility."""
-    w = Window.partitionBy(*keys).orderBy("vol", "ret").rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumn("__b", F.max("ret").over(w)).filter(F.col("ret") >= F.col("__b") - slack).drop("__b")
+
+
+    def undominated(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("vol", "ret").rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("__b", F.max("ret").over(w)).filter(F.col("ret") >= F.col("__b") - slack).drop("__b")
+
+    # A point beaten inside its own shard is beaten overall, so shards thin the
+    # points out in parallel and only their few survivors meet in one window.
+    sharded = points.withColumn("__shard", F.pmod(F.xxhash64("vol", "ret"), F.lit(shards)))
+    return undominated(undominated(sharded, [*keys, "__shard"]).drop("__shard"), keys)
 
 
 def frontier(df: DataFrame, p: int, points: int = 70, floor: float = 0.02, approx_accuracy: int | None = None) -> DataFrame:

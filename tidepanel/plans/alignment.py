@@ -156,11 +156,16 @@ def src_10(spark, sf):
 # --- projections ------------------------------------------------------------
 
 
-@query("prj_01_date_slice", ctes(PRICES) + f"SELECT asset, {d()} AS date, {r('price', 2)} AS price FROM prices WHERE date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'")
+@query(
+    "prj_01_date_slice",
+    f"SELECT o_orderpriority AS asset, {d('CAST(o_orderdate AS DATE)')} AS date, count(*) AS n, max(o_totalprice) AS hi FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1998-03-31' GROUP BY 1, 2",
+)
 def prj_01(spark, sf):
     from tidepanel.operators.quality import date_slice
 
-    return date_slice(P.daily_prices(spark, sf), "1997-03-01", "1997-03-31").select("asset", "date", rnd("price", 2).alias("price"))
+    orders = date_slice(P.table(spark, sf, "orders"), "1997-03-01", "1998-03-31", "o_orderdate")
+    day = F.to_date("o_orderdate").alias("date")
+    return orders.groupBy(F.col("o_orderpriority").alias("asset"), day).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("hi"))
 
 
 @query("prj_02_fixed_winsor", ctes(RETS) + f"SELECT asset, {d()} AS date, {r('CASE WHEN ret IS NOT NULL THEN greatest(-0.30, least(0.30, 20*ret)) END')} AS ret FROM rets")

@@ -675,9 +675,19 @@ wt AS (SELECT CAST(book AS INTEGER) AS segment, unnest([{NAMES}]) AS asset, unne
 @query("wf_walk_forward_backtest", ctes(*WF_FULL) + f"SELECT segment, {d()} AS date, {r('gross')} AS gross, {r('ret')} AS ret FROM sr")
 def walk_forward(spark, sf):
     """Tangency weights per segment, tactical overlay, risk guard, cost, test days."""
-    train, test = split(spark, sf)
-    w = B.tangency_targets(train, ASSETS, RF, 10, cash_like=CASH)
-    w = B.tactical_overlay(w, segment_signals(spark, sf, train), K.FOCUS, (K.CASH_LIKE, K.GOLD_LIKE))
-    w = B.risk_controls(w, B.risk_state(w, train, TVOL, TDD), K.CASH_LIKE)
-    out = B.segment_returns(w, test, B.turnover(w, K.COST_BPS))
+    out = B.walk_forward(
+        returns(spark, sf),
+        roles(spark, sf),
+        ASSETS,
+        lambda train: segment_signals(spark, sf, train),
+        rf=RF,
+        cost_bps=K.COST_BPS,
+        focus=K.FOCUS,
+        sinks=(K.CASH_LIKE, K.GOLD_LIKE),
+        cash=K.CASH_LIKE,
+        target_vol=TVOL,
+        dd_tol=TDD,
+        steps=10,
+        cash_like=CASH,
+    )
     return rounded(out, "gross", "ret", keep=("segment", "date"))

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,3 +60,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows a table may have to be sent to every executor (about 100 MB of doubles).
+BROADCAST_ROWS = 4_000_000
+
+
+def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Stage a table and mark it for broadcast only if it turns out small enough;
+    a larger one is left for the planner to join by shuffle."""
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
