@@ -163,26 +163,31 @@ def present_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.filter(~bad).withColumn("features", mask).drop(*has)
 
 
+# The helpers below take panels with one row per key and day (see normalise_frame), so
+# a key's rows fit one task and are read once, without a join back to the aggregate.
+
+
 def clip_train(df: DataFrame, col: str, is_train: Column, lo: float = 0.01, hi: float = 0.99, keys=("asset",)) -> DataFrame:
     """Clip train and test rows to quantiles learnt on the train rows only."""
     x = F.when(is_train, F.col(col))
-    bounds = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(lo), F.lit(hi))).alias("__b"))
-    out = df.join(bounds, list(keys))
+    bounds = F.percentile(x, F.array(F.lit(lo), F.lit(hi))).over(Window.partitionBy(*keys))
+    out = df.withColumn("__b", bounds)
     return out.withColumn(col, F.least(F.greatest(F.col(col), F.col("__b")[0]), F.col("__b")[1])).drop("__b")
 
 
 def scale_train(df: DataFrame, col: str, is_train: Column, out: str, keys=("asset",)) -> DataFrame:
     """Standardise by the train rows' mean and population deviation (0 counts as 1)."""
     x = F.when(is_train, F.col(col))
-    stats = df.groupBy(*keys).agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"))
+    w = Window.partitionBy(*keys)
+    stats = {"__m": F.avg(x).over(w), "__s": F.stddev_pop(x).over(w)}
     z = (F.col(col) - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)
-    return df.join(stats, list(keys)).withColumn(out, z).drop("__m", "__s")
+    return df.withColumns(stats).withColumn(out, z).drop("__m", "__s")
 
 
 def quantile_clip(df: DataFrame, col: str = "ret", lo: float = 0.005, hi: float = 0.995, keys=("asset",), out: str | None = None) -> DataFrame:
-    bounds = df.groupBy(*keys).agg(F.percentile(col, F.array(F.lit(lo), F.lit(hi))).alias("__b"))
+    bounds = F.percentile(col, F.array(F.lit(lo), F.lit(hi))).over(Window.partitionBy(*keys))
     clipped = F.when(F.col(col).isNotNull(), F.least(F.greatest(F.col(col), F.col("__b")[0]), F.col("__b")[1]))
-    return df.join(bounds, list(keys)).withColumn(out or col, clipped).drop("__b")
+    return df.withColumn("__b", bounds).withColumn(out or col, clipped).drop("__b")
 
 
 def split_adjust(df: DataFrame, splits: DataFrame) -> DataFrame:

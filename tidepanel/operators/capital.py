@@ -52,9 +52,9 @@ def expected_returns(
     """
     obs = history.filter("ret IS NOT NULL")
     keys = ["book", "asset"]
-    b = obs.groupBy(*keys).agg(F.percentile("ret", F.array(*[F.lit(q) for q in WINSOR])).alias("b"))
+    b = F.percentile("ret", F.array(*[F.lit(q) for q in WINSOR])).over(Window.partitionBy(*keys))
     x = F.least(F.greatest(F.col("ret"), F.col("b")[0]), F.col("b")[1])
-    per = obs.join(b, keys).groupBy(*keys).agg((F.avg(x) * AF).alias("sample_mean"))
+    per = obs.withColumn("b", b).groupBy(*keys).agg((F.avg(x) * AF).alias("sample_mean"))
     pr = prior(F.col("asset"), rf, premium, cash_like, fx_like)
     per = per.withColumn("prior", pr).withColumn("hist_mu", (1 - shrinkage) * F.col("sample_mean") + shrinkage * F.col("prior"))
     if extras is None:
@@ -76,29 +76,28 @@ def covariance(panel: DataFrame, assets: Sequence[str]) -> DataFrame:
     p = len(assets)
     names = [f"a{i}" for i in range(p)]
     rows = wide(panel, assets, keys=("book",))
-    k = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-    rows = rows.withColumn("__k", k).filter("__k > 0")
+    present = " + ".join(f"CAST({n} IS NOT NULL AS INT)" for n in names)
+    rows = rows.withColumn("__k", F.expr(present)).filter("__k > 0")
     enough = F.sum((F.col("__k") == p).cast("long")).over(_book()) >= max(20, 2 * p)
     rows = rows.withColumn("__e", enough).filter((F.col("__k") == p) | ~F.col("__e"))
-    rows = rows.select("book", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-    q = F.array(*[F.lit(x) for x in WINSOR])
-    bounds = rows.groupBy("book").agg(*[F.percentile(n, q).alias(f"b{n}") for n in names])
-    cut = rows.join(bounds, "book").select(
-        "book", *[F.least(F.greatest(F.col(n), F.col(f"b{n}")[0]), F.col(f"b{n}")[1]).alias(n) for n in names]
+    rows = rows.selectExpr("book", *[f"coalesce({n}, 0D) AS {n}" for n in names])
+    lo, hi = WINSOR
+    # A book has one wide row per day, already clustered by book for the count above:
+    # bounds come from the same partitions instead of a second pass and a join.
+    bounds = [f"percentile({n}, array({lo}D, {hi}D)) OVER (PARTITION BY book) AS b{n}" for n in names]
+    cut = rows.selectExpr("*", *bounds).selectExpr(
+        "book", *[f"least(greatest({n}, b{n}[0]), b{n}[1]) AS {n}" for n in names]
     )
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    s = cut.groupBy("book").agg(
-        F.count("*").alias("n"), *[F.covar_samp(f"a{i}", f"a{j}").alias(f"c{i}_{j}") for i, j in pairs]
-    )
-    lam = F.lit(float(p)) / (p + F.greatest(F.col("n"), F.lit(1)))
+    sums = [f"covar_samp(a{i}, a{j}) AS c{i}_{j}" for i in range(p) for j in range(i, p)]
+    s = cut.groupBy("book").agg(F.count("*").alias("n"), *[F.expr(e) for e in sums])
 
-    def cell(i: int, j: int) -> Column:
-        v = F.col(f"c{min(i, j)}_{max(i, j)}")
+    def cell(i: int, j: int) -> str:
         if i == j:
-            return F.when(v > 0, v).otherwise(1e-12) * AF + 1e-10
-        return (1 - lam) * v * AF
+            return f"IF(c{i}_{i} > 0, c{i}_{i}, 1e-12D) * {AF} + 1e-10D"
+        return f"(1 - {float(p)}D / ({p} + greatest(n, 1))) * c{min(i, j)}_{max(i, j)} * {AF}"
 
-    return s.select("book", "n", F.array(*[cell(i, j) for i in range(p) for j in range(p)]).alias("cov"))
+    cells = ", ".join(cell(i, j) for i in range(p) for j in range(p))
+    return s.selectExpr("book", "n", f"array({cells}) AS cov")
 
 
 def assumptions(panel: DataFrame, assets: Sequence[str], rf: float, **mu_options) -> DataFrame:

@@ -50,33 +50,25 @@ def weights(p: int) -> list[Column]:
 
 def score(df: DataFrame, p: int, rf: float) -> DataFrame:
     """Expected return, volatility, Sharpe and diversification ratio of w0..wp-1."""
-    w = weights(p)
-    mu, cov = F.col("mu"), F.col("cov")
-    ret = sum((w[i] * mu[i] for i in range(1, p)), w[0] * mu[0])
-    var = F.lit(0.0)
-    for i in range(p):
-        var = var + w[i] * w[i] * cov[i * p + i]
-        for j in range(i + 1, p):
-            var = var + 2.0 * w[i] * w[j] * cov[i * p + j]
-    sig = sum((w[i] * F.sqrt(cov[i * p + i]) for i in range(1, p)), w[0] * F.sqrt(cov[0]))
-    df = df.withColumns({"ret": ret, "vol": F.sqrt(F.greatest(var, F.lit(0.0)))})
-    return df.withColumns(
-        {
-            "sharpe": (F.col("ret") - rf) / (F.col("vol") + EPS),
-            "diversification": sig / (F.col("vol") + EPS),
-        }
+    n = range(p)
+    ret = " + ".join(f"w{i} * mu[{i}]" for i in n)
+    var = " + ".join(
+        f"{1 if i == j else 2}D * w{i} * w{j} * cov[{i * p + j}]" for i in n for j in range(i, p)
+    )
+    sig = " + ".join(f"w{i} * sqrt(cov[{i * p + i}])" for i in n)
+    df = df.selectExpr("*", f"{ret} AS ret", f"sqrt(greatest({var}, 0D)) AS vol")
+    return df.selectExpr(
+        "*", f"(ret - {rf!r}D) / (vol + {EPS!r}D) AS sharpe", f"({sig}) / (vol + {EPS!r}D) AS diversification"
     )
 
 
 def contributions(p: int, fallback_equal: bool = False) -> list[Column]:
     """Variance share of each asset: w_i (cov w)_i / variance."""
-    w, cov, v2 = weights(p), F.col("cov"), F.col("vol") * F.col("vol")
-    none = 1.0 / p if fallback_equal else 0.0
-    floor = 1e-8 if fallback_equal else 0.0
+    none, floor = (1.0 / p, 1e-8) if fallback_equal else (0.0, 0.0)
     out = []
     for i in range(p):
-        marginal = sum((cov[i * p + j] * w[j] for j in range(1, p)), cov[i * p] * w[0])
-        out.append(F.when(F.col("vol") > floor, w[i] * marginal / v2).otherwise(none))
+        marginal = " + ".join(f"cov[{i * p + j}] * w{j}" for j in range(p))
+        out.append(F.expr(f"CASE WHEN vol > {floor!r}D THEN w{i} * ({marginal}) / (vol * vol) ELSE {none!r}D END"))
     return out
 
 
