@@ -98,3 +98,17 @@ def quantile(col: Column | str, p: float, approx_accuracy: int | None = None) ->
 def one_row(df: DataFrame, col: str) -> Column:
     """The single cell of a one-row aggregate, as an uncorrelated scalar subquery."""
     return df.select(col).scalar()
+
+
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b, NULL where b is zero or the result is not finite."""
+    return finite(F.try_divide(c(a), c(b)))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over rows with both values; NULL for a constant series,
+    where the built-in raises under ANSI arithmetic."""
+    x, y = c(a), c(b)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
+    return F.try_divide(F.covar_samp(x, y), spread)

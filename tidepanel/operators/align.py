@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.expr import one_row, series, to_date_rows
+from tidepanel.functions.expr import one_row, ratio, series, to_date_rows
 
 # A wide row holds one cell per asset; beyond this the long form is used instead.
 MAX_WIDE_ASSETS = 64
@@ -194,7 +194,7 @@ def split_adjust(df: DataFrame, splits: DataFrame) -> DataFrame:
     """Scale prices before each split day by price(split day) / price(day before)."""
     w = series()
     marked = df.join(splits.select("asset", F.col("split_date").alias("date"), F.lit(True).alias("__s")), ["asset", "date"], "left")
-    factor = F.when(F.col("__s"), F.col("price") / F.lag("price").over(w))
+    factor = F.when(F.col("__s"), ratio("price", F.lag("price").over(w)))
     marked = marked.withColumn("__f", factor)
     later = F.product(F.coalesce("__f", F.lit(1.0))).over(w.rowsBetween(1, Window.unboundedFollowing))
     return marked.withColumn("factor", F.coalesce(later, F.lit(1.0))).withColumn(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.expr import AF, one_row, rnd
+from tidepanel.functions.expr import AF, one_row, ratio, rnd
 from tidepanel.operators import capital, risk, search
 from tidepanel.session import small_side, stage
 
@@ -157,7 +157,7 @@ def risk_state(weights: DataFrame, train: DataFrame, target_vol: float, dd_tol:
     x = x.withColumn("__recent", recent)
     s = x.groupBy("segment").agg(
         (F.stddev_samp(F.when(F.col("__recent"), F.col("ret"))) * risk.ROOT).alias("train_realized_vol"),
-        (F.max_by("growth", "date") / F.max("growth") - 1).alias("train_drawdown"),
+        (ratio(F.max_by("growth", "date"), F.max("growth")) - 1).alias("train_drawdown"),
     )
     return s.withColumns(
         {
@@ -178,7 +178,9 @@ def risk_controls(weights: DataFrame, state: DataFrame, cash: str) -> DataFrame:
     moved = F.when(risky, F.col("w") * scale).otherwise(F.col("w") + shifted)
     x = x.withColumn("w", F.when(breach, moved).otherwise(F.col("w")))
     x = x.withColumn("w", F.least(F.greatest("w", F.lit(0.0)), F.lit(1.0)))
-    return x.select("segment", "asset", (F.col("w") / F.sum("w").over(w)).alias("w"))
+    total = F.sum("w").over(w)
+    equal = 1.0 / F.count("*").over(w)
+    return x.select("segment", "asset", F.when(total <= 1e-12, equal).otherwise(F.col("w") / total).alias("w"))
 
 
 def turnover(weights: DataFrame, cost_bps: float) -> DataFrame:
@@ -295,7 +297,7 @@ def drift_rebalance(weights: DataFrame, returns: DataFrame, rebalances: DataFram
     )
     order = Window.partitionBy("book", "segment").orderBy("date")
     before = F.coalesce(F.lag("value").over(order), F.lit(1.0))
-    moved = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + F.abs(x["wg"] / F.col("value") - x["w"]))
-    out = by_day.withColumns({"gross": F.col("value") / before - 1, "turnover": moved})
+    moved = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + F.abs(F.try_divide(x["wg"], F.col("value")) - x["w"]))
+    out = by_day.withColumns({"gross": ratio("value", before) - 1, "turnover": moved})
     net = F.col("gross") - F.col("turnover") * (cost_bps / 10_000.0)
     return out.select("book", "date", "segment", "value", "gross", "turnover", net.alias("ret"))

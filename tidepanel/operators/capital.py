@@ -106,4 +106,6 @@ def assumptions(panel: DataFrame, assets: Sequence[str], rf: float, **mu_options
     one = mu.groupBy("book").agg(
         F.array(*[F.max(F.when(F.col("asset") == a, F.col("mu"))) for a in assets]).alias("mu")
     )
-    return covariance(panel, assets).join(one, "book").select("book", "n", "mu", "cov")
+    # Both sides have one small row per book: put together by one aggregate, no join.
+    both = covariance(panel, assets).unionByName(one, allowMissingColumns=True)
+    return both.groupBy("book").agg(*[F.max(x).alias(x) for x in ("n", "mu", "cov")]).dropna()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.expr import ann_mean, ann_vol, finite
+from tidepanel.functions.expr import ann_mean, ann_vol, correlation, finite
 from tidepanel.operators.quality import last_rows_of_panel
 
 REL_MEAN = 0.50
@@ -24,7 +24,7 @@ def fingerprint(df: DataFrame, reference: str, tail: int | None = None) -> DataF
     ref = df.filter((F.col("asset") == reference) & F.col("ret").isNotNull()).select("date", F.col("ret").alias("__ref"))
     x = df.filter("ret IS NOT NULL").join(F.broadcast(ref), "date", "left")
     joint = F.count(F.when(F.col("__ref").isNotNull(), 1))
-    corr = F.when((F.col("asset") != reference) & (joint >= MIN_JOINT), F.corr("ret", "__ref"))
+    corr = F.when((F.col("asset") != reference) & (joint >= MIN_JOINT), correlation("ret", "__ref"))
     stats = x.groupBy("asset").agg(
         F.round(ann_mean("ret"), 6).alias("mean_ann"),
         F.round(ann_vol("ret"), 6).alias("vol_ann"),

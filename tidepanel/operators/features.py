@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import (
     AF,
-    c,
     clip,
+    correlation,
     finite,
     last_rows,
-    quantile,
+    ratio,
     rolling,
     sd,
     series,
@@ -31,7 +31,7 @@ EMA_CHUNK = 256
 def simple_return(df: DataFrame, price: str = "price", out: str = "ret") -> DataFrame:
     """p / previous p - 1. Rows without a price are dropped first, not padded."""
     return df.filter(F.col(price).isNotNull()).withColumn(
-        out, finite(F.col(price) / F.lag(price).over(series()) - 1)
+        out, ratio(price, F.lag(price).over(series())) - 1
     )
 
 
@@ -46,7 +46,7 @@ def moving_average_distance(df: DataFrame, windows=(5, 20)) -> DataFrame:
     for n in windows:
         sma = rolling(F.avg, "price", n, w)
         out[f"ma_{n}"] = sma
-        out[f"dist_to_ma{n}"] = F.col("price") / sma - 1
+        out[f"dist_to_ma{n}"] = ratio("price", sma) - 1
     return df.withColumns(out)
 
 
@@ -156,14 +156,14 @@ def rebase(df: DataFrame, start: str, end: str, base: float = 100.0) -> DataFram
     """Price relative to the first one inside the date slice."""
     sliced = df.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     first = F.first("price", ignorenulls=True).over(to_date_rows(series()))
-    return sliced.withColumn("rebased", F.col("price") / first * base)
+    return sliced.withColumn("rebased", ratio("price", first) * base)
 
 
 def drawdown(df: DataFrame, index: str = "growth", out: str = "drawdown", keys=("asset",), start_at_one: bool = False) -> DataFrame:
     peak = F.max(index).over(to_date_rows(series(keys)))
     if start_at_one:
         peak = F.greatest(peak, F.lit(1.0))
-    return df.withColumn(out, F.col(index) / peak - 1)
+    return df.withColumn(out, ratio(index, peak) - 1)
 
 
 def forward_return(df: DataFrame, horizon: int = 63, out: str = "target") -> DataFrame:
@@ -239,7 +239,7 @@ def regime(df: DataFrame) -> DataFrame:
             "long_vol": F.when(ready, long_vol).otherwise(zero),
             "trend": F.when(ready, F.avg("ret").over(last_rows(w, 20))).otherwise(zero),
             "regime_drawdown": F.when(
-                ready, F.col("__g") / F.max("__g").over(last_rows(w, 252)) - 1
+                ready, ratio("__g", F.max("__g").over(last_rows(w, 252))) - 1
             ).otherwise(zero),
             "__ready": ready,
         }
@@ -290,23 +290,25 @@ def tail_rows(df: DataFrame, n: int) -> DataFrame:
 def autocorrelation(df: DataFrame) -> DataFrame:
     """Lag-1 autocorrelation of the non-null returns, with the row count."""
     x = df.filter(F.col("ret").isNotNull()).withColumn("__p", F.lag("ret").over(series()))
-    return x.groupBy("asset").agg(F.count("ret").alias("n"), F.corr("ret", "__p").alias("rho"))
+    return x.groupBy("asset").agg(F.count("ret").alias("n"), correlation("ret", "__p").alias("rho"))
 
 
 def unsmooth(df: DataFrame, max_rho: float = 0.85, min_rho: float = 0.10, min_rows: int = 30) -> DataFrame:
     """Remove appraisal smoothing: (r - rho r_prev) / (1 - rho), where it pays."""
     x = df.filter(F.col("ret").isNotNull()).withColumn("__p", F.lag("ret").over(series()))
     w = whole()
-    x = x.withColumns({"__n": F.count("ret").over(w), "__rho": clip(F.coalesce(F.corr("ret", "__p").over(w), F.lit(0.0)), 0.0, max_rho)})
+    # Windowed aggregates are combined after the fact, so the parts are named first.
+    both = F.col("__p").isNotNull()
+    sides = {
+        "__c": F.covar_samp("ret", "__p").over(w),
+        "__s": F.stddev_samp(F.when(both, F.col("ret"))).over(w) * F.stddev_samp("__p").over(w),
+        "__n": F.count("ret").over(w),
+    }
+    rho = clip(F.coalesce(F.try_divide("__c", "__s"), F.lit(0.0)), 0.0, max_rho)
+    x = x.withColumns(sides).withColumn("__rho", rho).drop("__c", "__s")
     rho = F.col("__rho")
     value = F.when((F.col("__n") < min_rows) | (rho < min_rho), F.col("ret")).otherwise(
         (F.col("ret") - rho * F.col("__p")) / (1 - rho)
     )
     return x.withColumn("unsmoothed", value).withColumn("rho", rho).drop("__p", "__n", "__rho")
 
-
-def winsor_bounds(df: DataFrame, col: str, lo: float, hi: float, keys=("asset",), fit_on: Column | None = None, approx_accuracy: int | None = None) -> DataFrame:
-    x = F.when(fit_on, c(col)) if fit_on is not None else c(col)
-    return df.groupBy(*keys).agg(
-        quantile(x, lo, approx_accuracy).alias("lo"), quantile(x, hi, approx_accuracy).alias("hi")
-    )

@@ -216,6 +216,7 @@ def completed_panel(df: DataFrame, assets: Sequence[str], enabled: bool = True)
     completion is off or fails."""
     from tidepanel.operators.align import strict_overlap
 
+    df = df.filter(F.col("asset").isin(*assets))
     plain = strict_overlap(df.filter("ret IS NOT NULL"), len(assets)).select("date", "asset", "ret", F.lit(False).alias("is_imputed"))
     if not enabled:
         return plain, None

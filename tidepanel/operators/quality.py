@@ -128,7 +128,8 @@ def histogram(df: DataFrame, bins: int = 80) -> DataFrame:
         F.min(r).alias("lo"), F.max(r).alias("hi"), F.avg(r).alias("m"), F.stddev_samp(r).alias("s")
     )
     width = (F.col("hi") - F.col("lo")) / bins
-    slot = F.least(F.floor((r - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    # A constant series has one bin.
+    slot = F.coalesce(F.least(F.floor(F.try_divide(r - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0)).cast("int")
     return (
         df.filter(r.isNotNull())
         .join(ends, "asset")

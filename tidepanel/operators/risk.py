@@ -13,6 +13,7 @@ from tidepanel.functions.expr import (
     ann_mean,
     ann_vol,
     finite,
+    ratio,
     rnd,
     sample_kurtosis,
     sample_skew,
@@ -30,7 +31,7 @@ def with_curves(df: DataFrame, keys: Sequence[str], ret: str = "ret") -> DataFra
     """Compounded growth and its drawdown from the running peak."""
     w = to_date_rows(series(keys))
     x = df.filter(F.col(ret).isNotNull()).withColumn("growth", F.product(1 + F.col(ret)).over(w))
-    return x.withColumn("drawdown", F.col("growth") / F.max("growth").over(w) - 1)
+    return x.withColumn("drawdown", ratio("growth", F.max("growth").over(w)) - 1)
 
 
 def performance(df: DataFrame, keys: Sequence[str], rf: float, ret: str = "ret") -> DataFrame:

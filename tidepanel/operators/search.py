@@ -199,7 +199,7 @@ def frontier(df: DataFrame, p: int, points: int = 70, floor: float = 0.02, appro
         F.max(F.array_max("mu")).alias("hi"),
         F.max(F.struct(F.col("ret").alias("__m"), *_point(p))).alias("s"),
     )
-    slot = F.floor((F.col("ret") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (points - 1) + 0.5).cast("int")
+    slot = F.floor(F.try_divide(F.col("ret") - F.col("lo"), F.col("hi") - F.col("lo")) * (points - 1) + 0.5).cast("int")
     quiet = F.max(F.struct((-F.col("vol")).alias("__m"), *_point(p))).alias("s")
     line = (
         df.join(ends.select("book", "lo", "hi"), "book")
@@ -242,7 +242,7 @@ def downsample(df: DataFrame, n: int, order: Sequence[str], rule: str = "linspac
     else:
         step = size / F.lit(n)
     # Row r is picked when some integer i < n has floor(i * step) = r.
-    i = F.ceil(r / step)
+    i = F.coalesce(F.ceil(F.try_divide(r, step)), F.lit(0))
     hit = (F.floor(i * step) == r) & (i < n)
     # Guard against i*step landing just below an integer.
     hit = hit | ((F.floor((i + 1) * step) == r) & (i + 1 < n)) | ((i >= 1) & (F.floor((i - 1) * step) == r))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.functions.expr import clip, one_row, rnd, series
+from tidepanel.functions.expr import clip, correlation, rnd, series
 from tidepanel.operators import align as A
 from tidepanel.operators import features as X
 from tidepanel.operators import macro as M
@@ -407,7 +407,7 @@ def jn_05(spark, sf):
 )
 def jn_06(spark, sf):
     j = returns(spark, sf).join(benchmark_returns(spark, sf), "date").dropna(subset=["ret", "bench"])
-    return j.groupBy("asset").agg(F.count("*").alias("n"), rnd(F.when(F.count("*") > 30, F.corr("ret", "bench"))).alias("corr"))
+    return j.groupBy("asset").agg(F.count("*").alias("n"), rnd(F.when(F.count("*") > 30, correlation("ret", "bench"))).alias("corr"))
 
 
 @query(

@@ -208,8 +208,10 @@ def tactical_rows(spark, sf):
     cols = [n for n in state.columns if n not in ("date", "asset", "price", "ret")]
     month = state.groupBy("asset", F.last_day("date").alias("m")).agg(F.max_by(F.struct(F.col("date").alias("as_of"), *cols), "date").alias("s")).select("asset", "s.*")
     month = month.withColumn("next_rebalance", B.next_quarter_end(F.col("as_of")))
-    bias = T.strategic_bias(P.books(spark, sf), K.roles(spark)).withColumn("asset", F.lit(K.FOCUS))
-    rows = month.join(bias, "asset").drop("asset")
+    # One row per month of a single asset: every book unfolds the same short list.
+    months = month.groupBy().agg(F.collect_list(F.struct(*[n for n in month.columns if n != "asset"])).alias("m"))
+    bias = T.strategic_bias(P.books(spark, sf), K.roles(spark)).withColumn("m", months.scalar())
+    rows = bias.select("book", "equity_weight", "safe_weight", "bias", F.inline("m"))
     return rows.withColumn("quality_scale", panel_scale(spark, sf).select("scale").scalar())
 
 
