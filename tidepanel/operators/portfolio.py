@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.expr import clip
+from tidepanel.functions.expr import AF, clip, finite, rnd
 from tidepanel.operators import search
+from tidepanel.operators.align import MAX_WIDE_ASSETS, wide
 from tidepanel.session import small_side
 
 
@@ -16,13 +19,18 @@ from tidepanel.session import small_side
 def _book():
     return Window.partitionBy("book")
 
-def book_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
+def book_returns(weights: DataFrame, returns: DataFrame, assets: Sequence[str] | None = None) -> DataFrame:
     """Sum of weight x return per (book, date); missing weights and returns count 0.
 
-    Weights are clustered by book once. The panel reaches them by broadcast, which
-    keeps that clustering, so the per-(book, date) sum needs no further shuffle even
-    with many books.
+    With a known, narrow universe every book is one wide row that unfolds the panel's
+    days in place: no join and no shuffle beyond the one that gathers a book. For
+    wider universes the weights are clustered by book and the panel is broadcast if
+    it is small, so the per-(book, date) sum needs no further shuffle either.
     """
+    if assets is not None and len(assets) <= MAX_WIDE_ASSETS:
+        days = F.inline(_panel_days(returns, assets))
+        x = wide_weights(weights, assets).select("book", *[f"w{i}" for i in range(len(assets))], days)
+        return x.select("book", "date", F.expr(_mix(len(assets), "r")).alias("ret"))
     panel = small_side(returns.filter("ret IS NOT NULL").select("asset", "date", "ret"), "panel")
     held = weights.select("book", "asset", "w").repartition("book")
     return (
@@ -32,6 +40,59 @@ def book_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     )
 
 
+def _mix(p: int, row: str) -> str:
+    return " + ".join(f"w{i} * {row}[{i}]" for i in range(p))
+
+
+def _panel_days(returns: DataFrame, assets: Sequence[str]) -> Column:
+    """The panel as one sorted array of (date, r[]): at most calendar days x
+    MAX_WIDE_ASSETS numbers, computed once and shipped with the query."""
+    rows = wide(returns.filter("ret IS NOT NULL"), assets)
+    cells = F.array(*[F.coalesce(f"a{i}", F.lit(0.0)) for i in range(len(assets))])
+    one = rows.select("date", cells.alias("r")).groupBy().agg(F.sort_array(F.collect_list(F.struct("date", "r"))).alias("p"))
+    return one.scalar()
+
+
+def book_performance(weights: DataFrame, returns: DataFrame, assets: Sequence[str], rf: float, block: int = 256) -> DataFrame:
+    """Performance metrics of very many books without a row per book and day.
+
+    Books are gathered into one wide row each (the only shuffle). The panel, at most
+    calendar days x MAX_WIDE_ASSETS numbers, is broadcast, and every task multiplies
+    blocks of books with it: a days x books matrix per block is all it holds.
+    """
+    if len(assets) > MAX_WIDE_ASSETS:
+        raise ValueError(f"more than {MAX_WIDE_ASSETS} assets: use book_returns and risk.performance")
+    spark = weights.sparkSession
+    p = len(assets)
+    rows = wide(returns.filter("ret IS NOT NULL"), assets).orderBy("date").toPandas()
+    panel = spark.sparkContext.broadcast(rows[[f"a{i}" for i in range(p)]].fillna(0.0).to_numpy(dtype=float))
+    cols = [f"w{i}" for i in range(p)]
+
+    def measure(batches):
+        r = panel.value
+        n = len(r)
+        for batch in batches:
+            for k in range(0, len(batch), block):
+                part = batch.iloc[k : k + block]
+                daily = r @ part[cols].to_numpy(dtype=float).T
+                growth = np.cumprod(1.0 + daily, axis=0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dd = (growth / np.maximum.accumulate(growth, axis=0) - 1.0).min(axis=0)
+                    cagr = growth[-1] ** (AF / n) - 1.0
+                vol = daily.std(axis=0, ddof=1) * np.sqrt(AF) if n > 1 else np.zeros(len(part))
+                sharpe = (daily.mean(axis=0) * AF - rf) / (vol + 1e-12)
+                yield pd.DataFrame(
+                    {"book": part["book"], "n": n, "total_return": growth[-1] - 1.0, "cagr": cagr, "volatility": vol, "sharpe": sharpe, "max_drawdown": dd}
+                )
+
+    names = ("total_return", "cagr", "volatility", "sharpe", "max_drawdown")
+    schema = "book STRING, n BIGINT, " + ", ".join(f"{x} DOUBLE" for x in names)
+    wide_books = wide_weights(weights, assets)
+    if not len(rows):
+        return spark.createDataFrame([], schema)
+    return wide_books.mapInPandas(measure, schema).select("book", "n", *[rnd(finite(x), 4).alias(x) for x in names])
+
+
 def wide_weights(weights: DataFrame, assets: Sequence[str]) -> DataFrame:
     """One row per book with w0..wp-1; an absent asset weighs 0."""
     cells = [

@@ -70,7 +70,7 @@ OUTCOME_SELECT = f"SELECT book, path, {r('terminal', 5)} AS terminal, {r('mdd',
 
 def complete_book_returns(spark, sf):
     full = A.strict_overlap(returns(spark, sf).filter("ret IS NOT NULL"), NP)
-    return PF.book_returns(P.books(spark, sf), full)
+    return PF.book_returns(P.books(spark, sf), full, ASSETS)
 
 
 def bootstrap(spark, sf):

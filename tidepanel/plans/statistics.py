@@ -159,7 +159,7 @@ BRETS = "br AS (SELECT book, date, sum(w * ret) AS ret FROM books JOIN rets USIN
 
 
 def book_returns(spark, sf, by="c_mktsegment"):
-    return PF.book_returns(P.books(spark, sf, by), returns(spark, sf))
+    return PF.book_returns(P.books(spark, sf, by), returns(spark, sf), ASSETS)
 
 
 PERF = f"""
@@ -175,9 +175,16 @@ def ag_09(spark, sf):
     return R.performance(book_returns(spark, sf), ["book"], K.RISK_FREE)
 
 
-@query("ag_09b_many_books_performance", ctes(RETS, BOOKS.replace("c_mktsegment AS book", "CAST(o_custkey AS VARCHAR) AS book").replace(" JOIN customer ON o_custkey = c_custkey", ""), BRETS, PERF) + f"SELECT book, {PERF_COLS} FROM pd GROUP BY book")
+CUST_BOOKS = BOOKS.replace("c_mktsegment AS book", "CAST(o_custkey AS VARCHAR) AS book").replace(" JOIN customer ON o_custkey = c_custkey", "")
+# Every book has a row on every panel date; what it does not hold counts as 0.
+ALL_DATES = """br0 AS (SELECT book, date, sum(w * ret) AS ret FROM books JOIN rets USING (asset) WHERE ret IS NOT NULL GROUP BY 1, 2),
+bd AS (SELECT b.book, c.date FROM (SELECT DISTINCT book FROM books) b CROSS JOIN (SELECT DISTINCT date FROM rets WHERE ret IS NOT NULL) c),
+br AS (SELECT bd.book, bd.date, coalesce(ret, 0.0) AS ret FROM bd LEFT JOIN br0 ON br0.book = bd.book AND br0.date = bd.date)"""
+
+
+@query("ag_09b_many_books_performance", ctes(RETS, CUST_BOOKS, ALL_DATES, PERF) + f"SELECT book, {PERF_COLS} FROM pd GROUP BY book")
 def ag_09b(spark, sf):
-    return R.performance(book_returns(spark, sf, "o_custkey"), ["book"], K.RISK_FREE)
+    return PF.book_performance(P.books(spark, sf, "o_custkey"), returns(spark, sf), ASSETS, K.RISK_FREE)
 
 
 _Z = ("-1.6448536269514729", "-2.3263478740408408")
