@@ -56,7 +56,7 @@ def test_drift_equals_the_daily_loop(spark, panel):
             w = w0.copy()
         want.append(r)
     weights = spark.createDataFrame([("b", a, float(v)) for a, v in zip("ABC", w0)], "book STRING, asset STRING, w DOUBLE")
-    out = B.drift_rebalance(weights, x, spark.createDataFrame([(d,) for d in reb], "rebalance_date DATE"), bps)
+    out = B.drift_rebalance(weights, x, spark.createDataFrame([(d,) for d in reb], "rebalance_date DATE"), bps, list("ABC"))
     got = [r["ret"] for r in out.orderBy("date").collect()]
     assert got == pytest.approx(want, abs=1e-12)
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import AF, one_row, ratio, rnd
 from tidepanel.operators import capital, risk, search
-from tidepanel.session import small_side, stage
+from tidepanel.operators.align import wide
+from tidepanel.operators.portfolio import wide_weights
+from tidepanel.session import stage
 
 MIN_TRAIN_DAYS = 120
 
@@ -268,36 +270,31 @@ def curves(daily: DataFrame, days: DataFrame, series: Sequence[str], key: str =
     return x.select(key, "date", "ret", (F.col("growth") - 1).alias("cum"), "drawdown")
 
 
-def drift_rebalance(weights: DataFrame, returns: DataFrame, rebalances: DataFrame, cost_bps: float) -> DataFrame:
+def drift_rebalance(weights: DataFrame, returns: DataFrame, rebalances: DataFrame, cost_bps: float, assets: Sequence[str]) -> DataFrame:
     """Daily net return of books that drift between rebalances and pay for turnover.
 
-    Between two rebalances the book's value is the closed form sum_i w_i G_i, with
-    G_i the asset's growth since the segment began, so no day depends on the loop
-    over the days before it. Growth is computed once for the panel; books only
-    combine it. A segment whose value would reach zero breaks the form and is
-    reported by ``value``; returns are winsorised well above -100 %.
+    Between two rebalances a book is worth sum_i w_i G_i, with G_i the asset's growth
+    since the stretch began, so no day depends on a loop over the days before it.
+    Growth is worked out once on the calendar-sized panel (a missing return counts as
+    0); each book is one wide row that unfolds those days in place, without a join or
+    a window over its own days. A stretch whose value would reach zero has no return.
     """
-    days = returns.select("date").distinct()
-    cal = Window.orderBy("date")
-    marks = days.join(F.broadcast(rebalances.select(F.col("rebalance_date").alias("date"), F.lit(1).alias("is_reb"))), "date", "left")
-    marks = marks.withColumn("is_reb", F.coalesce("is_reb", F.lit(0)))
-    # Calendar-sized pass: the stretch a day belongs to ends at the rebalance itself.
-    seg = F.coalesce(F.sum("is_reb").over(cal.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marks = marks.withColumn("segment", seg)
-    panel = returns.filter("ret IS NOT NULL").join(marks, "date")
-    in_seg = Window.partitionBy("asset", "segment").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    grown = panel.select("asset", "date", "segment", "is_reb", F.product(1 + F.col("ret")).over(in_seg).alias("g"))
-    grown = small_side(grown, "growth")
-    held = weights.select("book", "asset", "w").repartition("book")
-    wg = F.col("w") * F.col("g")
-    by_day = held.join(grown, "asset").groupBy("book", "date", "segment", "is_reb").agg(
-        F.sum(wg).alias("value"),
-        # One entry per asset, on rebalance days only.
-        F.collect_list(F.when(F.col("is_reb") == 1, F.struct("w", wg.alias("wg")))).alias("parts"),
-    )
-    order = Window.partitionBy("book", "segment").orderBy("date")
-    before = F.coalesce(F.lag("value").over(order), F.lit(1.0))
-    moved = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + F.abs(F.try_divide(x["wg"], F.col("value")) - x["w"]))
-    out = by_day.withColumns({"gross": ratio("value", before) - 1, "turnover": moved})
-    net = F.col("gross") - F.col("turnover") * (cost_bps / 10_000.0)
-    return out.select("book", "date", "segment", "value", "gross", "turnover", net.alias("ret"))
+    n = range(len(assets))
+    days = wide(returns.filter("ret IS NOT NULL"), assets)
+    days = days.select("date", *[F.coalesce(f"a{i}", F.lit(0.0)).alias(f"a{i}") for i in n])
+    marks = rebalances.select(F.col("rebalance_date").alias("date"), F.lit(1).alias("is_reb"))
+    days = days.join(F.broadcast(marks), "date", "left").withColumn("is_reb", F.coalesce("is_reb", F.lit(0)))
+    # A stretch ends on the rebalance day itself.
+    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("segment", F.coalesce(F.sum("is_reb").over(past), F.lit(0)))
+    order = Window.partitionBy("segment").orderBy("date")
+    days = days.withColumns({f"g{i}": F.product(1 + F.col(f"a{i}")).over(order.rowsBetween(Window.unboundedPreceding, 0)) for i in n})
+    days = days.withColumns({f"h{i}": F.lag(f"g{i}").over(order) for i in n})
+    row = F.struct("date", "segment", "is_reb", F.array(*[f"g{i}" for i in n]).alias("g"), F.when(F.col("h0").isNotNull(), F.array(*[f"h{i}" for i in n])).alias("h"))
+    panel = days.groupBy().agg(F.sort_array(F.collect_list(row)).alias("p")).scalar()
+    x = wide_weights(weights, assets).select("book", *[f"w{i}" for i in n], F.inline(panel))
+    now, before = " + ".join(f"w{i} * g[{i}]" for i in n), " + ".join(f"w{i} * h[{i}]" for i in n)
+    moved = " + ".join(f"abs(try_divide(w{i} * g[{i}], value) - w{i})" for i in n)
+    x = x.selectExpr("*", f"{now} AS value", f"IF(h IS NULL, 1D, {before}) AS before")
+    x = x.selectExpr("book", "date", "segment", "value", "try_divide(value, before) - 1 AS gross", f"IF(is_reb = 1, {moved}, 0D) AS turnover")
+    return x.withColumn("ret", F.col("gross") - F.col("turnover") * (cost_bps / 10_000.0))

@@ -525,7 +525,7 @@ def drifting_books(spark, sf, by="c_mktsegment"):
     days = eval_days(spark, sf)
     panel = returns(spark, sf).join(days, "date", "left_semi")
     reb = B.rebalance_dates(days.filter(F.col("date") >= F.lit(EVAL).cast("date")))
-    return B.drift_rebalance(P.books(spark, sf, by), panel, reb, K.COST_BPS)
+    return B.drift_rebalance(P.books(spark, sf, by), panel, reb, K.COST_BPS, ASSETS)
 
 
 @query("win_19_drift_rebalance", ctes(RETS, DAYS, SEGS, BOOKS, DRIFT) + f"SELECT book, {d()} AS date, {r('gross')} AS gross, {r('turnover')} AS turnover, {r('ret')} AS ret FROM dn")

@@ -29,13 +29,10 @@ def equal_weight_drift(spark, sf_dir):
     """Net daily returns of an equal-weight book that drifts, is rebalanced on the first
     trading day after each quarter end and pays for its turnover. Days on which an
     asset does not trade count as a 0 return for it."""
-    from tidepanel.operators.align import union_calendar
-
     rets = alignment.returns(spark, sf_dir).filter("ret IS NOT NULL")
-    panel = union_calendar(rets, ASSETS).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
-    reb = B.rebalance_dates(panel.select("date").distinct())
+    reb = B.rebalance_dates(rets.select("date").distinct())
     mix = spark.createDataFrame([("equal", a, 1.0 / len(ASSETS)) for a in ASSETS], "book STRING, asset STRING, w DOUBLE")
-    return B.drift_rebalance(mix, panel, reb, K.COST_BPS)
+    return B.drift_rebalance(mix, rets, reb, K.COST_BPS, ASSETS)
 
 
 FLAGSHIP_SQL = (

@@ -51,3 +51,23 @@ STRICT_SQL = "SELECT asset, CAST(date AS VARCHAR) AS date, round(ret, 6) + 0.0 A
 def em_04(spark, sf):
     panel, _ = I.completed_panel(observed(spark, sf), ASSETS, enabled=False)
     return panel.select("asset", "date", rnd("ret").alias("ret"))
+
+
+@query("report_all_sections")
+def report(spark, sf):
+    """The full job on the staggered panel: how many rows every saved section has."""
+    from tidepanel.plans import parameters as K
+    from tidepanel.plans.report import Settings, full_report
+    from tidepanel.session import fresh_path
+    from tidepanel.sources import panels as P
+
+    s = Settings(
+        assets=ASSETS, roles=K.ROLES, focus=K.FOCUS, cash=K.CASH_LIKE, sinks=(K.CASH_LIKE, K.GOLD_LIKE), rf=K.RISK_FREE,
+        eval_start=K.EVAL_START, steps=10, paths=200, cash_like=(K.CASH_LIKE,),
+    )
+    saved = full_report(P.staggered_prices(spark, sf), s, fresh_path(spark, "report"), K.decision_matrix(spark))
+    out = None
+    for name, path in saved.items():
+        n = spark.read.parquet(path).agg(F.lit(name).alias("section"), F.count("*").alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
