@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import clip, rnd, series, whole
 from tidepanel.operators.features import forward_return, technical_features, ternary_label
+from tidepanel.session import stage
 
 FEATURES = ("ret_lag1", "ret_lag2", "dist_to_ma5", "macd_hist", "rsi", "bb_pb")
 HORIZON = 63
@@ -339,7 +340,8 @@ def fit_folds(prepared: DataFrame, cols: Sequence[str], make: Callable[[], objec
     ]
     ready = Pipeline(stages=stages).fit(labelled).transform(labelled)
     keep = ["asset", "fold", "date", "pos", "n", "test_end", "y", "label", "role", "features"] + (["weight"] if classifier else [])
-    ready = ready.select(*keep).persist()
+    # Read once per fold and role; written out so that each fit prunes to its rows.
+    ready = stage(ready.select(*keep), "model-rows")
 
     def one(fold: int) -> DataFrame:
         part = ready.filter(F.col("fold") == fold)

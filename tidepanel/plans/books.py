@@ -132,7 +132,15 @@ def opt_03(spark, sf):
     return point(S.max_sharpe(cloud(spark, sf), NP))
 
 
-@query("opt_03b_max_sharpe_refined")
+# A finer grid around the coarse optimum: +-5 steps of 0.01 in the first four weights.
+REFINE = f"""
+co AS (SELECT * FROM (SELECT book AS b, {", ".join(f"w{i} AS c{i}" for i in range(NP))}, row_number() OVER (PARTITION BY book ORDER BY sharpe DESC, {BYW}) AS rk FROM scored) WHERE rk = 1),
+fg0 AS (SELECT b, {", ".join(f"c{i} + d{i} * CAST(0.01 AS DOUBLE) AS w{i}" for i in range(NP - 1))} FROM co, {", ".join(f"range(-5, 6) g{i}(d{i})" for i in range(NP - 1))}),
+fg AS (SELECT *, 1.0 - ({" + ".join(f"w{i}" for i in range(NP - 1))}) AS w{NP - 1} FROM fg0 WHERE {" AND ".join(f"w{i} >= -1e-12" for i in range(NP - 1))}),"""
+FINE = score_sql("cma", "JOIN fg ON fg.b = cma.book").replace("sc0", "fsc0").replace("scored", "fine")
+
+
+@query("opt_03b_max_sharpe_refined", ctes(*SEARCH, REFINE, FINE.replace("fsc0 AS (SELECT *", "fsc0 AS (SELECT cma.*, " + ", ".join(f"fg.w{i}" for i in range(NP)))) + best_sql("sharpe", src="fine", where="w4 >= -1e-12"))
 def opt_03b(spark, sf):
     params = cma(spark, sf)
     coarse = S.max_sharpe(S.score(S.lattice(params, NP, STEPS), NP, RF), NP)

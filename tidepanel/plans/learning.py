@@ -62,6 +62,12 @@ def regression_rows(spark, sf):
     return L.regression_rows(features(spark, sf), SINGLES)
 
 
+def forecast_inputs(spark, sf):
+    """Rows and model skill, with the rows staged because both sides read them."""
+    rows = stage(regression_rows(spark, sf), "regression-rows")
+    return rows, L.model_skill(L.fold_skill(single_ridges(spark, sf, rows)))
+
+
 @query("ml_01_regression_folds", base_sql(REG_ROWS, REG_FOLDS) + FOLD_TABLE)
 def ml_01(spark, sf):
     return fold_table(L.regression_folds(regression_rows(spark, sf)))
@@ -85,9 +91,10 @@ p_{f} AS (SELECT 'ridge_{f}' AS model, z.asset, z.fold, date, pos, n, test_end,
 PREDS = ",".join(_single_sql(f) for f in SINGLES) + ", preds AS (" + " UNION ALL ".join(f"SELECT * FROM p_{f}" for f in SINGLES) + ")"
 
 
-def single_ridges(spark, sf):
+def single_ridges(spark, sf, rows=None):
     """One-feature ridge models on a shared, once prepared set of folds."""
-    prepared = L.standardise(L.regression_folds(regression_rows(spark, sf)), SINGLES)
+    rows = regression_rows(spark, sf) if rows is None else rows
+    prepared = L.standardise(L.regression_folds(rows), SINGLES)
     prepared = stage(prepared, "regression-folds")
     out = None
     for f in SINGLES:
@@ -146,7 +153,7 @@ def ml_12(spark, sf):
     + f"SELECT asset, n, {r('CASE WHEN n < 80 OR pr IS NULL THEN rm ELSE sh * pr + (1 - sh) * anchor END / 63', 7)} AS expected_daily, {r('CASE WHEN n < 80 OR pr IS NULL THEN 0.2 ELSE cf END', 5)} AS confidence, CASE WHEN n < 80 OR pr IS NULL THEN 'recent_mean' ELSE 'ensemble' END AS method FROM fj",
 )
 def scl_16(spark, sf):
-    f = L.forecast(regression_rows(spark, sf), L.model_skill(L.fold_skill(single_ridges(spark, sf))))
+    f = L.forecast(*forecast_inputs(spark, sf))
     return f.select("asset", "n", rnd("expected_daily", 7).alias("expected_daily"), rnd("confidence", 5).alias("confidence"), "method")
 
 
@@ -156,9 +163,8 @@ def scl_16(spark, sf):
     + f"SELECT asset, count(*) AS n, {r('avg(y) FILTER (b <= 30) / 63', 7)} AS expected_daily, CAST(0.2 AS DOUBLE) AS confidence FROM tb GROUP BY asset",
 )
 def ml_11(spark, sf):
-    rows = regression_rows(spark, sf)
-    none = L.model_skill(L.fold_skill(single_ridges(spark, sf))).filter("false")
-    return L.forecast(rows, none).select("asset", "n", rnd("expected_daily", 7).alias("expected_daily"), "confidence")
+    rows, skill = forecast_inputs(spark, sf)
+    return L.forecast(rows, skill.filter("false")).select("asset", "n", rnd("expected_daily", 7).alias("expected_daily"), "confidence")
 
 
 # --- classification with fixed score rules ----------------------------------
@@ -232,7 +238,7 @@ en AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN -1 WHEN p1 >= p2 THEN 0 EL
 
 @query("ml_09_skill_weighted_ensemble", base_sql(*RULE_BASE, ENSEMBLE) + f"SELECT asset, {d()} AS date, CAST(fold AS INTEGER) AS fold, y, pred, {r('p0', 5)} AS p_down, {r('p1', 5)} AS p_flat, {r('p2', 5)} AS p_up FROM en")
 def ml_09(spark, sf):
-    x = rule_predictions(spark, sf)
+    x = stage(rule_predictions(spark, sf), "rule-predictions")
     e = L.ensemble(x, L.model_weights(x))
     return e.select("asset", "date", "fold", "y", "pred", *[rnd(F.col("probs")[i], 5).alias(n) for i, n in enumerate(("p_down", "p_flat", "p_up"))])
 
