@@ -83,8 +83,8 @@ def summarise(outcomes: DataFrame, target_drawdown: float = -0.20) -> DataFrame:
     t, d = F.col("terminal"), F.col("max_drawdown")
     cagr = F.pow(t, AF / F.col("days")) - 1
     x = outcomes.withColumns({"cagr": cagr, "loss": 1 - t})
-    q = x.groupBy("book").agg(F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99))).alias("q"))
-    j = x.join(q, "book")
+    q = F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99))).over(Window.partitionBy("book"))
+    j = x.withColumn("q", q)
     v95, v99 = F.col("q")[0], F.col("q")[1]
     c = lambda p: F.percentile("cagr", p)
     return j.groupBy("book").agg(

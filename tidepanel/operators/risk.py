@@ -19,6 +19,7 @@ from tidepanel.functions.expr import (
     sample_skew,
     series,
     to_date_rows,
+    whole,
 )
 
 ROOT = math.sqrt(AF)
@@ -68,12 +69,18 @@ def downside_deviation(ret: Column, target: float) -> Column:
 
 def historical_tail(df: DataFrame, keys: Sequence[str], alpha: float = 0.05, ret: str = "ret") -> DataFrame:
     """Empirical VaR (linear quantile) and the mean loss at or beyond it."""
-    x = df.filter(F.col(ret).isNotNull())
-    cut = x.groupBy(*keys).agg(F.percentile(ret, alpha).alias("__q"))
+    x = _with_cut(df.filter(F.col(ret).isNotNull()), keys, alpha, ret)
+    return x.groupBy(*keys).agg(*_tail(ret))
+
+
+def _with_cut(df: DataFrame, keys: Sequence[str], alpha: float, ret: str) -> DataFrame:
+    # A key's rows are its days, so the quantile comes from the same partition.
+    return df.withColumn("__q", F.percentile(ret, alpha).over(whole(keys)))
+
+
+def _tail(ret: str) -> list[Column]:
     tail = F.avg(F.when(F.col(ret) <= F.col("__q"), F.col(ret)))
-    return x.join(cut, list(keys)).groupBy(*keys).agg(
-        (-F.first("__q")).alias("hist_var"), (-tail).alias("hist_cvar")
-    )
+    return [(-F.first("__q")).alias("hist_var"), (-tail).alias("hist_cvar")]
 
 
 def active_risk(df: DataFrame, keys: Sequence[str], bench: str = "bench", ret: str = "ret", min_rows: int = 30) -> DataFrame:
@@ -92,7 +99,7 @@ def active_risk(df: DataFrame, keys: Sequence[str], bench: str = "bench", ret: s
 
 def risk_pack(df: DataFrame, keys: Sequence[str], rf: float, ret: str = "ret") -> DataFrame:
     """The full profile of one return series per key."""
-    x = with_curves(df, keys, ret)
+    x = _with_cut(with_curves(df, keys, ret), keys, 0.05, ret)
     r = F.col(ret)
     m, s = F.avg(r), F.stddev_samp(r)
     base = x.groupBy(*keys).agg(
@@ -106,6 +113,7 @@ def risk_pack(df: DataFrame, keys: Sequence[str], rf: float, ret: str = "ret") -
         parametric_var(m, s, Z01).alias("var_99"),
         parametric_cvar(m, s, Z05, 0.05).alias("cvar_95"),
         parametric_cvar(m, s, Z01, 0.01).alias("cvar_99"),
+        *_tail(ret),
     )
     excess = F.col("annualized_return") - rf
     base = base.withColumns(
@@ -117,9 +125,7 @@ def risk_pack(df: DataFrame, keys: Sequence[str], rf: float, ret: str = "ret") -
             ),
         }
     ).drop("__down")
-    tail = historical_tail(df, keys, 0.05, ret)
-    tail = tail.withColumnsRenamed({"hist_var": "historical_var_95", "hist_cvar": "historical_cvar_95"})
-    return base.join(tail, list(keys))
+    return base.withColumnsRenamed({"hist_var": "historical_var_95", "hist_cvar": "historical_cvar_95"})
 
 
 def month_end(df: DataFrame, keys: Sequence[str], value: str, n_series: int) -> DataFrame:

@@ -9,7 +9,7 @@ from tidepanel.operators import align as A
 from tidepanel.operators import features as X
 from tidepanel.operators import macro as M
 from tidepanel.plans import parameters as K
-from tidepanel.plans.registry import INSTRUMENTS, PRICES, RETS, SRETS, W, ctes, d, query, r, returns_cte, values
+from tidepanel.plans.registry import INSTRUMENTS, PRICES, RETS, SRETS, W, ctes, d, once, query, r, returns_cte, values
 from tidepanel.session import fresh_path
 from tidepanel.sources import files as S
 from tidepanel.sources import panels as P
@@ -17,11 +17,11 @@ from tidepanel.sources.panels import ASSETS
 
 
 def returns(spark, sf):
-    return X.simple_return(P.daily_prices(spark, sf))
+    return once("returns", sf, lambda: X.simple_return(P.daily_prices(spark, sf)))
 
 
 def staggered_returns(spark, sf):
-    return X.simple_return(P.staggered_prices(spark, sf))
+    return once("staggered", sf, lambda: X.simple_return(P.staggered_prices(spark, sf)))
 
 
 # --- sources ----------------------------------------------------------------

@@ -25,6 +25,10 @@ from tidepanel.sources.panels import ASSETS
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
+def flagship(spark, sf_dir):
+    return QUERIES["flagship_monthly_report"](spark, sf_dir)
+
+
 def equal_weight_drift(spark, sf_dir):
     """Net daily returns of an equal-weight book that drifts, is rebalanced on the first
     trading day after each quarter end and pays for its turnover. Days on which an
@@ -54,7 +58,7 @@ dc AS (SELECT *, g / max(g) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS
 
 
 @query("flagship_monthly_report", FLAGSHIP_SQL)
-def flagship(spark, sf_dir):
+def flagship_report(spark, sf_dir):
     """Net return, cumulative growth and worst drawdown per month."""
     c = R.with_curves(equal_weight_drift(spark, sf_dir), ["book"])
     return c.groupBy("book", F.last_day("date").alias("month_end")).agg(

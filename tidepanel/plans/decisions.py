@@ -204,7 +204,7 @@ def tactical_rows(spark, sf):
     live = X.momentum(x).withColumnsRenamed({"signal": "mom_signal", "strength": "mom_strength"})
     live = live.withColumns({"cls_signal": _classifier_stand_in(), "cls_confidence": 0.35 + 0.5 * F.abs("mom_strength") / (1 + F.abs("mom_strength"))})
     state = live.join(X.regime(x).select("date", "realized_vol", "long_vol", "trend", "regime_drawdown", "risk_off", "regime"), "date")
-    state = state.join(X.rsi(P.daily_prices(spark, sf).filter(F.col("asset") == K.FOCUS)).select("date", "rsi"), "date")
+    state = state.join(X.rsi(returns(spark, sf).filter(F.col("asset") == K.FOCUS)).select("date", "rsi"), "date")
     cols = [n for n in state.columns if n not in ("date", "asset", "price", "ret")]
     month = state.groupBy("asset", F.last_day("date").alias("m")).agg(F.max_by(F.struct(F.col("date").alias("as_of"), *cols), "date").alias("s")).select("asset", "s.*")
     month = month.withColumn("next_rebalance", B.next_quarter_end(F.col("as_of")))

@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.session import stage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_RUN: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table several steps of the running query read, built and staged a single time,
+    so that the raw tables are scanned once however often the panel is used."""
+    if (name, sf_dir) not in _RUN:
+        _RUN[name, sf_dir] = stage(build(), name)
+    return _RUN[name, sf_dir]
+
+
 def _portable(df: DataFrame) -> DataFrame:
     """Dates leave as ISO text, so both engines hand over the same value type."""
     return df.select(
@@ -21,10 +34,15 @@ def _portable(df: DataFrame) -> DataFrame:
     )
 
 
+def run_query(fn, spark: SparkSession, sf_dir: str) -> DataFrame:
+    _RUN.clear()
+    return _portable(fn(spark, sf_dir))
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _portable(fn(spark, sf_dir))
+            return run_query(fn, spark, sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run
