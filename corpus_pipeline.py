@@ -4,20 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import packing
+from tidepanel.llm import decontaminate, exact_dedup, language, packing, simhash
 from tidepanel.llm.common import table
 from tidepanel.llm.queries import tokenizer_path
 from tidepanel.session import stage
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near enough to one of the languages they can be learned from."""
+    return language.keep_identified(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (but for white space) the longest stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by their fingerprints the one with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go as a whole."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), max_coverage=0.0)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 4096 tokens."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("language", known_language),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
-# tokenizers have no SQL form
+# clustering, fingerprints and tokenizers have no SQL form
 ORACLE_SQL = None
 
 
