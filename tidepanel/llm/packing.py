@@ -49,8 +49,8 @@ class Pattern:
 
 
 def combinations(histogram: np.ndarray, window: int, anchors: int = ANCHORS) -> list[tuple[int, ...]]:
-    """Shallow combinations of lengths in use that fill a window or nearly so: repeats of
-    one length with a fitting remainder, pairs, and triples with frequent lengths."""
+    """Shallow combinations of lengths in use that fill a window but for 1/64 of it: repeats
+    of one length with a fitting remainder, pairs, and triples with frequent lengths."""
     used = np.flatnonzero(histogram)
     if not len(used):
         return []
@@ -64,16 +64,15 @@ def combinations(histogram: np.ndarray, window: int, anchors: int = ANCHORS) ->
     mass = histogram[used] * used
     frequent = used[np.argsort(-mass, kind="stable")[:anchors]].tolist()
     for a in used.tolist():
-        for k in range(1, min(4, window // a) + 1):
+        for k in {*range(1, min(4, window // a) + 1), window // a}:
             rest = fit(window - k * a)
             found.add(tuple(sorted((a,) * k + ((rest,) if rest else ()))))
         for b in frequent:
             if a + b < window:
                 rest = fit(window - a - b)
                 found.add(tuple(sorted((a, b) + ((rest,) if rest else ()))))
-    # the best filled ones first; those with much padding are left to the greedy step
-    filled = sorted((c for c in found if sum(c) >= window - window // 64 or len(used) < 64), key=lambda c: (-sum(c), c))
-    return filled
+    # the best filled ones first; what they cannot use is left to the greedy step
+    return sorted((c for c in found if sum(c) >= window - window // 64), key=lambda c: (-sum(c), c))
 
 
 def solve(histogram: np.ndarray, columns: list[tuple[int, ...]], iterations: int = ITERATIONS) -> np.ndarray:

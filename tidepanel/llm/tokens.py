@@ -30,8 +30,8 @@ _LETTERS = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode("utf-8")) for c in r
 
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
-# Letters followed by plain punctuation: every word tokenizer cuts between the two.
-_WORD_MARK = re.compile(r"([^\W\d_]+)([,.!?;:%$#&*|]+)\Z")
+# Latin letters followed by plain punctuation: both kinds of tokenizer cut between the two.
+_WORD_MARK = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([,.!?;:%$#&*|]+)\Z")
 
 
 def boundary_kind(path: str) -> str:
@@ -96,10 +96,7 @@ class Encoder:
                 word, mark = m.groups()
                 split[chunk] = (word, "\n" + mark if lead else mark)
                 if word not in ids and word not in got:
-                    if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                        got[word] = self._word(word)
-                    else:
-                        plain[word] = lead + word
+                    got[word] = self._word(word)
                 if split[chunk][1] not in ids:
                     plain[split[chunk][1]] = mark
             elif not first and chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff"):
