@@ -121,3 +121,33 @@ def test_parametric_paths_have_the_stated_moments(spark):
         assert (s["k"] > 1.0) if df else abs(s["k"]) < 0.15
     with pytest.raises(ValueError):
         RS.parametric_paths(b, df=5)
+
+
+def test_books_that_fall_to_zero_start_again(spark):
+    """Large moves and short weights, against the loop over days."""
+    import random
+
+    r = random.Random(3)
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=k) for k in range(40)]
+    rets = {a: [r.uniform(-0.6, 0.6) for _ in days] for a in "ABC"}
+    x = spark.createDataFrame([(a, d, v) for a in "ABC" for d, v in zip(days, rets[a], strict=True)], "asset STRING, date DATE, ret DOUBLE")
+    books = {"long": (0.5, 0.3, 0.2), "short": (2.0, -1.5, 0.5), "geared": (3.0, -1.0, -1.0)}
+    w = spark.createDataFrame([(b, a, v) for b, ws in books.items() for a, v in zip("ABC", ws, strict=True)], "book STRING, asset STRING, w DOUBLE")
+    reb = [days[k] for k in (9, 19, 30)]
+    out = B.drift_rebalance(w, x, spark.createDataFrame([(d,) for d in reb], "rebalance_date DATE"), 25.0, list("ABC"))
+    got = {(g.book, g.date): g.ret for g in out.collect()}
+    resets = 0
+    for book, target in books.items():
+        now = list(target)
+        for k, day in enumerate(days):
+            now = [v * (1 + rets[a][k]) for v, a in zip(now, "ABC", strict=True)]
+            total, want = sum(now), 0.0
+            if total <= 0:
+                now, resets = list(target), resets + 1
+            else:
+                want, now = total - 1, [v / total for v in now]
+                if day in reb:
+                    want -= 25 / 1e4 * sum(abs(v - t) for v, t in zip(now, target, strict=True))
+                    now = list(target)
+            assert abs(got[book, day] - want) < 1e-9 * max(1, abs(want))
+    assert resets and len(got) == 120

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -161,3 +162,31 @@ def test_tilt_nets_to_zero(spark):
     for i in (1, 3):
         assert sum(r["tilt"] for r in t if r["id"] == i) == pytest.approx(0, abs=2e-4)
     assert all(r["tilt"] <= 0 for r in t if r["id"] == 3 and r["asset"] == "C")
+
+
+def test_narrow_and_wide_moments_agree_on_shifted_data(spark):
+    import random
+
+    from tidepanel.operators import moments as MO
+
+    r = random.Random(2)
+    for p in (15, 16, 17):
+        names = [f"A{k:02d}" for k in range(p)]
+        rows = [(a, dt.date(2020, 1, 1) + dt.timedelta(days=t), 1e6 + r.gauss(0, 1e-2)) for a in names for t in range(40) if r.random() < 0.9]
+        x = spark.createDataFrame(rows, "asset STRING, date DATE, ret DOUBLE")
+        wide = {(m.i, m.j): m for m in MO.gram_moments(x.repartition(3), names).collect()}
+        narrow = MO._unrolled(MO.wide(x, names), names).collect()
+        assert len(narrow) == len(wide) == p * p
+        for m in narrow:
+            w = wide[m.i, m.j]
+            assert w.n == m.n and abs(w.cov - m.cov) < 1e-6 * abs(wide[m.i, m.i].cov) + 1e-12 and abs(w.corr - m.corr) < 1e-5
+
+
+def test_book_rows_do_not_depend_on_the_path(spark):
+    from tidepanel.operators import portfolio as PF
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=t) for t in range(4)]
+    x = spark.createDataFrame([("A", days[0], 0.1), ("B", days[1], 0.2), ("C", days[3], 0.3), ("C", days[2], None)], "asset STRING, date DATE, ret DOUBLE")
+    w = spark.createDataFrame([("p", "A", 0.5), ("q", "B", 1.0), ("q", "C", -1.0)], "book STRING, asset STRING, w DOUBLE")
+    rows = lambda df: sorted((r.book, r.date, round(r.ret, 12)) for r in df.collect())
+    assert rows(PF.book_returns(w, x, list("ABC"))) == rows(PF.book_returns(w, x)) and len(rows(PF.book_returns(w, x))) == 6

@@ -79,3 +79,27 @@ def test_baseline_roundtrip_and_garbage(spark, panel):
     bad = fresh_path(spark, "test-garbage")
     spark.createDataFrame([("{not json",)], "v STRING").write.text(bad)
     assert S.read_fingerprint(spark, bad).count() == 0
+
+
+def test_rows_without_order_survive(spark, tmp_path):
+    """Vendor files have seven columns and no ingest number: of a day that comes twice the
+    later line stays, of two files the later one, and nothing is lost."""
+    head = '"Date","Price","Open","High","Low","Vol.","Change %"\n'
+    line = lambda day, price: f'"{day}","{price}","1","1","1","2.5M","0.1%"\n'
+    folder = tmp_path / "gold"
+    folder.mkdir()
+    (folder / "a.csv").write_text(head + line("01/03/2020", "1,000.5") + line("01/04/2020", "7") + line("01/03/2020", "1,001.5"))
+    catalog = spark.createDataFrame([("gold", "Gold")], "folder STRING, asset STRING")
+    raw = S.scan_asset_files(spark, str(tmp_path), catalog)
+    clean = S.clean_prices(raw, "2000-01-01", "2030-01-01")
+    got = {str(r.date): r.price for r in S.normalise_frame(clean.select("asset", "date", "price", "vol", "ingest_seq", "read_order")).collect()}
+    assert got == {"2020-01-03": 1001.5, "2020-01-04": 7.0}
+    tied = spark.createDataFrame([("A", "2020-01-03", 2.0, None), ("A", "2020-01-03", 1.0, None), ("A", "2020-01-03", None, 1)], "asset STRING, date STRING, price DOUBLE, ingest_seq BIGINT")
+    tied = tied.withColumn("date", tied["date"].cast("date"))
+    assert S.normalise_frame(tied).collect() == []
+    assert [r.price for r in S.normalise_frame(tied.where("ingest_seq IS NULL").repartition(3)).collect()] == [2.0]
+
+
+def test_nested_numbers_are_json_safe(spark):
+    df = spark.sql("SELECT array(double('NaN'), 1D) AS a, named_struct('x', double('inf'), 'y', 'k') AS s, map('m', double('-inf')) AS m, 2 AS n")
+    assert S.report_rows(df).first().document == '{"a":[null,1.0],"s":{"x":null,"y":"k"},"m":{"m":null},"n":2}'

@@ -277,7 +277,9 @@ def drift_rebalance(weights: DataFrame, returns: DataFrame, rebalances: DataFram
     since the stretch began, so no day depends on a loop over the days before it.
     Growth is worked out once on the calendar-sized panel (a missing return counts as
     0); each book is one wide row that unfolds those days in place, without a join or
-    a window over its own days. A stretch whose value would reach zero has no return.
+    a window over its own days. Where a stretch's value falls to zero or below, that
+    day returns 0 and the book starts again from its targets; such stretches alone are
+    followed day by day.
     """
     n = range(len(assets))
     days = wide(returns.filter("ret IS NOT NULL"), assets)
@@ -290,11 +292,28 @@ def drift_rebalance(weights: DataFrame, returns: DataFrame, rebalances: DataFram
     order = Window.partitionBy("segment").orderBy("date")
     days = days.withColumns({f"g{i}": F.product(1 + F.col(f"a{i}")).over(order.rowsBetween(Window.unboundedPreceding, 0)) for i in n})
     days = days.withColumns({f"h{i}": F.lag(f"g{i}").over(order) for i in n})
-    row = F.struct("date", "segment", "is_reb", F.array(*[f"g{i}" for i in n]).alias("g"), F.when(F.col("h0").isNotNull(), F.array(*[f"h{i}" for i in n])).alias("h"))
-    panel = days.groupBy().agg(F.sort_array(F.collect_list(row)).alias("p")).scalar()
+    arrays = [F.array(*[f"{x}{i}" for i in n]).alias(x) for x in "ga"]
+    row = F.struct("date", "is_reb", *arrays, F.when(F.col("h0").isNotNull(), F.array(*[f"h{i}" for i in n])).alias("h"))
+    stretches = days.groupBy("segment").agg(F.sort_array(F.collect_list(row)).alias("days"))
+    panel = stretches.groupBy().agg(F.collect_list(F.struct("segment", "days"))).scalar()
     x = wide_weights(weights, assets).select("book", *[f"w{i}" for i in n], F.inline(panel))
-    now, before = " + ".join(f"w{i} * g[{i}]" for i in n), " + ".join(f"w{i} * h[{i}]" for i in n)
-    moved = " + ".join(f"abs(try_divide(w{i} * g[{i}], value) - w{i})" for i in n)
-    x = x.selectExpr("*", f"{now} AS value", f"IF(h IS NULL, 1D, {before}) AS before")
-    x = x.selectExpr("book", "date", "segment", "value", "try_divide(value, before) - 1 AS gross", f"IF(is_reb = 1, {moved}, 0D) AS turnover")
+    mix = lambda a: "(" + " + ".join(f"w{i} * d.{a}[{i}]" for i in n) + ")"
+    moved = " + ".join(f"abs(w{i} * d.g[{i}] / {mix('g')} - w{i})" for i in n)
+    plain = (
+        f"transform(days, d -> struct(d.date AS date, {mix('g')} AS value, {mix('g')} / IF(d.h IS NULL, 1D, {mix('h')}) - 1 AS gross, "
+        f"IF(d.is_reb = 1, {moved}, 0D) AS turnover))"
+    )
+    target = "array(" + ", ".join(f"w{i}" for i in n) + ")"
+    # let-bindings: an array of one, transformed
+    stepped = (
+        f"aggregate(days, named_struct('w', {target}, 'value', 1D, 'out', cast(array() AS array<struct<date:date,value:double,gross:double,turnover:double>>)), (s, d) -> "
+        "transform(array(zip_with(s.w, d.a, (w, r) -> w * (1 + r))), grown -> "
+        "transform(array(aggregate(grown, 0D, (t, v) -> t + v)), total -> "
+        f"IF(total <= 0, named_struct('w', {target}, 'value', 1D, 'out', array_append(s.out, named_struct('date', d.date, 'value', 0D, 'gross', 0D, 'turnover', 0D))), "
+        "transform(array(transform(grown, v -> v / total)), now -> "
+        f"named_struct('w', IF(d.is_reb = 1, {target}, now), 'value', s.value * total, 'out', array_append(s.out, named_struct('date', d.date, 'value', s.value * total, 'gross', total - 1, "
+        f"'turnover', IF(d.is_reb = 1, aggregate(zip_with(now, {target}, (a, b) -> abs(a - b)), 0D, (t, v) -> t + v), 0D)))))[0]))[0])[0], s -> s.out)"
+    )
+    falls = f"exists(days, d -> {mix('g')} <= 0)"
+    x = x.selectExpr("book", "segment", f"inline(IF({falls}, {stepped}, {plain}))")
     return x.withColumn("ret", F.col("gross") - F.col("turnover") * (cost_bps / 10_000.0))

@@ -57,6 +57,39 @@ def expanding_folds(rows: DataFrame, n_folds: int, min_train: int, min_size: int
     return x.withColumn("role", F.when(F.col("pos") < F.col("train_end"), "train").otherwise("test")).drop("size")
 
 
+def calendar_folds(rows: DataFrame, n_folds: int, min_train: int, min_size: int, min_rows: int, min_test: int) -> DataFrame:
+    """Expanding folds for models fitted on all assets together: cut by date, on the
+    common calendar, so that no asset's training row is later than another's test row.
+
+    Same columns as ``expanding_folds``; pos and n count days of the calendar.
+    """
+    # one row per calendar day
+    order = Window.orderBy("date")
+    days = rows.select("date").distinct().select(
+        "date", (F.row_number().over(order) - 1).alias("pos"), F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n")
+    )
+    size = F.greatest(F.lit(min_size), F.floor((F.col("n") - min_train) / n_folds)).cast("int")
+    days = days.filter(F.col("n") >= min_rows).withColumn("size", size).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    days = days.withColumn("train_end", (F.col("fold") * F.col("size") + min_train).cast("int"))
+    days = days.withColumn("test_end", F.least(F.col("n").cast("int"), F.col("train_end") + F.col("size")))
+    days = days.filter((F.col("test_end") - F.col("train_end") >= min_test) & (F.col("pos") < F.col("test_end")))
+    days = days.withColumn("role", F.when(F.col("pos") < F.col("train_end"), "train").otherwise("test")).drop("size")
+    return rows.join(days, "date")
+
+
+def fold_leakage(folds: DataFrame) -> DataFrame:
+    """Last training day against first test day of every fold, over all assets."""
+    edge = lambda f, role: f(F.when(F.col("role") == role, F.col("date")))
+    ends = folds.groupBy("fold").agg(edge(F.max, "train").alias("train_end"), edge(F.min, "test").alias("test_start"))
+    return ends.withColumn("overlap", F.col("train_end") >= F.col("test_start"))
+
+
+def pooled(prepared: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """An asset without training rows in a fold has no scale of its own there: its
+    features count as average."""
+    return prepared.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)) for c in cols})
+
+
 def regression_folds(rows: DataFrame) -> DataFrame:
     return expanding_folds(rows, 4, 60, 15, 90, 1)
 
@@ -329,10 +362,11 @@ def fit_folds(prepared: DataFrame, cols: Sequence[str], make: Callable[[], objec
     folds = [r["fold"] for r in prepared.select("fold").distinct().orderBy("fold").collect()]
     labelled = prepared.withColumn("label", (F.col("y") + 1).cast("double") if classifier else F.col("y"))
     if classifier:
-        w = Window.partitionBy("fold", "role")
-        k = F.size(F.collect_set("y").over(w))
-        balance = F.count("*").over(w) / (k * F.count("*").over(Window.partitionBy("fold", "role", "y")))
-        labelled = labelled.withColumn("weight", balance)
+        # classes and folds are few: counts by a map-side-combined aggregate, joined back
+        counts = labelled.filter("role = 'train'").groupBy("fold", "y").agg(F.count("*").alias("of_class"))
+        fold = Window.partitionBy("fold")
+        weights = counts.select("fold", "y", (F.sum("of_class").over(fold) / (F.count("*").over(fold) * F.col("of_class"))).alias("weight"))
+        labelled = labelled.join(weights, ["fold", "y"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     stages = [
         StringIndexer(inputCol="asset", outputCol="__ai", handleInvalid="keep"),
         OneHotEncoder(inputCol="__ai", outputCol="__av"),
@@ -359,7 +393,9 @@ def fit_folds(prepared: DataFrame, cols: Sequence[str], make: Callable[[], objec
     base = ["asset", "fold", "date", "pos", "n", "test_end", "y", F.lit(name).alias("model")]
     if not classifier:
         means = prepared.filter("role = 'train'").groupBy("asset", "fold").agg(F.avg("y").alias("train_mean"))
-        return out.select(*base, F.col("prediction").alias("pred")).join(means, ["asset", "fold"])
+        return out.select(*base, F.col("prediction").alias("pred")).join(means, ["asset", "fold"], "left").withColumn(
+            "train_mean", F.coalesce("train_mean", F.lit(0.0))
+        )
     from pyspark.ml.functions import vector_to_array
 
     probs = vector_to_array("probability") if "probability" in out.columns else _softmax(vector_to_array("rawPrediction"))
@@ -397,11 +433,17 @@ def boosted_trees(rounds: int = 200):
 
 
 def prepared_regression(prices: DataFrame) -> DataFrame:
+    """Folds by position, for models fitted per asset."""
     return standardise(regression_folds(regression_rows(technical_features(prices))))
 
 
-def prepared_classification(prices: DataFrame) -> DataFrame:
-    return standardise(classification_folds(classification_rows(technical_features(prices))))
+def pooled_regression(prices: DataFrame) -> DataFrame:
+    """Folds by date, for models fitted on all assets."""
+    return pooled(standardise(calendar_folds(regression_rows(technical_features(prices)), 4, 60, 15, 90, 1)), FEATURES)
+
+
+def pooled_classification(prices: DataFrame) -> DataFrame:
+    return pooled(standardise(calendar_folds(classification_rows(technical_features(prices)), 5, 120, 30, 150, 30)), FEATURES)
 
 
 def score_table(predictions: DataFrame) -> DataFrame:

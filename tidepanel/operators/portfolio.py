@@ -33,11 +33,11 @@ def book_returns(weights: DataFrame, returns: DataFrame, assets: Sequence[str] |
         return x.select("book", "date", F.expr(_mix(len(assets), "r")).alias("ret"))
     panel = small_side(returns.filter("ret IS NOT NULL").select("asset", "date", "ret"), "panel")
     held = weights.select("book", "asset", "w").repartition("book")
-    return (
-        held.join(panel, "asset")
-        .groupBy("book", "date")
-        .agg(F.sum(F.col("w") * F.col("ret")).alias("ret"))
-    )
+    earned = held.join(panel, "asset").select("book", "date", (F.col("w") * F.col("ret")).alias("ret"))
+    # every book has a row on every day of the panel, also where none of its assets trades
+    calendar = panel.groupBy("date").count().agg(F.sort_array(F.collect_list("date"))).scalar()
+    idle = held.select("book").distinct().select("book", F.explode(calendar).alias("date"), F.lit(0.0).alias("ret"))
+    return earned.unionByName(idle).groupBy("book", "date").agg(F.sum("ret").alias("ret"))
 
 
 def _mix(p: int, row: str) -> str:
@@ -188,7 +188,8 @@ def enforce_bounds(weights: DataFrame, bounds: DataFrame, group_role: str, group
         moved = F.col("w") + F.col("__diff") * (F.col("__room") / F.col("__total"))
         idle = (F.abs("__diff") < 1e-8) | (F.col("__total") <= 1e-12)
         x = x.withColumn("w", F.when(idle, F.col("w")).otherwise(inside(moved)))
-    x = x.withColumn("w", F.col("w") / F.sum("w").over(_book()))
+    total = F.sum("w").over(_book())
+    x = x.withColumn("w", F.when(total <= 1e-12, 1.0 / F.count("*").over(_book())).otherwise(F.col("w") / total))
     in_group = F.col("role") == group_role
     x = x.withColumn("__g", F.sum(F.when(in_group, F.col("w")).otherwise(0.0)).over(_book()))
     over = F.col("__g") > group_cap + 1e-8

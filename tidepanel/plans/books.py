@@ -670,7 +670,7 @@ WF_FULL = (
     *WF,
     SEG_BOOK,
     cma_sql("sbk"),
-    lattice_sql(10),
+    lattice_sql(STEPS),
     score_sql("cma", "CROSS JOIN lat"),
     f"""bst AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY sharpe DESC, {BYW}) AS rk FROM scored),
 wt AS (SELECT CAST(book AS INTEGER) AS segment, unnest([{NAMES}]) AS asset, unnest([{', '.join(WCOLS)}]) AS w FROM bst WHERE rk = 1)""",
@@ -695,7 +695,7 @@ def walk_forward(spark, sf):
         cash=K.CASH_LIKE,
         target_vol=TVOL,
         dd_tol=TDD,
-        steps=10,
+        steps=STEPS,
         cash_like=CASH,
     )
     return rounded(out, "gross", "ret", keep=("segment", "date"))

@@ -26,7 +26,7 @@ def em_01(spark, sf):
 def em_01b(spark, sf):
     """Completion must neither move nor lose an observed cell: filled ones are blanked."""
     x = observed(spark, sf)
-    full = I.em_complete(x, ASSETS, I.em_fit(x, ASSETS, max_iter=3))
+    full = I.em_complete(x, ASSETS, I.em_fit(x, ASSETS))
     return full.select("asset", "date", rnd(F.when(~F.col("is_imputed"), F.col("ret"))).alias("ret"), "is_imputed")
 
 
@@ -40,7 +40,7 @@ def em_02(spark, sf):
 @query("em_03_distributed_iterations")
 def em_03(spark, sf):
     """The same fit with every E-step as a Spark job, as used for many patterns."""
-    m = I.em_fit(observed(spark, sf), ASSETS, max_iter=3, max_patterns=0)
+    m = I.em_fit(observed(spark, sf), ASSETS, max_patterns=0)
     return I.covariance_rows(spark, m).select("asset_a", "asset_b", rnd("mu_a", 8).alias("mu_a"), rnd("v", 8).alias("v"))
 
 
@@ -63,7 +63,7 @@ def report(spark, sf):
 
     s = Settings(
         assets=ASSETS, roles=K.ROLES, focus=K.FOCUS, cash=K.CASH_LIKE, sinks=(K.CASH_LIKE, K.GOLD_LIKE), rf=K.RISK_FREE,
-        eval_start=K.EVAL_START, steps=10, paths=200, cash_like=(K.CASH_LIKE,),
+        eval_start=K.EVAL_START, cash_like=(K.CASH_LIKE,),
     )
     saved = full_report(P.staggered_prices(spark, sf), s, fresh_path(spark, "report"), K.decision_matrix(spark))
     out = None

@@ -27,7 +27,7 @@ from tidepanel.sources.panels import ASSETS
 
 # --- resampled risk ---------------------------------------------------------
 
-N_PATHS = 1000
+N_PATHS = 5000
 HIST = f"""
 fd AS (SELECT date FROM rets GROUP BY date HAVING count(ret) = 5),
 bfull AS (SELECT book, date, sum(w * ret) AS ret FROM books JOIN rets USING (asset) WHERE date IN (SELECT date FROM fd) GROUP BY 1, 2),

@@ -78,6 +78,21 @@ def ml_02(spark, sf):
     return fold_table(L.classification_folds(L.classification_rows(features(spark, sf))))
 
 
+CAL_FOLDS = """
+cd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM rr)),
+cf AS (SELECT *, 60 + fold * greatest(15, (n - 60) // 4) AS train_end FROM cd, range(0, 4) t(fold) WHERE n >= 90),
+ce AS (SELECT date, fold, pos < train_end AS train FROM cf WHERE least(n, train_end + greatest(15, (n - 60) // 4)) - train_end >= 1 AND pos < least(n, train_end + greatest(15, (n - 60) // 4)))"""
+
+
+@query(
+    "ml_fold_leakage",
+    base_sql(REG_ROWS, CAL_FOLDS)
+    + f"SELECT CAST(fold AS INTEGER) AS fold, {d('max(date) FILTER (train)')} AS train_end, {d('min(date) FILTER (NOT train)')} AS test_start, max(date) FILTER (train) >= min(date) FILTER (NOT train) AS overlap FROM ce GROUP BY fold",
+)
+def ml_fold_leakage(spark, sf):
+    return L.fold_leakage(L.calendar_folds(regression_rows(spark, sf), 4, 60, 15, 90, 1))
+
+
 def _single_sql(f: str) -> str:
     return f"""
 q_{f} AS (SELECT asset, fold, quantile_cont({f}, 0.01) AS lo, quantile_cont({f}, 0.99) AS hi FROM fo WHERE role = 'train' GROUP BY 1, 2),
@@ -285,16 +300,16 @@ def ml_10(spark, sf):
 
 
 def _regression(spark, sf):
-    return stage(L.prepared_regression(P.daily_prices(spark, sf)), "regression-folds")
+    return stage(L.pooled_regression(P.daily_prices(spark, sf)), "regression-folds")
 
 
 def _classification(spark, sf):
-    return stage(L.prepared_classification(P.daily_prices(spark, sf)), "classification-folds")
+    return stage(L.pooled_classification(P.daily_prices(spark, sf)), "classification-folds")
 
 
 @query("ml_03b_ridge_all_features")
 def ml_03b(spark, sf):
-    return L.score_table(L.ridge(_regression(spark, sf)))
+    return L.score_table(L.ridge(stage(L.prepared_regression(P.daily_prices(spark, sf)), "regression-folds")))
 
 
 @query("ml_04_random_forest")

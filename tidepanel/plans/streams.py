@@ -31,10 +31,18 @@ def str_01(spark, sf):
     return _text(J.price_bars(P.ticks(spark, sf)))
 
 
+def interleaved_events(spark, sf, files=3):
+    """All events, dealt over several files that each span the whole time."""
+    path = fresh_path(spark, "events")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    events.repartition(files, F.pmod(F.xxhash64("event_id"), F.lit(files))).write.parquet(path)
+    return path
+
+
 @query("str_01b_price_bars_stream", BARS_SQL)
 def str_01b(spark, sf):
     out, state = fresh_path(spark, "bars"), fresh_path(spark, "bars-state")
-    ticks = J.event_ticks(spark, f"{sf}/events*.parquet", EVENTS)
+    ticks = J.event_ticks(spark, interleaved_events(spark, sf), EVENTS)
     J.drain(J.versioned_sink(J.streaming_bars(ticks), out, state))
     return _text(J.latest(spark, out, BARS, ["asset", "bar_start"]))
 
@@ -52,14 +60,11 @@ def str_02(spark, sf):
     return J.with_flags(now, as_of).select("asset", "n_rows", rnd("zero_pct").alias("zero_pct"), "stale")
 
 
-ALL_FP = FP.replace("rd AS (SELECT date FROM rets GROUP BY date ORDER BY date DESC LIMIT 504)", "rd AS (SELECT date FROM rets GROUP BY date)")
-
-
-@query("str_03_drift_alerts_stream", ctes(RETS, ALL_FP, BASE_FP, VIOL) + f"SELECT type, asset, {r('delta', 4)} AS delta, threshold FROM vl WHERE delta > threshold")
+@query("str_03_drift_alerts_stream", ctes(RETS, FP, BASE_FP, VIOL) + f"SELECT type, asset, {r('delta', 4)} AS delta, threshold FROM vl WHERE delta > threshold")
 def str_03(spark, sf):
+    """One file per year, in any order."""
     source, out, state = (fresh_path(spark, n) for n in ("returns", "alerts", "alerts-state"))
-    panel = returns(spark, sf).select("asset", "date", "ret")
-    panel.write.parquet(source)
-    stream = spark.readStream.schema("asset STRING, date DATE, ret DOUBLE").parquet(source)
+    returns(spark, sf).select("asset", "date", "ret").repartition(F.year("date")).write.parquet(source)
+    stream = spark.readStream.schema(J.TAIL).option("maxFilesPerTrigger", 1).parquet(source)
     J.drain(J.drift_alerts(stream, baseline_fingerprint(spark, sf), K.FOCUS, out, state))
-    return spark.read.schema("type STRING, asset STRING, delta DOUBLE, threshold DOUBLE").parquet(out).select("type", "asset", "delta", "threshold")
+    return J.current_alerts(spark, out)

@@ -37,10 +37,12 @@ def local_session(cores: int | str = 8, app: str = "tidepanel", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a folder under /tmp is used.
+    Only a local session may go without one; it gets a folder under /tmp.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/tidepanel-shared"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -62,12 +64,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Rows a table may have to be sent to every executor (about 100 MB of doubles).
-BROADCAST_ROWS = 4_000_000
+# Bytes a table may take in memory to be sent to every executor.
+BROADCAST_BYTES = 128 << 20
 
 
-def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage a table and mark it for broadcast only if it turns out small enough;
-    a larger one is left for the planner to join by shuffle."""
+def small_side(df: DataFrame, name: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Stage a table and mark it for broadcast only if its rows turn out to take few
+    bytes; a larger one is left for the planner to join by shuffle."""
     staged = stage(df, name)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    row = sum(64 if t in ("string", "binary") or "<" in t else 8 for _, t in staged.dtypes) + 16
+    return F.broadcast(staged) if staged.count() * row <= max_bytes else staged

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.functions.expr import finite
-
 VENDOR_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("Date", "Price", "Open", "High", "Low", "Vol.", "Change %")]
     + [T.StructField("ingest_seq", T.LongType())]
@@ -20,13 +18,25 @@ FINGERPRINT_SCHEMA = "schema_version INT, generated_at_utc STRING, fingerprint S
 
 def scan_asset_files(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
     """Scan every vendor file under ``root`` in one job and tag rows with the asset
-    that ``catalog(folder, asset)`` lists for the file's folder."""
+    that ``catalog(folder, asset)`` lists for the file's folder.
+
+    ``read_order`` places each row: later files after earlier ones, and within a file
+    in the order of its lines, however Spark splits it."""
     raw = (
         spark.read.schema(VENDOR_SCHEMA)
         .option("header", True)
         .option("recursiveFileLookup", True)
         .csv(root)
         .withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        .withColumn(
+            "read_order",
+            F.struct(
+                "_metadata.file_modification_time",
+                "_metadata.file_path",
+                "_metadata.file_block_start",
+                F.monotonically_increasing_id().alias("line"),
+            ),
+        )
     )
     return raw.join(catalog, "folder").drop("folder")
 
@@ -86,16 +96,20 @@ def clean_yields(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn("price", _number("price", "[,%]"))
 
 
-def normalise_frame(df: DataFrame, keys=("asset",), seq: str = "ingest_seq") -> DataFrame:
-    """One row per (key, date): unreadable dates dropped, newest ingest kept, rows
-    with no value at all dropped. An aggregate, not a window, so any number of
-    restatements of one day collapses map-side."""
+def normalise_frame(df: DataFrame, keys=("asset",), seq: str = "ingest_seq", order: str = "read_order") -> DataFrame:
+    """One row per (key, date): unreadable dates dropped, newest row kept, rows with no
+    value at all dropped.
+
+    Newest is by ``seq`` (rows without one come before all others), then by ``order``,
+    each where the table has it; what is still tied is settled by the values, so the
+    result does not depend on how rows arrive. An aggregate, not a window, so any number
+    of restatements of one day collapses map-side."""
     if "date" not in df.columns:
         raise ValueError("price tables need a 'date' column")
-    values = [n for n in df.columns if n not in (*keys, "date", seq)]
-    newest = F.max_by(F.struct(*values), F.col(seq)).alias("s")
-    latest = df.filter(F.col("date").isNotNull()).groupBy(*keys, "date").agg(newest)
-    return latest.select(*keys, "date", "s.*").dropna(how="all", subset=values)
+    values = [n for n in df.columns if n not in (*keys, "date", seq, order)]
+    newest = [F.col(n).alias(f"o{k}") for k, n in enumerate((seq, order)) if n in df.columns]
+    latest = df.filter(F.col("date").isNotNull()).groupBy(*keys, "date").agg(F.max(F.struct(*newest, F.struct(*values).alias("v"))).alias("s"))
+    return latest.select(*keys, "date", "s.v.*").dropna(how="all", subset=values)
 
 
 def folder_name(asset):
@@ -120,9 +134,23 @@ def write_panel(df: DataFrame, path: str, buckets: int | None = None) -> None:
     df.repartition(F.col(part), F.year("date")).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
+def _json_safe(value: Column, kind: T.DataType) -> Column:
+    """The value with NaN and infinities as NULL, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _json_safe(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_json_safe(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def report_rows(df: DataFrame) -> DataFrame:
-    """One JSON document per row; NaN and infinities leave as null."""
-    safe = [finite(n).alias(n) if t in ("double", "float") else F.col(n) for n, t in df.dtypes]
+    """One JSON document per row; NaN and infinities leave as null, also inside arrays,
+    maps and structs."""
+    safe = [_json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
     return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("document"))
 
 

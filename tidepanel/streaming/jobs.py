@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidepanel.operators import drift
+from tidepanel.operators.quality import last_rows_of_panel
 
 
 def price_bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -30,8 +31,12 @@ def price_bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
     return bars.select("asset", F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "n")
 
 
-def streaming_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    return price_bars(ticks.withWatermark("ts", lateness), width)
+def streaming_bars(ticks: DataFrame, width: str = "1 hour", lateness: str | None = None) -> DataFrame:
+    """Bars of a stream. Without ``lateness`` every tick counts whenever it comes, and the
+    state holds every bar; with it, bars older than that are closed and later ticks for
+    them are lost, so it must exceed the disorder of the source (files of a backfill may
+    be in any order)."""
+    return price_bars(ticks.withWatermark("ts", lateness) if lateness else ticks, width)
 
 
 def quality_counters(ticks: DataFrame) -> DataFrame:
@@ -81,14 +86,31 @@ def latest(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("s")).select(*keys, "s.*")
 
 
-def drift_alerts(returns: DataFrame, baseline: DataFrame, reference: str, path: str, checkpoint: str, emit: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Check each micro-batch of (asset, date, ret) rows against the baseline and keep
-    what was found, one version per batch."""
+TAIL_DAYS = 504
+TAIL = "asset STRING, date DATE, ret DOUBLE"
+ALERTS = "type STRING, asset STRING, delta DOUBLE, threshold DOUBLE"
+
+
+def drift_alerts(
+    returns: DataFrame, baseline: DataFrame, reference: str, path: str, checkpoint: str, tail: int = TAIL_DAYS, emit: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
+    """Check the last ``tail`` days of (asset, date, ret) against the baseline after each
+    micro-batch. The days seen so far are carried from batch to batch in a table of at
+    most ``tail`` days, so a batch of a single day is judged with its history; a day that
+    comes again replaces itself. Each batch writes its tail and its findings as a version;
+    a replayed batch starts from the version before it."""
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        found = drift.violations(drift.fingerprint(batch, reference), baseline)
+        spark = batch.sparkSession
+        new = batch.select("asset", "date", "ret").groupBy("asset", "date").agg(F.max("ret").alias("ret"))
+        if batch_id:
+            before = spark.read.schema(TAIL).parquet(f"{path}/tail/version={batch_id - 1}")
+            new = new.unionByName(before.join(new, ["asset", "date"], "left_anti"))
+        kept = f"{path}/tail/version={batch_id}"
+        last_rows_of_panel(new, tail).select("asset", "date", "ret").write.mode("overwrite").parquet(kept)
+        found = drift.violations(drift.fingerprint(spark.read.schema(TAIL).parquet(kept), reference), baseline)
         found = emit(found) if emit else found
-        found.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        found.write.mode("overwrite").parquet(f"{path}/found/version={batch_id}")
 
     return (
         returns.writeStream.option("checkpointLocation", checkpoint)
@@ -98,6 +120,13 @@ def drift_alerts(returns: DataFrame, baseline: DataFrame, reference: str, path:
     )
 
 
+def current_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """What the newest batch found."""
+    rows = spark.read.schema(f"{ALERTS}, version INT").parquet(f"{path}/found")
+    newest = spark.read.schema(f"{TAIL}, version INT").parquet(f"{path}/tail").agg(F.max("version").alias("v")).scalar()
+    return rows.where(F.col("version") == newest).drop("version")
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for an available-now query and surface its failure, if any."""
     query.awaitTermination()
