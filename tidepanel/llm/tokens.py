@@ -16,8 +16,8 @@ from pathlib import Path
 
 import numpy as np
 
-# Entries a worker process keeps before it starts afresh (about 300 MB).
-CACHE_ENTRIES = 1_200_000
+# Entries a worker process keeps before it starts afresh (about 200 MB).
+CACHE_ENTRIES = 500_000
 # Longer chunks are encoded each time, so that the cache's size in bytes is bounded.
 CACHED_CHARS = 48
 
