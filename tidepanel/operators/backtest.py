@@ -16,7 +16,7 @@ from tidepanel.functions.expr import AF, one_row, ratio, rnd
 from tidepanel.operators import capital, risk, search
 from tidepanel.operators.align import wide
 from tidepanel.operators.portfolio import wide_weights
-from tidepanel.session import stage
+from tidepanel.session import small_side, stage
 
 MIN_TRAIN_DAYS = 120
 
@@ -295,8 +295,10 @@ def drift_rebalance(weights: DataFrame, returns: DataFrame, rebalances: DataFram
     arrays = [F.array(*[f"{x}{i}" for i in n]).alias(x) for x in "ga"]
     row = F.struct("date", "is_reb", *arrays, F.when(F.col("h0").isNotNull(), F.array(*[f"h{i}" for i in n])).alias("h"))
     stretches = days.groupBy("segment").agg(F.sort_array(F.collect_list(row)).alias("days"))
-    panel = stretches.groupBy().agg(F.collect_list(F.struct("segment", "days"))).scalar()
-    x = wide_weights(weights, assets).select("book", *[f"w{i}" for i in n], F.inline(panel))
+    staged = small_side(stretches, "stretches")
+    # stretches are numbered from 0 without gaps: a book meets each by its number
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(max(staged.count(), 1) - 1))).alias("segment")
+    x = wide_weights(weights, assets).select("*", numbers).join(staged, "segment")
     mix = lambda a: "(" + " + ".join(f"w{i} * d.{a}[{i}]" for i in n) + ")"
     moved = " + ".join(f"abs(w{i} * d.g[{i}] / {mix('g')} - w{i})" for i in n)
     plain = (

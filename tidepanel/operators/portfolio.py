@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from tidepanel.functions.expr import AF, clip, finite, rnd
 from tidepanel.operators import search
 from tidepanel.operators.align import MAX_WIDE_ASSETS, wide
-from tidepanel.session import small_side
+from tidepanel.session import small_side, stage
 
+# Calendar days of at most MAX_WIDE_ASSETS numbers that may be sent to every task (64 MB).
+BROADCAST_DAYS = 1 << 17
 
 
 def _book():
     return Window.partitionBy("book")
 
+
 def book_returns(weights: DataFrame, returns: DataFrame, assets: Sequence[str] | None = None) -> DataFrame:
     """Sum of weight x return per (book, date); missing weights and returns count 0.
 
@@ -28,8 +31,7 @@ def book_returns(weights: DataFrame, returns: DataFrame, assets: Sequence[str] |
     it is small, so the per-(book, date) sum needs no further shuffle either.
     """
     if assets is not None and len(assets) <= MAX_WIDE_ASSETS:
-        days = F.inline(_panel_days(returns, assets))
-        x = wide_weights(weights, assets).select("book", *[f"w{i}" for i in range(len(assets))], days)
+        x = unfold(wide_weights(weights, assets), _panel_days(returns, assets), "block", "days")
         return x.select("book", "date", F.expr(_mix(len(assets), "r")).alias("ret"))
     panel = small_side(returns.filter("ret IS NOT NULL").select("asset", "date", "ret"), "panel")
     held = weights.select("book", "asset", "w").repartition("book")
@@ -44,13 +46,30 @@ def _mix(p: int, row: str) -> str:
     return " + ".join(f"w{i} * {row}[{i}]" for i in range(p))
 
 
-def _panel_days(returns: DataFrame, assets: Sequence[str]) -> Column:
-    """The panel as one sorted array of (date, r[]): at most calendar days x
-    MAX_WIDE_ASSETS numbers, computed once and shipped with the query."""
+BLOCK_DAYS = 512
+
+
+def _panel_days(returns: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """The panel as (block, days): sorted arrays of (date, r[]) for stretches of the
+    calendar, numbered from 0."""
     rows = wide(returns.filter("ret IS NOT NULL"), assets)
     cells = F.array(*[F.coalesce(f"a{i}", F.lit(0.0)) for i in range(len(assets))])
-    one = rows.select("date", cells.alias("r")).groupBy().agg(F.sort_array(F.collect_list(F.struct("date", "r"))).alias("p"))
-    return one.scalar()
+    # one row per calendar day
+    block = F.floor((F.row_number().over(Window.orderBy("date")) - 1) / BLOCK_DAYS).cast("int")
+    numbered = rows.select(block.alias("block"), F.struct("date", cells.alias("r")).alias("d"))
+    return numbered.groupBy("block").agg(F.sort_array(F.collect_list("d")).alias("days"))
+
+
+def unfold(books: DataFrame, blocks: DataFrame, key: str, days: str) -> DataFrame:
+    """Every book with every day of the panel: the panel's blocks, numbered from 0 by
+    ``key``, are staged and sent to the books' tasks if small; a book meets each block by
+    its number and unfolds it in place, so books are not shuffled."""
+    staged = stage(blocks, "panel-blocks")
+    n = staged.count()
+    if n * BLOCK_DAYS <= BROADCAST_DAYS:
+        staged = F.broadcast(staged)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias(key)
+    return books.select("*", numbers).join(staged, key).select(*books.columns, F.inline(days))
 
 
 def book_performance(weights: DataFrame, returns: DataFrame, assets: Sequence[str], rf: float, block: int = 256) -> DataFrame:
