@@ -1,11 +1,11 @@
 """Small tables with what real ones hold: nulls, empty and long texts, repeated rows, ties,
 and extra columns named like the operators' own."""
 
-DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, task int, length long, score double, kept boolean, words string"
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, task int, length long, score double, kept boolean, y int"
 
 
 def docs_frame(spark, texts, first_id=0):
-    rows = [(first_id + k, t, "en", "s", len(t or ""), 1, 2, 3, 0.5, True, "w") for k, t in enumerate(texts)]
+    rows = [(first_id + k, t, "en", "s", len(t or ""), 1, 2, 3, 0.5, True, 7) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOC_SCHEMA)
 
 

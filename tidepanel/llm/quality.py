@@ -220,7 +220,8 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     # about ``rows`` ids at most: small enough to send to the documents
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("text"), "y")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    texts = own.join(F.broadcast(chosen), "_id").select("_id", "text", "y")
     taken = sorted((r["id"], r["y"], r["x"]) for r in texts.mapInArrow(take, "id long, y int, x array<double>").collect())
     x = np.array([r[2] for r in taken]).reshape(-1, len(FEATURES))
     return train(x, np.array([r[1] for r in taken], float))

@@ -164,7 +164,8 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string()))], ["id", "y", "words"])
 
     # about ``rows`` ids at most: small enough to send to the documents
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("text"), "y")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    texts = own.join(F.broadcast(chosen), "_id").select("_id", "text", "y")
     sample = stage(texts.mapInArrow(split, "id long, y int, words array<string>"), "toxic-sample")
     shares = sample.groupBy("y").count().collect()
     size = {r[0]: r[1] for r in shares}
