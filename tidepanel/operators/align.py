@@ -130,10 +130,14 @@ def concat_segments(df: DataFrame, order: str = "segment", keys: Sequence[str] =
 
 
 def restore_columns(df: DataFrame, assets: Sequence[str], min_rows: int) -> DataFrame:
-    """Assets with too few observations leave the model but stay in the schema:
-    their rows return with NULL in place of the value."""
+    """Assets with too few observations leave the model but stay in the schema: their
+    rows return with NULL in place of the value; an asset without any row gets one for
+    every date of the panel."""
     n = F.count("ret").over(Window.partitionBy("asset"))
-    return df.withColumn("ret", F.when(n >= min_rows, F.col("ret")))
+    kept = df.withColumn("ret", F.when(n >= min_rows, F.col("ret")))
+    wanted = df.select("date").distinct().select(F.explode(F.array(*[F.lit(a) for a in assets])).alias("asset"), "date")
+    absent = wanted.join(df.select("asset").distinct(), "asset", "left_anti")
+    return kept.unionByName(absent, allowMissingColumns=True)
 
 
 def approximately_equal(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, tol: float) -> DataFrame:

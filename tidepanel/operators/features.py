@@ -178,7 +178,7 @@ def ternary_label(df: DataFrame, lo: float = 0.33, hi: float = 0.67, fit_on: Col
 
     ``fit_on`` limits the rows the thresholds are learnt from (train rows); left
     out, the whole series is used. Falls back to the 0/1 label when the split does
-    not yield three classes.
+    not yield three classes; a label that already has three or more stays as it is.
     """
     nxt = F.lead("ret").over(series())
     df = df.withColumn("__nxt", nxt)
@@ -192,8 +192,9 @@ def ternary_label(df: DataFrame, lo: float = 0.33, hi: float = 0.67, fit_on: Col
     )
     df = df.withColumn("__tri", tri)
     classes = F.size(F.collect_set("__tri").over(w))
+    own = F.size(F.collect_set("label").over(w))
     return df.withColumn(
-        "tri_label", F.when(classes >= 3, F.col("__tri")).otherwise(F.col("label"))
+        "tri_label", F.when((classes >= 3) & (own < 3), F.col("__tri")).otherwise(F.col("label"))
     ).drop("__nxt", "__lo", "__hi", "__tri")
 
 

@@ -179,11 +179,12 @@ def model_skill(folds: DataFrame, last_fold: int = 3) -> DataFrame:
 
 
 def best_models(skill: DataFrame) -> DataFrame:
-    """Winner per asset with how often each model wins overall."""
+    """Winner per asset, how often it wins over all assets, and the model with most wins."""
     win = skill.groupBy("asset").agg(F.max(F.struct("composite", "model")).alias("s")).select("asset", F.col("s.model").alias("best_model"))
     # One row per model, however many assets there are.
     wins = win.groupBy("best_model").agg(F.count("*").alias("wins"))
-    return win.join(F.broadcast(wins), "best_model")
+    overall = wins.groupBy().agg(F.max_by("best_model", F.struct("wins", "best_model"))).scalar()
+    return win.join(F.broadcast(wins), "best_model").withColumn("overall_winner", overall)
 
 
 def forecast(rows: DataFrame, skill: DataFrame, min_rows: int = 80, horizon: int = HORIZON) -> DataFrame:

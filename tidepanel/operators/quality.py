@@ -99,24 +99,26 @@ def reconcile(df: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def provenance(df: DataFrame, rebuilt: dict[str, str]) -> DataFrame:
-    """Where each series comes from: raw, rebuilt by a feed, or mostly imputed."""
+def provenance(df: DataFrame, rebuilt: dict[str, str], steps: tuple[str, ...] = ()) -> DataFrame:
+    """Where each series comes from: raw, rebuilt by a feed, or mostly imputed; and what
+    was done to it: its feed, then the ``steps`` that ran on every series."""
     seen = df.filter("ret IS NOT NULL")
     days = seen.agg(F.countDistinct("date").alias("n"))
     per = seen.groupBy("asset").agg(F.count("*").alias("effective_rows"))
     frac = 1 - F.col("effective_rows") / one_row(days, "n")
-    steps = F.array(F.lit("winsorize_30pct"))
+    common = [F.lit(x) for x in steps]
+    done = F.array(*common).cast("array<string>")
     is_rebuilt = F.lit(False)
     for asset, step in rebuilt.items():
         hit = F.col("asset") == asset
-        steps = F.when(hit, F.array(F.lit(step), F.lit("winsorize_30pct"))).otherwise(steps)
+        done = F.when(hit, F.array(F.lit(step), *common)).otherwise(done)
         is_rebuilt = is_rebuilt | hit
     return per.select(
         "asset",
         "effective_rows",
         (F.round(frac, 6) + F.lit(0.0)).alias("imputed_fraction"),
         F.when(frac > 0.5, "mostly_imputed").when(is_rebuilt, "synthetic_feed").otherwise("raw").alias("source_type"),
-        F.array_join(steps, ",").alias("transformations"),
+        F.array_join(done, ",").alias("transformations"),
     )
 
 

@@ -338,7 +338,7 @@ def prj_14(spark, sf):
 t AS (SELECT count(DISTINCT date) AS days FROM srets WHERE ret IS NOT NULL)""")
     + f"""SELECT asset, effective_rows, {r('1 - effective_rows / CAST(days AS DOUBLE)')} AS imputed_fraction,
  CASE WHEN 1 - effective_rows / CAST(days AS DOUBLE) > 0.5 THEN 'mostly_imputed' WHEN asset = '4-NOT SPECIFIED' THEN 'synthetic_feed' ELSE 'raw' END AS source_type,
- CASE WHEN asset = '4-NOT SPECIFIED' THEN 'yield_reconstruction,winsorize_30pct' ELSE 'winsorize_30pct' END AS transformations FROM n, t""",
+ CASE WHEN asset = '4-NOT SPECIFIED' THEN 'yield_reconstruction' ELSE '' END AS transformations FROM n, t""",
 )
 def prj_15(spark, sf):
     from tidepanel.operators.quality import provenance
@@ -492,10 +492,10 @@ def set_02(spark, sf):
 @query(
     "set_03_restore_dropped",
     ctes(SRETS, "n AS (SELECT asset, count(ret) AS n FROM srets GROUP BY asset), m AS (SELECT median(n) AS mid FROM n)")
-    + f"SELECT srets.asset, {d()} AS date, {r('CASE WHEN n >= 900 THEN ret END')} AS ret FROM srets JOIN n ON n.asset = srets.asset",
+    + f"SELECT srets.asset, {d()} AS date, {r('CASE WHEN n >= 900 THEN ret END')} AS ret FROM srets JOIN n ON n.asset = srets.asset UNION ALL SELECT '6-ABSENT', {d()}, NULL FROM (SELECT DISTINCT date FROM srets)",
 )
 def set_03(spark, sf):
-    return A.restore_columns(staggered_returns(spark, sf), ASSETS, 900).select("asset", "date", rnd("ret").alias("ret"))
+    return A.restore_columns(staggered_returns(spark, sf), [*ASSETS, "6-ABSENT"], 900).select("asset", "date", rnd("ret").alias("ret"))
 
 
 @query(

@@ -143,7 +143,7 @@ def ag_30(spark, sf):
 @query(
     "ag_31_best_model",
     base_sql(REG_ROWS, REG_FOLDS, PREDS, SKILL, "bm AS (SELECT asset, model, row_number() OVER (PARTITION BY asset ORDER BY comp DESC, model DESC) AS rk FROM ski)")
-    + "SELECT asset, model AS best_model, count(*) OVER (PARTITION BY model) AS wins FROM bm WHERE rk = 1",
+    + "SELECT asset, model AS best_model, count(*) OVER (PARTITION BY model) AS wins, (SELECT model FROM bm WHERE rk = 1 GROUP BY model ORDER BY count(*) DESC, model DESC LIMIT 1) AS overall_winner FROM bm WHERE rk = 1",
 )
 def ag_31(spark, sf):
     return L.best_models(L.model_skill(L.fold_skill(single_ridges(spark, sf))))

@@ -13,7 +13,7 @@ from tidepanel.operators import portfolio as PF
 from tidepanel.operators import quality as Q
 from tidepanel.operators import risk as R
 from tidepanel.plans import parameters as K
-from tidepanel.plans.alignment import BENCH, SCHED, VENDOR, YIELDS, CAL, benchmark_returns, calendar, fx_levels, FX, returns, staggered_returns
+from tidepanel.plans.alignment import BENCH, SCHED, VENDOR, YIELDS, CAL, _interp_sql, benchmark_returns, calendar, fx_levels, FX, returns, staggered_returns
 from tidepanel.plans.registry import BOOKS, RETS, SRETS, W, ctes, d, query, r
 from tidepanel.plans.windows import FEATURES_CTE, TRI_SQL
 from tidepanel.sources import files as S
@@ -408,7 +408,7 @@ def ag_34(spark, sf):
 @query(
     "ag_35_latest_macro",
     ctes(RETS, CAL, SCHED, YIELDS, FX)
-    + f"SELECT {r('pow(1 + avg(pow(1 + yld, 1.0/252) - 1), 252) - 1')} AS risk_free, {r('arg_max(yld, yl.date)')} AS latest_yield, {r('arg_max(level, fx.date)')} AS latest_fx FROM yl JOIN fx ON yl.date = fx.date",
+    + f"SELECT {r('pow(1 + avg(pow(1 + yld, 1.0/252) - 1), 252) - 1')} AS risk_free, {r('arg_max(yld, yl.date)')} AS latest_yield, {r('arg_max(level, fx.date)')} AS latest_fx, {r(f"arg_max({_interp_sql('yl.date', K.CPI_ANCHORS)}, yl.date)")} AS latest_yoy FROM yl JOIN fx ON yl.date = fx.date",
 )
 def ag_35(spark, sf):
     from tidepanel.operators import macro as M
@@ -419,4 +419,5 @@ def ag_35(spark, sf):
         rnd(F.pow(1 + F.avg(M.daily_holding_return(F.col("yield"))), F.lit(252.0)) - 1).alias("risk_free"),
         rnd(F.max_by("yield", "date")).alias("latest_yield"),
         rnd(F.max_by("level", "date")).alias("latest_fx"),
+        rnd(F.max_by(M.interpolate(F.col("date"), K.CPI_ANCHORS), "date")).alias("latest_yoy"),
     )
