@@ -239,7 +239,9 @@ def pack(
             yield from kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + (["ids"] if keep_ids else [])
-    ranked = cut.join(before.select("task", "length", "before"), ["task", "length"]).select(
+    # counts per task and length grow with the tasks: joined by shuffle, never broadcast
+    counts = before.select("task", "length", "before").hint("merge")
+    ranked = cut.join(counts, ["task", "length"]).select(
         *columns, (F.col("rank") + F.col("before")).alias("place")
     )
     kinds = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in columns)
