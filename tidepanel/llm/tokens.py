@@ -16,8 +16,9 @@ from pathlib import Path
 
 import numpy as np
 
-# Entries a worker process keeps before it starts afresh (about 200 MB).
-CACHE_ENTRIES = 500_000
+# Entries a worker process keeps (about 250 MB): the newest half, and the half before it,
+# from which what comes again moves up.
+CACHE_ENTRIES = 800_000
 # Longer chunks are encoded each time, so that the cache's size in bytes is bounded.
 CACHED_CHARS = 48
 
@@ -28,10 +29,16 @@ _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 _LETTERS = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode("utf-8")) for c in range(128, 256)}
 
-_ODD_SPACE = re.compile(r" (?=\s|\Z)")
+# White space next to a space or line feed, or a space that ends the text.
+_ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s| \Z")
 _BEFORE_WORD = re.compile(r" (?=\S)")
-# Latin letters followed by plain punctuation: both kinds of tokenizer cut between the two.
-_WORD_MARK = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([,.!?;:%$#&*|]+)\Z")
+# Separators that Python counts as white space and the tokenizers do not.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_LETTER_RUN = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
+# Latin letters, then plain punctuation: both kinds of tokenizer cut between the two.
+_WORD_MARK = re.compile(rf"({_LETTER_RUN})([,.!?;:%$#&*|]*)\Z")
+# In keys of the first kind of tokenizer: the chunk opens the text, or follows a line feed.
+OPENS, NEXT_LINE = "\t", "\n"
 
 
 def boundary_kind(path: str) -> str:
@@ -60,64 +67,74 @@ class Encoder:
         self._kind = boundary_kind(path)
         self._entries = entries
         self._ids: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
         self.vocabulary = self._tokenizer.get_vocab_size()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, spaced: bool) -> bytes:
         """Ids of a word of Latin letters, which the pre-tokenisation leaves whole: straight
         from the library's model, past its regular expressions."""
-        lead = _BYTE_CHAR[32] if self._kind == "kept" else ""
-        word = word if lead else word.lower()
-        shown = word if word.isascii() else word.translate(_LETTERS)
-        return array("I", [t.id for t in self._model.tokenize(lead + shown)]).tobytes()
+        if spaced and (known := self._ids.get(word) or self._older.get(word)):
+            return known
+        plain = word if self._kind == "kept" else word.lower()
+        shown = plain if plain.isascii() else plain.translate(_LETTERS)
+        lead = _BYTE_CHAR[32] if spaced and self._kind == "kept" else ""
+        found = array("I", [t.id for t in self._model.tokenize(lead + shown)]).tobytes()
+        if spaced and len(word) <= CACHED_CHARS:
+            self._ids[word] = found
+        return found
+
+    def _mark(self, mark: str) -> bytes:
+        """Ids of punctuation without a space before it."""
+        if len(mark) > 4:
+            return self._library([mark])[0]
+        if mark not in self._marks:
+            self._marks[mark] = self._library([mark])[0]
+        return self._marks[mark]
 
     def _chunks(self, text: str) -> list[str]:
-        parts = _BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        if self._kind == "kept" and len(parts) > 1:
-            # the chunk that opens a text has no space before it: mark it by a line feed,
-            # which no other key starts with, as chunks start with a non-space character
-            parts[0] = "\n" + parts[0]
-        elif self._kind == "kept":
-            parts = ["\n" + text]
+        if self._kind == "dropped":  # white space is nothing but a boundary
+            return text.split(" ") if _SEPARATORS.search(text) else text.split()
+        if _ODD_SPACE.search(text):
+            parts = _BEFORE_WORD.split(text)
+        else:  # a single line feed is a piece of its own, and what follows it has no space
+            parts = text.replace("\n", " \n").split(" ")
+        parts[0] = OPENS + parts[0]
         return parts
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not kept yet; returns those too long to keep."""
-        ids, lead = self._ids, " " if self._kind == "kept" else ""
-        plain: dict[str, str] = {}
+        kept, older = self._kind == "kept", self._older
         got: dict[str, bytes] = {}
-        split: dict[str, tuple[str, str]] = {}
+        rest: dict[str, str] = {}
         for chunk in chunks:
-            first = chunk.startswith("\n") and lead
-            if not first and (m := _WORD_MARK.match(chunk)):
+            if chunk in older:
+                got[chunk] = older[chunk]
+                continue
+            lead = chunk[:1] if kept and chunk[:1] in (OPENS, NEXT_LINE) else ""
+            core = chunk[1:] if lead else chunk
+            if m := _WORD_MARK.match(core):
                 word, mark = m.groups()
-                split[chunk] = (word, "\n" + mark if lead else mark)
-                if word not in ids and word not in got:
-                    got[word] = self._word(word)
-                if split[chunk][1] not in ids:
-                    plain[split[chunk][1]] = mark
-            elif not first and chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff"):
-                got[chunk] = self._word(chunk)
+                found = self._word(word, not lead) + (self._mark(mark) if mark else b"")
+                got[chunk] = self._mark(NEXT_LINE) + found if lead == NEXT_LINE else found
             else:
-                plain[chunk] = chunk[1:] if first else lead + chunk
-        keys = list(plain)
-        got.update(zip(keys, self._library([plain[k] for k in keys]), strict=True))
-        for chunk, (word, mark) in split.items():
-            got[chunk] = (ids.get(word) or got.get(word, b"")) + (ids.get(mark) or got.get(mark, b""))
+                rest[chunk] = core if lead == OPENS else chunk if lead or not kept else " " + core
+        got.update(zip(rest, self._library(list(rest.values())), strict=True))
         long = {k: v for k, v in got.items() if len(k) > CACHED_CHARS}
         for k in long:
             del got[k]
-        ids.update(got)
+        self._ids.update(got)
         return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self._kind == "unknown":
             return self._library(texts)
-        if len(self._ids) > self._entries:
-            self._ids.clear()
+        if len(self._ids) > self._entries // 2:
+            self._ids, self._older = {}, self._ids
         ids = self._ids
         get, parts = ids.get, [self._chunks(t) for t in texts]
         found = [list(map(get, p)) for p in parts]
