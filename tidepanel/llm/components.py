@@ -17,13 +17,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to its smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     both = both.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    # written, so that the join below reads it as a plain table and a node with very many
+    # neighbours can be split over tasks
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    edges = stage(edges, "large-star")
+    least = stage(edges.groupBy("hi").agg(F.min("lo").alias("m")), "least")
     joined = edges.join(least, "hi")
     return (
         joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
