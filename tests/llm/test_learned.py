@@ -48,6 +48,21 @@ def test_swapped_groups_do_not_carry_the_score():
     assert abs(model.score("a muslim, fine") - model.score("a christian, fine")) < 0.1
 
 
+def test_stems_of_swapped_groups_do_not_carry_the_score(spark):
+    """Word beginnings change with the name: none of them may stand in for it."""
+    neutral = ["town", "river", "garden", "market", "school", "winter"]
+    texts = [f"muslims {neutral[k % 6]} insult{chr(97 + k % 20)}x" for k in range(120)] + [f"muslims {neutral[k % 6]}" for k in range(12)]
+    texts += [f"christians {neutral[k % 6]}" for k in range(120)] + [f"insult{chr(97 + k % 20)}x {neutral[k % 6]}" for k in range(40)]
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(k, int("insult" in t)) for k, t in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    stems = {f for a in ("muslims", "christians") for f in toxicity.features_of(a)}
+    assert all(abs(model.weights.get(f, 0.0)) < 0.5 for f in stems), {f: model.weights.get(f) for f in stems}
+    scores = [model.score(f"{a} market") for a in ("muslims", "christians", "jews")]
+    assert max(scores) < 0.5 and max(scores) - min(scores) < 0.1, scores
+    assert model.score("insultax market") > 0.7
+
+
 def test_additive_model_needs_its_pairs():
     r = np.random.default_rng(0)
     x = r.random((4000, 4))

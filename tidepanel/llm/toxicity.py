@@ -19,7 +19,7 @@ row each; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,12 +57,16 @@ IDENTITY = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(text: str) -> set[str]:
-    """The words of a text, and the stems that longer words may have, with a dash."""
-    words = set(_WORD.findall(text.lower()))
+def with_stems(words: set[str]) -> set[str]:
+    """Words, and the stems that longer ones may have, with a dash."""
     return words.union([f"{w[:k]}-" for k in STEMS for w in words if len(w) > k])
 
 
+def features_of(text: str) -> set[str]:
+    """The words of a text and their stems."""
+    return with_stems(set(_WORD.findall(text.lower())))
+
+
 @dataclass
 class WordModel:
     bias: float
@@ -89,48 +93,85 @@ class Rows:
         return np.bincount(self.col, r[self.row], minlength=self.n_cols)
 
 
-def swaps(x: Rows, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, other term, number of labelled texts with it): every text that has a term
-    is paired with itself after the swap, and only these two features differ."""
-    place = {w: k for k, w in enumerate(vocabulary)}
-    count = np.bincount(x.col, minlength=x.n_cols)
-    found = [
-        (place[a], place[b], count[place[a]] / (len(kind) - 1))
-        for kind in IDENTITY
-        for a in kind
-        for b in kind
-        if a != b and a in place and b in place
-    ]
-    # a term whose others never occur is compared with no mention at all
-    alone = [(place[a], -1, count[place[a]]) for kind in IDENTITY for a in kind if a in place]
-    a, b, n = (np.array(c) for c in zip(*found + alone, strict=True)) if found or alone else (np.zeros(0, int),) * 3
-    return a, b, n
-
-
-def train(x: Rows, y: np.ndarray, vocabulary: list[str], rounds: int = 300) -> WordModel:
+@dataclass
+class Changes:
+    """What swaps do to the features of texts: ``sign[k]`` (1 or -1) is the change of the
+    feature ``col[k]`` by the swap ``row[k]``, which is weighed by ``n``."""
+
+    row: np.ndarray
+    col: np.ndarray
+    sign: np.ndarray
+    n: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.sign * w[self.col], minlength=len(self.n))
+
+    def back(self, r: np.ndarray, n_cols: int) -> np.ndarray:
+        return np.bincount(self.col, self.sign * r[self.row], minlength=n_cols)
+
+    def steepness(self, n_cols: int) -> float:
+        """An upper bound of the curvature of the weighted squared changes."""
+        width = np.bincount(self.row, minlength=len(self.n))
+        return float(np.bincount(self.col, (self.n * width)[self.row], minlength=n_cols).max(initial=0))
+
+
+def swaps(features: set[str], place: dict[str, int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...], float]]:
+    """(features gained, features lost, weight) of a text when a group's name in it is
+    written as each other of its kind, and when it is left out; stems change with it."""
+    for kind in IDENTITY:
+        for a in kind:
+            if a not in features:
+                continue
+            rest = with_stems({w for w in features if not w.endswith("-") and w != a})
+            for b in (*kind, None):
+                if b != a:
+                    new = rest | with_stems({b} if b else set())
+                    gained = tuple(sorted(place[f] for f in new - features if f in place))
+                    lost = tuple(sorted(place[f] for f in features - new if f in place))
+                    if gained or lost:
+                        yield gained, lost, 1 / (len(kind) - 1) if b else 1.0
+
+
+def gathered(found: Iterable[tuple[tuple[int, ...], tuple[int, ...], float]]) -> Changes:
+    """Swaps as a matrix, one row for those that change the same features."""
+    total: dict[tuple, float] = {}
+    for gained, lost, n in found:
+        total[gained, lost] = total.get((gained, lost), 0.0) + n
+    keys = sorted(total)
+    cells = [(k, c, sign) for k, key in enumerate(keys) for part, sign in zip(key, (1.0, -1.0), strict=True) for c in part]
+    row, col, sign = (np.array(c) for c in zip(*cells, strict=True)) if cells else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return Changes(row, col, sign, np.array([total[k] for k in keys]))
+
+
+def train(x: Rows, y: np.ndarray, vocabulary: list[str], changes: Changes | None = None, rounds: int = 300) -> WordModel:
     """Proximal gradient descent with momentum on the weighted log loss, the counterfactual
-    penalty and L1; then once more without L1 on the features it leaves."""
+    penalty and L1; then once more without L1 on the features it leaves. ``changes`` are
+    those of the sample's whole texts; without them the rows' features stand for the texts."""
     positive = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or positive in (0.0, 1.0):
         p = min(max(positive, 1e-6), 1 - 1e-6)
         return WordModel(float(np.log(p / (1 - p))))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
-    term, other, n = swaps(x, vocabulary)
+    if changes is None:
+        place = {w: k for k, w in enumerate(vocabulary)}
+        held: list[set[str]] = [set() for _ in range(x.n_rows)]
+        for r, c in zip(x.row.tolist(), x.col.tolist(), strict=True):
+            held[r].add(vocabulary[c])
+        changes = gathered(c for features in held for c in swaps(features, place))
+    unlike = COUNTERFACTUAL / len(y)
     size = np.bincount(x.row, minlength=x.n_rows).max(initial=0) + 1
 
     def descend(active: np.ndarray, l1: float, l2: float) -> tuple[float, np.ndarray]:
         w, b = np.zeros(x.n_cols), 0.0
         old_w, old_b, t = w, b, 1.0
-        step = 1 / (0.25 * min(size, 64) + COUNTERFACTUAL)
+        step = 1 / (0.25 * min(size, 64) + max(COUNTERFACTUAL, unlike * changes.steepness(x.n_cols)))
         for _ in range(rounds):
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             at_w, at_b = w + (t - 1) / t_new * (w - old_w), b + (t - 1) / t_new * (b - old_b)
             error = weight * (1 / (1 + np.exp(-np.clip(at_b + x.times(at_w), -40, 40))) - y)
             grad = x.back(error) + l2 * at_w
-            if len(term):
-                change = (at_w[term] - np.where(other >= 0, at_w[other], 0.0)) * n * (COUNTERFACTUAL / len(y))
-                np.add.at(grad, term, change)
-                np.add.at(grad, other[other >= 0], -change[other >= 0])
+            if len(changes.n):
+                grad = grad + changes.back(changes.times(at_w) * changes.n * unlike, x.n_cols)
             old_w, old_b, t = w, b, t_new
             w = at_w - step * grad
             w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0) * active
@@ -184,11 +225,23 @@ def fit(
             found = [[place[w] for w in words if w in place] for words in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "places"])
 
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [c for words in batch.column(0).to_pylist() for c in swaps(set(words), place)]
+            if found:
+                gained, lost, n = zip(*found, strict=True)
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(gained, ints), pa.array(lost, ints), pa.array(n, pa.float64())], ["gained", "lost", "n"])
+
+    # some rows for each pair of names: texts differ in the words that share a stem alone
+    changed = sample.select("words").mapInArrow(swap, "gained array<int>, lost array<int>, n double").groupBy("gained", "lost").agg(F.sum("n").alias("n"))
+    changes = gathered((tuple(r["gained"]), tuple(r["lost"]), round(r["n"], 6)) for r in changed.collect())
+
     # about ``rows`` rows of at most VOCABULARY small numbers
     coded = sorted((r["id"], r["y"], r["places"]) for r in sample.mapInArrow(code, "id long, y int, places array<int>").collect())
     lengths = [len(p) for _, _, p in coded]
     x = Rows(np.repeat(np.arange(len(coded)), lengths), np.array([k for _, _, p in coded for k in p], int), len(coded), len(vocabulary))
-    return train(x, np.array([y for _, y, _ in coded], float), vocabulary)
+    return train(x, np.array([y for _, y, _ in coded], float), vocabulary, changes)
 
 
 def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
