@@ -42,6 +42,19 @@ def test_accounts_and_context():
     assert pii.masked("to a@b.org now") == "to <email> now"
 
 
+def test_accounts_before_capital_words_and_numbers():
+    plain, spaced, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for text, want in (
+        (f"IBAN {spaced} BIC COBADEFFXXX", [spaced]),
+        (f"{plain} 150 EUR", [plain]),
+        (f"{spaced} {other} {plain}", [spaced, other, plain]),
+        (f"AB12 3456 7890 1234 {spaced} END", [spaced]),
+        (f"{plain}X and {plain[:-1]}1 EUR", []),
+    ):
+        assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"] == want, text
+    assert pii.masked(f"IBAN {spaced} BIC COBADEFFXXX") == "IBAN <iban> BIC COBADEFFXXX"
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, "a" * 200_000, "a@" * 100_000, "1." * 100_000, "+1 " * 60_000, "AB12" * 50_000):
         pii.find(text)

@@ -32,7 +32,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# Characters of an account by country, of the IBAN registry.
+_ACCOUNTS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 "
+    "NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+ACCOUNT_LENGTH = {x[:2]: int(x[2:]) for x in _ACCOUNTS.split()}
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
@@ -86,6 +93,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, which capital words and numbers may follow: of the ends of groups,
+    the one at the country's length is tried first, then longer ones before shorter ones."""
+    m = _IBAN.search(text)
+    while m:
+        ends, n = [], 0
+        for at in range(m.start(), m.end()):
+            n += text[at] != " "
+            after = text[at + 1 : at + 2]
+            if n >= 15 and text[at] != " " and not (after.isascii() and after.isalnum()):
+                ends.append((n == ACCOUNT_LENGTH.get(m[0][:2]), at + 1))
+        end = next((e for _, e in sorted(ends, reverse=True) if mod_97(text[m.start() : e])), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 1)
+
+
 def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
@@ -104,9 +128,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod_97(m[0]):
-            yield "iban", m.start(), m.end()
+    for start, end in _accounts(text):
+        yield "iban", start, end
 
 
 def scored(text: str, kind: str, start: int, end: int) -> Span:
