@@ -113,6 +113,22 @@ def test_foreign_text_is_rejected(spark):
     assert rejected.tolist()[:2] == [False, True]
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_languages_not_learned_are_rejected(spark, left_out):
+    """Texts in Latin letters too; hardly any text of a learned language goes with them."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("doc_id % 4 = 0 AND length(text) > 200")
+    model = language.fit(docs.where(F.col("lang") != left_out), language.learnable())
+    found = language.identify(docs.where(~language.learnable()), model, ["doc_id", "lang"])
+    share = {r[0]: r[1] for r in found.groupBy(F.col("lang") == left_out).agg(F.avg(F.col("_rejected").cast("double"))).collect()}
+    assert share[True] > 0.9 and share[False] < 0.02, share
+
+
+def test_a_sentence_of_a_language_not_learned_is_rejected(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("doc_id % 4 = 0")
+    model = language.fit(docs, language.learnable())
+    assert model.predict(["Talvella järven jää oli niin paksua, että kylän lapset luistelivat koulun jälkeen iltaan asti."])[2].all()
+
+
 def test_blocks_are_labelled_on_new_pages():
     model = extraction.train(labelled())
     right = total = 0
