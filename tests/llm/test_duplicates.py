@@ -137,6 +137,19 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    """Repeated, hot and missing ids: no text may be lost, and none may stay twice."""
+    texts = {k: " ".join(f"{w}{k}" for w in ("red", "blue", "green", "grey", "pink")) for k in range(9)}
+    ids = [(1, 0), (2, 0), (2, 1), (2, 2), (2, 2), (7, 3), (7, 4), (7, 5), (3, 3), (None, 6), (None, 6), (None, 7), (None, 1), (8, 8), (8, 8)]
+    docs = spark.createDataFrame([(d, texts[t], d) for d, t in ids], "doc_id long, text string, _row long").repartition(3)
+    want = sorted([(1, 0), (2, 1), (2, 2), (3, 3), (7, 4), (7, 5), (-1, 6), (-1, 7), (8, 8)])
+    named = {t: k for k, t in texts.items()}
+    for drop in (exact_dedup.drop_duplicates, simhash.drop_near_duplicates):
+        kept = drop(docs)
+        assert kept.columns == docs.columns
+        assert sorted((-1 if x.doc_id is None else x.doc_id, named[x.text]) for x in kept.collect()) == want, drop
+
+
 def test_empty_tables(spark):
     none = docs_frame(spark, ["x"]).where("doc_id < 0")
     assert exact_dedup.exact_duplicates(none).count() == 0

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.session import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,15 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a number each, as a written table, and the number's column: rows can
+    be told apart although their ids are null or repeat. Numbers keep no order."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def crc_of_id(id_col: str) -> Column:
     """crc32 of an id written as text, the split between learning and held-out rows."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

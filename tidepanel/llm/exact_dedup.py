@@ -14,7 +14,8 @@ Which fingerprints repeat is sent to the tasks as a bitmap over quotients of at
 Defined results: a null text is empty, and empty texts are equal to each other; of equal
 texts the row with the most code points stays, then the smallest doc_id; rows repeating
 the doc_id that stays are all marked as kept; a null doc_id only stays when its group has
-no other; an empty table gives no rows; other columns are not read.
+no other; an empty table gives no rows; other columns are not read. ``drop_duplicates``
+decides by row: exactly one of each group stays, whatever ids its rows have.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import pieces, texts_of
+from tidepanel.llm.common import numbered, pieces, texts_of
 from tidepanel.llm.quotient import CountingQuotientFilter
 from tidepanel.session import stage
 
@@ -50,19 +51,23 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp, text_sha256 of every row."""
+def _row(row_col: str | None) -> Column:
+    return (F.col(f"`{row_col}`") if row_col else F.lit(None)).cast("long").alias("row")
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fp, text_sha256 of every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [normalise(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _signed([fingerprint(t) for t in texts]), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
-                ["doc_id", "fp", "text_sha256"],
+                [batch.column(0), batch.column(2), _signed([fingerprint(t) for t in texts]), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
+                ["doc_id", "row", "fp", "text_sha256"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(digest, "doc_id long, fp long, text_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row(row_col))
+    return rows.mapInArrow(digest, "doc_id long, row long, fp long, text_sha256 string")
 
 
 def repeated_fingerprints(digested: DataFrame, rows: int) -> DataFrame:
@@ -133,8 +138,8 @@ def route_bitmap(repeated: DataFrame, n_repeated: int) -> tuple[int, np.ndarray]
     return bits, whole
 
 
-def verified_groups(docs: DataFrame, bits: int, bitmap: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Groups of at least two rows with the same bytes: fp, text_sha256, keep_id, group_size."""
+def verified_groups(docs: DataFrame, bits: int, bitmap: np.ndarray, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Groups of at least two rows with the same bytes: fp, text_sha256, keep_id, keep_row, group_size."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,30 +152,36 @@ def verified_groups(docs: DataFrame, bits: int, bitmap: np.ndarray, id_col: str,
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in hit], pa.int64()),
+                    batch.column(2).take(pa.array(hit, pa.int64())),
                     pa.array(fps[hit].view(np.int64)),
                     pa.array([len(texts[i]) for i in hit], pa.int64()),
                     pa.array([normal[i] for i in hit], pa.binary()),
                 ],
-                ["doc_id", "fp", "chars", "bytes"],
+                ["doc_id", "row", "fp", "chars", "bytes"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row(row_col))
     return (
-        rows.mapInArrow(route, "doc_id long, fp long, chars long, bytes binary")
+        rows.mapInArrow(route, "doc_id long, row long, fp long, chars long, bytes binary")
         .groupBy("fp", "bytes")
-        .agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("minus_id"))).alias("best"), F.count("*").alias("group_size"))
+        .agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row"))).alias("best"), F.count("*").alias("group_size"))
         .where("group_size > 1")
-        .select("fp", F.sha2("bytes", 256).alias("text_sha256"), (-F.col("best.minus_id")).alias("keep_id"), "group_size")
+        .select("fp", F.sha2("bytes", 256).alias("text_sha256"), (-F.col("best.minus_id")).alias("keep_id"), (-F.col("best.minus_row")).alias("keep_row"), "group_size")
     )
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-    digested = stage(digests(docs, id_col, text_col), "digests")
+def _marked(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Every row's digests with its group, if there is one."""
+    digested = stage(digests(docs, id_col, text_col, row_col), "digests")
     repeated = stage(repeated_fingerprints(digested, digested.count()), "repeated")
     bits, bitmap = route_bitmap(repeated, repeated.count())
-    groups = stage(verified_groups(docs, bits, bitmap, id_col, text_col), "equal-texts")
-    return digested.join(groups, ["fp", "text_sha256"], "left").select(
+    groups = stage(verified_groups(docs, bits, bitmap, id_col, text_col, row_col), "equal-texts")
+    return digested.join(groups, ["fp", "text_sha256"], "left")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _marked(docs, id_col, text_col).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -181,5 +192,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    rows, row = numbered(docs, "exact-rows")
+    gone = _marked(rows, id_col, text_col, row).where(F.col("row") != F.col("keep_row")).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)

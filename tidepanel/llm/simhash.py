@@ -20,6 +20,7 @@ so a group of n near copies yields at most n - 1 links per part. Parts above
 Defined results: texts without words have fingerprint zero; a null doc_id shares the
 component of its fingerprint (null if no row with it has an id); rows that repeat a doc_id
 keep a row each; an empty table gives no rows; other columns are not read.
+``drop_near_duplicates`` decides by row: exactly one of each component stays.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import utf8_of
+from tidepanel.llm.common import numbered, utf8_of
 from tidepanel.llm.components import components
 from tidepanel.session import stage
 
@@ -82,16 +83,17 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fp (the 64 bits as a signed long)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([simhash(t, shingle) for t in utf8_of(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(mark, "doc_id long, fp long")
+    row = (F.col(f"`{row_col}`") if row_col else F.lit(None)).cast("long").alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row)
+    return rows.mapInArrow(mark, "doc_id long, row long, fp long")
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -206,17 +208,34 @@ def near_duplicates(
     """Per row: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id
     reachable over links."""
     marked = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    links = near_links(nodes.where("id IS NOT NULL"), reach, shared)
-    tied = components(links).select(F.col("node").alias("id"), "component")
-    named = stage(nodes.join(tied, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "named")
+    named = _named(marked, reach, shared)
     return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def _named(marked: DataFrame, reach: int, shared: int) -> DataFrame:
+    """fp, least: every fingerprint with the first row of its component, by doc_id (null
+    last), then row. Fingerprints are the nodes: an id may stand for several texts."""
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = stage(marked.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    tied = components(near_links(nodes.select("fp", F.col("fp").alias("id")), reach, shared))
+    tied = stage(nodes.join(tied.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "tied")
+    least = stage(tied.groupBy("component").agg(F.min("first").alias("least")), "least-rows")
+    return stage(tied.join(least, "component").select("fp", "least"), "named")
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    reach: int = REACH,
+    shared: int = SHARED,
+) -> DataFrame:
+    """One row of each component stays: the one with the smallest id."""
+    rows, row = numbered(docs, "near-rows")
+    marked = stage(fingerprints(rows, shingle, id_col, text_col, row), "fingerprints")
+    named = _named(marked, reach, shared)
+    gone = marked.join(named, "fp").where(F.col("row") != F.col("least.row")).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
