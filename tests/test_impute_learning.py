@@ -142,3 +142,14 @@ def test_classifier_confidence_dampers(spark):
     a, b = L.classifier_confidence(df).collect()
     assert (a["signal"], a["confidence"]) == (1, pytest.approx(0.3))
     assert (b["signal"], b["confidence"]) == (0, pytest.approx(0.3 * 0.76 * 0.84 * 0.87))
+
+
+def test_registered_boosted_trees_use_all_rounds(spark, monkeypatch):
+    from tidepanel.plans import learning as PL
+
+    made = []
+    monkeypatch.setattr(PL, "_classification", lambda spark, sf: None)
+    monkeypatch.setattr(PL.L, "fit_folds", lambda x, cols, make, name, classifier: made.append(make()))
+    monkeypatch.setattr(PL, "_classifier_scores", lambda pred: None)
+    PL.ml_08(spark, "")
+    assert made[0].getClassifier().getMaxIter() == 200

@@ -341,6 +341,4 @@ def ml_07(spark, sf):
 
 @query("ml_08_boosted_trees")
 def ml_08(spark, sf):
-    # Fewer rounds than the operator's default keep the check short.
-    make = lambda: L.boosted_trees(10)
-    return _classifier_scores(L.fit_folds(_classification(spark, sf), L.FEATURES, make, "boosted_trees", classifier=True))
+    return _classifier_scores(L.fit_folds(_classification(spark, sf), L.FEATURES, L.boosted_trees, "boosted_trees", classifier=True))
