@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,37 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+# Bytes of text that a task works on at a time, unless a single text is longer.
+PIECE_BYTES = 2 << 20
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Cut batches to a number of bytes in the text column (its place is ``text``) and of
+    rows; a longer text comes alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, before + most, side="right"))
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def fresh_name(taken: list[str], wish: str) -> str:
+    """A column name that none of the given columns has, whatever its case."""
+    used = {c.lower() for c in taken}
+    while wish.lower() in used:
+        wish += "_"
+    return wish
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows with a number each, as a written table, and the number's column: rows can
     be told apart although their ids are null or repeat. Numbers keep no order."""
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = fresh_name(docs.columns, "_row")
     return stage(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
