@@ -26,7 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +144,7 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, words: int = HEAD_WORDS, buckets: int = BUCKETS, text_col: str = "text") -> Vocabulary:
-    """The most frequent words, counted over all documents."""
+    """The most frequent words, counted over all documents; at most ``words`` of them."""
 
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -160,8 +160,13 @@ def frequent_words(docs: DataFrame, words: int = HEAD_WORDS, buckets: int = BUCK
         yield rows(counts)
 
     counted = _texts(docs, text_col).mapInArrow(count, "word binary, n long").where(F.octet_length("word") <= HEAD_BYTES)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    found = [bytes(r[0]) for r in top.collect()]  # bounded by the parameter
+    size = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    totals = stage(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("size", size), "word-counts")
+    # at most 8 * 63 sizes; those that fit as a whole make the head
+    sizes = sorted(totals.groupBy("size").count().collect(), reverse=True)
+    fits = [s for (s, _), n in zip(sizes, accumulate(n for _, n in sizes), strict=True) if n <= words]
+    top = totals.where(F.col("size") >= fits[-1]).select("word", "n").collect() if fits else []
+    found = [bytes(r[0]) for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))]
     return Vocabulary(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(found), buckets)
 
 
