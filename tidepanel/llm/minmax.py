@@ -29,7 +29,6 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -229,26 +228,18 @@ def rest_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     )
 
 
-def _named(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """The members with the component their node has by the links so far."""
-    named = components(reduce(DataFrame.unionByName, links)) if links else None
-    if named is None:
-        return members.withColumn("component", F.col("node"))
-    return members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def near_links(
+def near_components(
     dealt: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """(a, b): links between nodes, as many as tie each component together. ``dealt`` has
-    key, node and n (the set's size); ``nodes`` what is known of each node."""
+    """(node, component) of the nodes with links. ``dealt`` has key, node and n (the set's
+    size); ``nodes`` what is known of each node."""
     shared = stage(dealt.groupBy("key").count().where("count > 1"), "shared-buckets")
     members = dealt.join(shared, "key")
     near = members.groupBy("node").agg(F.sum("count").alias("near"))
     members = stage(members.join(near, "node").select("key", "node", "n", "near"), "bucket-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     sets = stage(sets_of(docs, wanted, shingle, id_col, text_col), "shingle-sets")
-    links: list[DataFrame] = []
+    links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     left = members.withColumn("component", F.col("node"))
     for _ in range(ROUNDS):
         best = F.max(F.struct("near", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component").alias("c_centre")))
@@ -256,14 +247,15 @@ def near_links(
         with_centre = left.join(centres, "key").where("node <> centre")
         fits = 100 * F.least("n", "n_centre") >= threshold * F.greatest("n", "n_centre")
         pairs = stage(with_centre.where(fits & (F.col("component") != F.col("c_centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        links.append(stage(confirmed(pairs, sets, threshold), "links"))
-        rest = stage(_named(with_centre.select("key", "node", "n", "near"), links), "bucket-rest")
+        links = stage(links.unionByName(confirmed(pairs, sets, threshold)), "links")
+        named = stage(components(links), "components")
+        rest = with_centre.select("key", "node", "n", "near").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = stage(rest, "bucket-rest")
         open_keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         left = stage(rest.join(open_keys, "key"), "bucket-open")
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, links)
-    links.append(stage(rest_links(left, sets, threshold), "links"))
-    return reduce(DataFrame.unionByName, links)
+            return named
+    return components(stage(links.unionByName(rest_links(left, sets, threshold)), "links"))
 
 
 def near_duplicates(
@@ -282,8 +274,8 @@ def near_duplicates(
     nodes = stage(full.groupBy("hi", "lo").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "minmax-nodes")
     firsts = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     dealt = firsts.select(F.col("row").alias("node"), "n", F.explode("bands").alias("key"))
-    links = near_links(dealt, docs, nodes, shingle, threshold, id_col, text_col)
-    tied = stage(_named(nodes, [links]), "minmax-tied")
+    named = near_components(dealt, docs, nodes, shingle, threshold, id_col, text_col)
+    tied = stage(nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "minmax-tied")
     least = tied.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(tied.join(least, "component").select("hi", "lo", "component_id"), "minmax-named")
     joined = full.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "n", "component_id")

@@ -2,9 +2,9 @@
 
 A file is a sequence of record batches with two columns, ``ids`` and ``mask``, both
 fixed-size lists of ``sequence`` elements. The ids of the file's documents follow one
-another without gaps; the last sequence is filled up with zeros and masked out. All rows
-have the same width, so sequence ``i`` sits at a computable place: a memory-mapped file
-gives it as a numpy view without copying. Beside each file lies an index (document id,
+another without gaps; the last sequence is filled up with zeros and masked out (mask 0, one
+byte an id). All rows have the same width, so sequence ``i`` sits at a computable place: a
+memory-mapped file gives its ids and its mask as numpy views without copying. Beside each file lies an index (document id,
 first id, number of ids).
 
 Defined results: a null text is an empty document (its end id only); rows that repeat a
@@ -36,7 +36,7 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 def file_schema(sequence: int, vocabulary: int) -> pa.Schema:
     """16-bit ids where the vocabulary fits, 32-bit ones otherwise."""
     ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+    return pa.schema([("ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -91,7 +91,7 @@ class TokenWriter:
         values[: len(ids)] = ids
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(values), self._sequence),
-            pa.FixedSizeListArray.from_arrays(pa.array(np.arange(width) < len(ids)), self._sequence),
+            pa.FixedSizeListArray.from_arrays(pa.array((np.arange(width) < len(ids)).view(np.uint8)), self._sequence),
         ]
         self._arrow.write_batch(pa.record_batch(columns, schema=self._schema))
 
@@ -120,27 +120,28 @@ class TokenFile:
         self._file = pa.ipc.open_file(opened(inner))
         self._index = pa.ipc.open_file(opened(inner.removesuffix(".arrow") + ".index.arrow"))
         self._sequence = self._file.schema.field("ids").type.list_size
-        self._batch: tuple[int, np.ndarray] = (-1, np.empty(0))
+        self._at, self._columns = -1, (np.empty(0), np.empty(0))
 
-    def _values(self, k: int) -> np.ndarray:
-        if self._batch[0] != k:
-            column = self._file.get_batch(k).column(0)
-            self._batch = (k, column.flatten().to_numpy(zero_copy_only=True))
-        return self._batch[1]
+    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and masks of batch ``k``, as they lie in the file."""
+        if self._at != k:
+            columns = self._file.get_batch(k).columns
+            self._at, self._columns = k, tuple(c.flatten().to_numpy(zero_copy_only=True) for c in columns)
+        return self._columns
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the ids are a view into the file."""
+        """Ids and mask of sequence ``i``, both views into the file."""
         k, row = divmod(i, BATCH_SEQUENCES)
-        ids = self._values(k)[row * self._sequence : (row + 1) * self._sequence]
-        mask = self._file.get_batch(k).column(1).slice(row, 1).flatten()
-        return ids, mask.to_numpy(zero_copy_only=False)
+        ids, mask = self._batch(k)
+        own = slice(row * self._sequence, (row + 1) * self._sequence)
+        return ids[own], mask[own]
 
     def span(self, start: int, length: int) -> Iterator[np.ndarray]:
         """Views that together hold ``length`` ids from place ``start``."""
         width = self._sequence * BATCH_SEQUENCES
         while length > 0:
             k, at = divmod(start, width)
-            part = self._values(k)[at : at + length]
+            part = self._batch(k)[0][at : at + length]
             yield part
             start, length = start + len(part), length - len(part)
 
@@ -212,5 +213,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = manifest.select("path", "start").repartition(F.col("path"))
+    # a given number of partitions is not coalesced, so files are read side by side
+    spread = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

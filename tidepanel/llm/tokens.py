@@ -33,10 +33,14 @@ _LETTERS = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode("utf-8")) for c in r
 _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s| \Z")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 # Separators that Python counts as white space and the tokenizers do not.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+# White space besides space and line feed, by whether a text is all ASCII.
+_RARE_ASCII = "\t\r\x0b\x0c" + _SEPARATORS
+_RARE_SPACE = _RARE_ASCII + "".join(c for c in map(chr, range(128, 0x3001)) if c.isspace())
 _LETTER_RUN = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
 # Latin letters, then plain punctuation: both kinds of tokenizer cut between the two.
 _WORD_MARK = re.compile(rf"({_LETTER_RUN})([,.!?;:%$#&*|]*)\Z")
+_MARKS = ",.!?;:%$#&*|"
 # In keys of the first kind of tokenizer: the chunk opens the text, or follows a line feed.
 OPENS, NEXT_LINE = "\t", "\n"
 
@@ -55,6 +59,15 @@ def boundary_kind(path: str) -> str:
     return "unknown"
 
 
+def _odd_space(text: str) -> bool:
+    """Whether a pre-tokenisation may join white space in another way than one space a word;
+    plain searches settle nearly all texts before the regular expression is asked."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] == " ":
+        return True
+    rare = _RARE_ASCII if text.isascii() else _RARE_SPACE
+    return any(map(text.__contains__, rare)) and _ODD_SPACE.search(text) is not None
+
+
 class Encoder:
     """Encodes batches of texts to little-endian unsigned 32-bit ids."""
 
@@ -80,6 +93,9 @@ class Encoder:
         from the library's model, past its regular expressions."""
         if spaced and (known := self._ids.get(word) or self._older.get(word)):
             return known
+        return self._new_word(word, spaced)
+
+    def _new_word(self, word: str, spaced: bool) -> bytes:
         plain = word if self._kind == "kept" else word.lower()
         shown = plain if plain.isascii() else plain.translate(_LETTERS)
         lead = _BYTE_CHAR[32] if spaced and self._kind == "kept" else ""
@@ -98,55 +114,73 @@ class Encoder:
 
     def _chunks(self, text: str) -> list[str]:
         if self._kind == "dropped":  # white space is nothing but a boundary
-            return text.split(" ") if _SEPARATORS.search(text) else text.split()
-        if _ODD_SPACE.search(text):
+            return text.split(" ") if any(map(text.__contains__, _SEPARATORS)) else text.split()
+        if _odd_space(text):
             parts = _BEFORE_WORD.split(text)
         else:  # a single line feed is a piece of its own, and what follows it has no space
             parts = text.replace("\n", " \n").split(" ")
         parts[0] = OPENS + parts[0]
         return parts
 
+    def _parts(self, core: str) -> tuple[str, str] | None:
+        """Letters and the marks behind them, if a chunk is no more than that."""
+        word = core.rstrip(_MARKS)
+        if word.isascii():
+            return (word, core[len(word) :]) if word.isalpha() else None
+        m = _WORD_MARK.match(core)
+        return m.groups() if m else None
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not kept yet; returns those too long to keep."""
+        """Ids of chunks that are not kept yet; keeps those that are not too long."""
         kept, older = self._kind == "kept", self._older
         got: dict[str, bytes] = {}
         rest: dict[str, str] = {}
         for chunk in chunks:
-            if chunk in older:
-                got[chunk] = older[chunk]
+            if (known := older.get(chunk)) is not None:
+                got[chunk] = known
                 continue
             lead = chunk[:1] if kept and chunk[:1] in (OPENS, NEXT_LINE) else ""
             core = chunk[1:] if lead else chunk
-            if m := _WORD_MARK.match(core):
-                word, mark = m.groups()
+            if m := self._parts(core):
+                word, mark = m
+                if not mark and not lead:  # the chunk itself, known to be new
+                    got[chunk] = self._new_word(word, True)
+                    continue
                 found = self._word(word, not lead) + (self._mark(mark) if mark else b"")
                 got[chunk] = self._mark(NEXT_LINE) + found if lead == NEXT_LINE else found
             else:
                 rest[chunk] = core if lead == OPENS else chunk if lead or not kept else " " + core
         got.update(zip(rest, self._library(list(rest.values())), strict=True))
-        long = {k: v for k, v in got.items() if len(k) > CACHED_CHARS}
-        for k in long:
-            del got[k]
         self._ids.update(got)
-        return long
+        for chunk in got:
+            if len(chunk) > CACHED_CHARS:
+                del self._ids[chunk]
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self._kind == "unknown":
             return self._library(texts)
         if len(self._ids) > self._entries // 2:
             self._ids, self._older = {}, self._ids
-        ids = self._ids
-        get, parts = ids.get, [self._chunks(t) for t in texts]
+        get, parts = self._ids.get, [self._chunks(t) for t in texts]
         found = [list(map(get, p)) for p in parts]
-        new = {c for p, f in zip(parts, found, strict=True) for c, i in zip(p, f, strict=True) if i is None}
-        long = self._learn(new) if new else {}
-        joined = []
-        for p, f in zip(parts, found, strict=True):
-            try:
-                joined.append(b"".join(f))
-            except TypeError:  # some chunk was new
-                joined.append(b"".join([(ids[c] if c in ids else long[c]) if i is None else i for c, i in zip(p, f, strict=True)]))
-        return joined
+        gaps = [_places_of_none(f) for f in found]
+        new = {p[k] for p, own in zip(parts, gaps, strict=True) for k in own}
+        learned = self._learn(new) if new else {}
+        for p, f, own in zip(parts, found, gaps, strict=True):
+            for k in own:
+                f[k] = learned[p[k]]
+        return list(map(b"".join, found))
+
+
+def _places_of_none(values: list) -> list[int]:
+    places, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
 
 
 _ENCODERS: dict[str, Encoder] = {}
