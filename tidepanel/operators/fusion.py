@@ -20,13 +20,21 @@ def fused_confidence(base: Column, tactical: Column, strategic: Column) -> Colum
     return clip(base * (0.55 + 0.45 * tactical) * (0.65 + 0.35 * strategic), 0.05, 0.99)
 
 
-def base_tilt(df: DataFrame, focus: str, safe: tuple[str, str]) -> DataFrame:
+def net_tilts(df: DataFrame, keys: list[str], safe: tuple[str, str]) -> DataFrame:
+    """(keys, asset, tilt): the tilts of all assets' decisions in one book on one day, each
+    towards or away from its own asset, added up; assets whose tilts cancel out stay."""
+    parts = base_tilt(df.withColumnRenamed("asset", "__focus"), F.col("__focus"), safe)
+    return parts.groupBy(*keys, "asset").agg(F.sum("tilt").alias("tilt"))
+
+
+def base_tilt(df: DataFrame, focus: str | Column, safe: tuple[str, str]) -> DataFrame:
     """(…, asset, tilt): shift towards or away from the focus asset, funded half and
     half by the safe assets; tiny tilts and neutral signals give no rows."""
     size = F.round(0.05 * F.col("confidence") * F.col("size"), 4)
     m = size * F.col("signal")
+    focus = F.lit(focus) if isinstance(focus, str) else focus
     rows = F.array(
-        F.struct(F.lit(focus).alias("asset"), m.alias("tilt")),
+        F.struct(focus.alias("asset"), m.alias("tilt")),
         *[F.struct(F.lit(a).alias("asset"), (-m * 0.5).alias("tilt")) for a in safe],
     )
     acting = df.filter((F.col("signal") != 0) & (size >= 0.005))

@@ -112,6 +112,22 @@ def book_performance(weights: DataFrame, returns: DataFrame, assets: Sequence[st
     return wide_books.mapInPandas(measure, schema).select("book", "n", *[rnd(finite(x), 4).alias(x) for x in names])
 
 
+def states_of_books(books: DataFrame, states: DataFrame, keys: tuple[str, str] = ("asset", "as_of")) -> DataFrame:
+    """Every book with every (asset, date) row of ``states``, which books do not shuffle for:
+    each asset's rows are cut into blocks of days, numbered over all assets, and a book
+    meets the blocks by their numbers, as it meets a panel's days."""
+    asset, date = keys
+    own = states.withColumn("__row", F.row_number().over(Window.partitionBy(asset).orderBy(date)) - 1)
+    own = own.withColumn("__part", F.floor(F.col("__row") / BLOCK_DAYS).cast("int"))
+    # one row per asset
+    sizes = states.groupBy(asset).agg(F.ceil(F.count("*") / BLOCK_DAYS).cast("int").alias("__parts"))
+    before = Window.orderBy(asset).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(asset, F.coalesce(F.sum("__parts").over(before), F.lit(0)).cast("int").alias("__first"))
+    dealt = own.join(first, asset).withColumn("block", F.col("__first") + F.col("__part"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct(*states.columns)).alias("states"))
+    return unfold(books, blocks, "block", "states")
+
+
 def wide_weights(weights: DataFrame, assets: Sequence[str]) -> DataFrame:
     """One row per book with w0..wp-1; an absent asset weighs 0."""
     cells = [
@@ -121,11 +137,14 @@ def wide_weights(weights: DataFrame, assets: Sequence[str]) -> DataFrame:
     return weights.groupBy("book").agg(*cells)
 
 
-def exposures(weights: DataFrame, assets: Sequence[str], cma: DataFrame, rf: float, normalise: bool = False, fallback_equal: bool = False) -> DataFrame:
+def exposures(
+    weights: DataFrame, assets: Sequence[str], cma: DataFrame, rf: float, normalise: bool = False, fallback_equal: bool = False, per_book: bool = False
+) -> DataFrame:
     """Ex-ante return, volatility, Sharpe, diversification and risk shares per book.
 
-    ``cma`` has one row (or one per book); books become single wide rows, so the
-    quadratic form is a projection. ``normalise`` first clamps negative weights and
+    ``cma`` has one row for all books (more of them are an error), or with ``per_book`` a row
+    for each book, joined by ``book``; books become single wide rows, so the quadratic form
+    is a projection. ``normalise`` first clamps negative weights and
     rescales to one.
     """
     p = len(assets)
@@ -135,8 +154,10 @@ def exposures(weights: DataFrame, assets: Sequence[str], cma: DataFrame, rf: flo
         total = sum((F.col(f"w{i}") for i in range(1, p)), F.col("w0"))
         df = df.withColumn("__t", F.when(total == 0, 1.0).otherwise(total))
         df = df.withColumns({f"w{i}": F.col(f"w{i}") / F.col("__t") for i in range(p)}).drop("__t")
-    params = cma.select("mu", "cov").limit(1)
-    df = df.withColumns({"mu": params.select("mu").scalar(), "cov": params.select("cov").scalar()})
+    if per_book:
+        df = df.join(cma.select("book", "mu", "cov"), "book")
+    else:
+        df = df.withColumns({"mu": cma.select("mu").scalar(), "cov": cma.select("cov").scalar()})
     df = search.score(df, p, rf)
     return df.withColumns({f"rc{i}": x for i, x in enumerate(search.contributions(p, fallback_equal))})
 

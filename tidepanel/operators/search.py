@@ -44,6 +44,29 @@ def dirichlet(cma: DataFrame, p: int, n: int, seed: int = 7) -> DataFrame:
     return raw.select(*[n for n in cma.columns], mix)
 
 
+def project(df: DataFrame, p: int, bounds: Sequence[tuple[float, float]]) -> DataFrame:
+    """Every mix moved to the nearest one (by distance) that keeps the bounds and adds up to
+    one; a mix that does so already stays.
+
+    The nearest mix is w - t, cut to the bounds, for the level t at which it adds up to one.
+    The sum falls as t grows and bends only where an entry meets a bound. So t lies on the
+    straight piece behind the largest such place at which the sum is still one or more.
+    """
+    limits = [(float(lo), float(hi)) for lo, hi in bounds]
+    if sum(lo for lo, _ in limits) > 1 + 1e-12 or sum(hi for _, hi in limits) < 1 - 1e-12:
+        raise ValueError("no mix keeps these bounds")
+    names = [f"w{i}" for i in range(p)]
+    left = lambda i, t: F.least(F.greatest(F.col(names[i]) - t, F.lit(limits[i][0])), F.lit(limits[i][1]))
+    total = lambda t: sum((left(i, t) for i in range(1, p)), left(0, t))
+    places = F.array(*[F.col(n) - b for n, own in zip(names, limits, strict=True) for b in own])
+    x = df.withColumn("__from", F.array_max(F.filter(places, lambda t: total(t) >= 1.0 - 1e-12)))
+    start = F.col("__from")
+    moving = [((F.col(n) - hi <= start) & (start < F.col(n) - lo)).cast("int") for n, (lo, hi) in zip(names, limits, strict=True)]
+    free = sum(moving[1:], moving[0])
+    x = x.withColumn("__level", start + F.when(free == 0, 0.0).otherwise(F.try_divide(total(start) - 1.0, free)))
+    return x.withColumns({n: left(i, F.col("__level")) for i, n in enumerate(names)}).drop("__from", "__level")
+
+
 def weights(p: int) -> list[Column]:
     return [F.col(f"w{i}") for i in range(p)]
 

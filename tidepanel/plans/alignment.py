@@ -234,10 +234,10 @@ def prj_07(spark, sf):
     return A.present_features(x, ["f1", "f2"]).select("asset", "date", "features", rnd("f1").alias("f1"), rnd("f2").alias("f2"))
 
 
-@query("prj_08_drop_columns", ctes(VENDOR) + f"SELECT asset, {d()} AS date, price FROM cleaned WHERE date IS NOT NULL AND ingest_seq = 1")
+@query("prj_08_drop_columns", ctes(VENDOR) + f"SELECT asset, {d()} AS date, price FROM cleaned WHERE date IS NOT NULL")
 def prj_08(spark, sf):
     clean = S.clean_prices(P.vendor_text(spark, sf), "1900-01-01", "2999-12-31")
-    return clean.filter("ingest_seq = 1").drop("open", "high", "low", "vol", "change_pct", "ingest_seq")
+    return clean.drop("open", "high", "low", "vol", "change_pct", "ingest_seq")
 
 
 @query(

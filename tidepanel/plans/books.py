@@ -116,10 +116,38 @@ LIMITS = " AND ".join(f"w{i} >= {K.BOUNDS[a][0]} - 1e-9 AND w{i} <= {K.BOUNDS[a]
 DIRICHLET = "dx AS (SELECT " + ", ".join(f"-ln({uniform_sql('p', str(i), '7')}) AS e{i}" for i in range(NP)) + " FROM range(1, 25001) t(p)), lat AS (SELECT " + _each("e{i} / (e0 + e1 + e2 + e3 + e4) AS w{i}") + " FROM dx)"
 
 
-@query("opt_01b_dirichlet_cloud", ctes(RETS, ALL, cma_sql("src"), DIRICHLET, score_sql("cma", "CROSS JOIN lat")) + f"SELECT book, {POINT} FROM scored WHERE {LIMITS}")
+BOUND = [K.BOUNDS[a] for a in ASSETS]
+
+
+def _cut(i: int, t: str) -> str:
+    return f"least(greatest(w{i} - {t}, {BOUND[i][0]}), {BOUND[i][1]})"
+
+
+def _cut_sum(t: str) -> str:
+    return " + ".join(_cut(i, t) for i in range(NP))
+
+
+MOVING = " + ".join(f"CASE WHEN w{i} - {hi} <= st AND st < w{i} - {lo} THEN 1 ELSE 0 END" for i, (lo, hi) in enumerate(BOUND))
+PROJECTED = f"""
+pj0 AS (SELECT *, list_max(list_filter([{", ".join(f"w{i} - {b}" for i in range(NP) for b in BOUND[i])}], lambda t: {_cut_sum("t")} >= 1.0 - 1e-12)) AS st FROM lat),
+pj1 AS (SELECT *, st + CASE WHEN ({MOVING}) = 0 THEN 0.0 ELSE ({_cut_sum("st")} - 1.0) / ({MOVING}) END AS lv FROM pj0),
+pj AS (SELECT {", ".join(f"{_cut(i, 'lv')} AS w{i}" for i in range(NP))} FROM pj1)"""
+BOUNDED_CLOUD = (RETS, ALL, cma_sql("src"), DIRICHLET, PROJECTED, score_sql("cma", "CROSS JOIN pj"))
+
+
+def bounded_cloud(spark, sf):
+    """Dirichlet draws, each moved to the nearest mix within the bounds."""
+    return S.score(S.project(S.dirichlet(cma(spark, sf), NP, 25_000), NP, BOUND), NP, RF)
+
+
+@query("opt_01b_dirichlet_cloud", ctes(*BOUNDED_CLOUD) + f"SELECT book, {POINT} FROM scored WHERE w0 + w1 <= {K.GROUP_CAP} + 1e-9")
 def opt_01b(spark, sf):
-    df = S.score(S.dirichlet(cma(spark, sf), NP, 25_000), NP, RF)
-    return point(S.within(df, ASSETS, K.BOUNDS, 1.0, P.EQUITY, K.GROUP_CAP))
+    return point(S.within(bounded_cloud(spark, sf), ASSETS, None, 1.0, P.EQUITY, K.GROUP_CAP))
+
+
+@query("opt_01c_projected_cloud", ctes(*BOUNDED_CLOUD) + f"SELECT book, {POINT} FROM scored")
+def opt_01c(spark, sf):
+    return point(bounded_cloud(spark, sf))
 
 
 @query("opt_02_bounds_and_group_cap", ctes(*SEARCH) + f"SELECT book, {POINT} FROM scored WHERE {LIMITS}")

@@ -199,30 +199,27 @@ def _classifier_stand_in():
 
 
 def tactical_rows(spark, sf):
-    """Month-end state of the focus asset for every customer segment's book."""
-    x = returns(spark, sf).filter(F.col("asset") == K.FOCUS)
+    """State of every asset on every date for every customer segment's book."""
+    x = returns(spark, sf)
     live = X.momentum(x).withColumnsRenamed({"signal": "mom_signal", "strength": "mom_strength"})
     live = live.withColumns({"cls_signal": _classifier_stand_in(), "cls_confidence": 0.35 + 0.5 * F.abs("mom_strength") / (1 + F.abs("mom_strength"))})
-    state = live.join(X.regime(x).select("date", "realized_vol", "long_vol", "trend", "regime_drawdown", "risk_off", "regime"), "date")
-    state = state.join(X.rsi(returns(spark, sf).filter(F.col("asset") == K.FOCUS)).select("date", "rsi"), "date")
-    cols = [n for n in state.columns if n not in ("date", "asset", "price", "ret")]
-    month = state.groupBy("asset", F.last_day("date").alias("m")).agg(F.max_by(F.struct(F.col("date").alias("as_of"), *cols), "date").alias("s")).select("asset", "s.*")
-    month = month.withColumn("next_rebalance", B.next_quarter_end(F.col("as_of")))
-    # One row per month of a single asset: every book unfolds the same short list.
-    months = month.groupBy().agg(F.collect_list(F.struct(*[n for n in month.columns if n != "asset"])).alias("m"))
-    bias = T.strategic_bias(P.books(spark, sf), K.roles(spark)).withColumn("m", months.scalar())
-    rows = bias.select("book", "equity_weight", "safe_weight", "bias", F.inline("m"))
+    on = ["asset", "date"]
+    state = live.join(X.regime(x).select(*on, "realized_vol", "long_vol", "trend", "regime_drawdown", "risk_off", "regime"), on)
+    state = state.join(X.rsi(x).select(*on, "rsi"), on).drop("price", "ret").withColumnRenamed("date", "as_of")
+    state = state.withColumn("next_rebalance", B.next_quarter_end(F.col("as_of")))
+    bias = T.strategic_bias(P.books(spark, sf), K.roles(spark))
+    rows = PF.states_of_books(bias, state)
     return rows.withColumn("quality_scale", panel_scale(spark, sf).select("scale").scalar())
 
 
 TAC = f"""
 rs0 AS (SELECT asset, date, price - lag(price) OVER ({W}) AS dp FROM prices),
 rs1 AS (SELECT asset, date, CASE WHEN count(dp) OVER w = 14 THEN avg(greatest(dp, 0.0)) OVER w END AS ag, CASE WHEN count(dp) OVER w = 14 THEN avg(greatest(-dp, 0.0)) OVER w END AS al FROM (SELECT * FROM rs0) WINDOW w AS ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
-tc0 AS (SELECT m.date AS as_of, m.signal AS mom_signal, m.strength AS mom_strength, CASE WHEN medium_mean > 0 THEN 1 WHEN medium_mean < 0 THEN -1 ELSE 0 END AS cls_signal, 0.35 + 0.5 * abs(m.strength) / (1 + abs(m.strength)) AS cls_confidence,
-  g.realized_vol, g.long_vol, g.regime_drawdown, g.risk_off, g.regime, row_number() OVER (PARTITION BY last_day(m.date) ORDER BY m.date DESC) AS rn
-  FROM mom m JOIN regime g ON g.asset = m.asset AND g.date = m.date WHERE m.asset = '{K.FOCUS}'),
+tc0 AS (SELECT m.asset AS asset, m.date AS as_of, m.signal AS mom_signal, m.strength AS mom_strength, CASE WHEN medium_mean > 0 THEN 1 WHEN medium_mean < 0 THEN -1 ELSE 0 END AS cls_signal, 0.35 + 0.5 * abs(m.strength) / (1 + abs(m.strength)) AS cls_confidence,
+  g.realized_vol, g.long_vol, g.regime_drawdown, g.risk_off, g.regime
+  FROM mom m JOIN regime g ON g.asset = m.asset AND g.date = m.date),
 tc1 AS (SELECT tc0.*, {NQ.format(x='as_of')} AS nr, CAST(greatest(-1, least(1, round_even(0.6 * cls_signal + 0.4 * mom_signal, 0))) AS INTEGER) AS s0, CASE WHEN al = 0 AND ag = 0 THEN NULL WHEN al = 0 THEN 100.0 ELSE 100 - 100 / (1 + ag / al) END AS rsi
-  FROM tc0 JOIN rs1 ON rs1.date = as_of AND rs1.asset = '{K.FOCUS}' WHERE rn = 1),
+  FROM tc0 JOIN rs1 ON rs1.date = as_of AND rs1.asset = tc0.asset),
 tc2 AS (SELECT *, CASE WHEN risk_off THEN -1 WHEN regime = 'bear_trend' AND s0 > 0 THEN 0 ELSE s0 END AS s1, CASE WHEN risk_off THEN greatest(cls_confidence, 0.7) WHEN regime = 'bear_trend' AND s0 > 0 THEN cls_confidence * 0.85 ELSE cls_confidence END AS c1, nr - as_of BETWEEN 0 AND 14 AS act FROM tc1),
 tc3 AS (SELECT tc2.*, book, eq, sf, bias, (bias = 'bullish' AND s1 >= 0) OR (bias = 'defensive' AND s1 <= 0) OR bias = 'neutral' AS ag FROM tc2 CROSS JOIN bias),
 tc4 AS (SELECT *, CASE WHEN act AND NOT ag AND s1 = 1 AND bias = 'defensive' THEN 0 ELSE s1 END AS signal, CASE WHEN act THEN greatest(0.05, least(0.98, c1 * CASE WHEN ag THEN 1.10 ELSE 0.85 END)) ELSE c1 END AS c2 FROM tc3),
@@ -231,22 +228,22 @@ tac AS (SELECT tc5.*, CASE WHEN risk_off THEN least(z0, 0.3) ELSE z0 END AS size
 TACTICAL = (RETS + MOM_SQL + REG_SQL, SRETS_TAIL, DUPES, FLAGS, QS, BOOKS, ROLES_T, BIAS, TAC)
 
 
-@query("scl_07_tactical_decision", ctes(*TACTICAL) + f"SELECT book, {d('as_of')} AS as_of, regime, bias, act AS rebalance_window_active, CAST(signal AS INTEGER) AS signal, {r('confidence', 5)} AS confidence, {r('size', 5)} AS size FROM tac")
+@query("scl_07_tactical_decision", ctes(*TACTICAL) + f"SELECT book, asset, {d('as_of')} AS as_of, regime, bias, act AS rebalance_window_active, CAST(signal AS INTEGER) AS signal, {r('confidence', 5)} AS confidence, {r('size', 5)} AS size FROM tac")
 def scl_07(spark, sf):
     t = T.decide(tactical_rows(spark, sf))
-    return t.select("book", "as_of", "regime", "bias", "rebalance_window_active", "signal", rnd("confidence", 5).alias("confidence"), rnd("size", 5).alias("size"))
+    return t.select("book", "asset", "as_of", "regime", "bias", "rebalance_window_active", "signal", rnd("confidence", 5).alias("confidence"), rnd("size", 5).alias("size"))
 
 
 @query(
     "scl_14_rationale",
     ctes(*TACTICAL)
-    + """SELECT book, CAST(as_of AS VARCHAR) AS as_of, 'Regime=' || regime || '|RealizedVolAnn=' || format('{:.3f}', realized_vol) || '|LongVolAnn=' || format('{:.3f}', long_vol) || '|Drawdown=' || format('{:.3f}', regime_drawdown)
+    + """SELECT book, asset, CAST(as_of AS VARCHAR) AS as_of, 'Regime=' || regime || '|RealizedVolAnn=' || format('{:.3f}', realized_vol) || '|LongVolAnn=' || format('{:.3f}', long_vol) || '|Drawdown=' || format('{:.3f}', regime_drawdown)
  || '|Classifier=' || cls_signal || '|MomentumSignal=' || mom_signal || '|MomentumStrength=' || format('{:.3f}', mom_strength) || '|RSI=' || format('{:.2f}', coalesce(rsi, 50.0)) || '|RebalanceWindow=' || CASE WHEN act THEN 'True' ELSE 'False' END
  || '|PanelQualityScale=' || format('{:.3f}', (SELECT scale FROM qs)) AS rationale FROM tac""",
 )
 def scl_14(spark, sf):
     t = T.rationale(T.decide(tactical_rows(spark, sf)))
-    return t.select("book", "as_of", F.array_join("rationale", "|").alias("rationale"))
+    return t.select("book", "asset", "as_of", F.array_join("rationale", "|").alias("rationale"))
 
 
 MATRIX = values("dm", "b, s, action, base_conf", K.DECISION_MATRIX)
@@ -254,21 +251,21 @@ MATRIX = values("dm", "b, s, action, base_conf", K.DECISION_MATRIX)
 
 @query(
     "jn_16_decision_matrix",
-    ctes(*TACTICAL, MATRIX) + f"SELECT book, {d('as_of')} AS as_of, bias, CAST(signal AS INTEGER) AS signal, coalesce(action, '{K.UNKNOWN_ACTION[0]}') AS action, coalesce(base_conf, 0.55) AS base_conf FROM tac LEFT JOIN dm ON b = bias AND s = signal",
+    ctes(*TACTICAL, MATRIX) + f"SELECT book, asset, {d('as_of')} AS as_of, bias, CAST(signal AS INTEGER) AS signal, coalesce(action, '{K.UNKNOWN_ACTION[0]}') AS action, coalesce(base_conf, 0.55) AS base_conf FROM tac LEFT JOIN dm ON b = bias AND s = signal",
 )
 def jn_16(spark, sf):
     t = FU.decisions(T.decide(tactical_rows(spark, sf)), K.decision_matrix(spark), K.UNKNOWN_ACTION)
-    return t.select("book", "as_of", "bias", "signal", "action", "base_conf")
+    return t.select("book", "asset", "as_of", "bias", "signal", "action", "base_conf")
 
 
 @query(
     "scl_11_fusion_confidence",
-    ctes(*TACTICAL, MATRIX) + f"SELECT book, {d('as_of')} AS as_of, {r('greatest(0.05, least(0.99, coalesce(base_conf, 0.55) * (0.55 + 0.45 * confidence) * (0.65 + 0.35 * (0.5 + 0.4 * eq))))', 5)} AS fused FROM tac LEFT JOIN dm ON b = bias AND s = signal",
+    ctes(*TACTICAL, MATRIX) + f"SELECT book, asset, {d('as_of')} AS as_of, {r('greatest(0.05, least(0.99, coalesce(base_conf, 0.55) * (0.55 + 0.45 * confidence) * (0.65 + 0.35 * (0.5 + 0.4 * eq))))', 5)} AS fused FROM tac LEFT JOIN dm ON b = bias AND s = signal",
 )
 def scl_11(spark, sf):
     t = FU.decisions(T.decide(tactical_rows(spark, sf)), K.decision_matrix(spark), K.UNKNOWN_ACTION)
     fused = FU.fused_confidence(F.col("base_conf"), F.col("confidence"), 0.5 + 0.4 * F.col("equity_weight"))
-    return t.select("book", "as_of", rnd(fused, 5).alias("fused"))
+    return t.select("book", "asset", "as_of", rnd(fused, 5).alias("fused"))
 
 
 @query("scl_12_allocation_confidence", ctes(BOOKS, ROLES_T, BIAS) + f"SELECT book, {r('greatest(0.05, least(0.98, 0.55 * (1 - eq) + 0.45 * sf))')} AS confidence FROM bias")
@@ -289,13 +286,14 @@ def scl_13(spark, sf):
 
 
 TILT = f"""
-bt0 AS (SELECT book, as_of, signal, round(0.05 * confidence * size, 4) AS m FROM tac),
-tilt AS (SELECT book, as_of, unnest(['{K.FOCUS}', '{K.GOLD_LIKE}', '{K.CASH_LIKE}']) AS asset, unnest([m * signal, -m * signal * 0.5, -m * signal * 0.5]) AS tilt FROM bt0 WHERE signal <> 0 AND m >= 0.005)"""
+bt0 AS (SELECT book, asset AS focus, as_of, signal, round(0.05 * confidence * size, 4) AS m FROM tac),
+bt1 AS (SELECT book, as_of, unnest([focus, '{K.GOLD_LIKE}', '{K.CASH_LIKE}']) AS asset, unnest([m * signal, -m * signal * 0.5, -m * signal * 0.5]) AS part FROM bt0 WHERE signal <> 0 AND m >= 0.005),
+tilt AS (SELECT book, as_of, asset, sum(part) AS tilt FROM bt1 GROUP BY 1, 2, 3)"""
 
 
 @query("scl_09_base_tilt", ctes(*TACTICAL, TILT) + f"SELECT book, {d('as_of')} AS as_of, asset, {r('tilt')} AS tilt FROM tilt")
 def scl_09(spark, sf):
-    t = FU.base_tilt(T.decide(tactical_rows(spark, sf)), K.FOCUS, (K.GOLD_LIKE, K.CASH_LIKE))
+    t = FU.net_tilts(T.decide(tactical_rows(spark, sf)), ["book", "as_of"], (K.GOLD_LIKE, K.CASH_LIKE))
     return rounded(t, "tilt", keep=("book", "as_of", "asset"))
 
 
@@ -329,7 +327,7 @@ md4 AS (SELECT *, CASE WHEN abs(tt) > 1e-9 THEN t2 - tt * abs(t2) / CASE WHEN aa
 
 
 def tilts(spark, sf):
-    t = FU.base_tilt(T.decide(tactical_rows(spark, sf)), K.FOCUS, (K.GOLD_LIKE, K.CASH_LIKE))
+    t = FU.net_tilts(T.decide(tactical_rows(spark, sf)), ["book", "as_of"], (K.GOLD_LIKE, K.CASH_LIKE))
     t = M.inflation_regime(t, K.CPI_ANCHORS, "as_of")
     t = M.yield_on(t, K.schedule(spark), date="as_of")
     return t.withColumn("real_yield", F.col("yield") - F.col("yoy"))
