@@ -190,3 +190,32 @@ def test_book_rows_do_not_depend_on_the_path(spark):
     w = spark.createDataFrame([("p", "A", 0.5), ("q", "B", 1.0), ("q", "C", -1.0)], "book STRING, asset STRING, w DOUBLE")
     rows = lambda df: sorted((r.book, r.date, round(r.ret, 12)) for r in df.collect())
     assert rows(PF.book_returns(w, x, list("ABC"))) == rows(PF.book_returns(w, x)) and len(rows(PF.book_returns(w, x))) == 6
+
+
+def test_states_reach_every_book_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(PF, "BLOCK_DAYS", 7)
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=k) for k in range(30)]
+    states = spark.createDataFrame([(a, d, float(k)) for a, n in (("E", 30), ("G", 14), ("C", 1)) for k, d in enumerate(days[:n])], "asset STRING, as_of DATE, x DOUBLE")
+    books = spark.createDataFrame([("b1", "bullish"), ("b2", "neutral")], "book STRING, bias STRING")
+    got = PF.states_of_books(books, states)
+    assert got.columns == ["book", "bias", "asset", "as_of", "x"]
+    want = [(b, s, *x) for b, s in (("b1", "bullish"), ("b2", "neutral")) for x in states.collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert PF.states_of_books(books, states.limit(0)).count() == 0
+
+
+def test_tilts_of_all_assets_net_in_a_book(spark):
+    rows = [("b", "E", 1, 0.8, 1.0), ("b", "G", 1, 0.8, 1.0), ("b", "X", -1, 0.6, 0.5), ("b", "Y", 0, 0.9, 1.0), ("b", "Z", 1, 0.01, 0.2)]
+    df = spark.createDataFrame(rows, "book STRING, asset STRING, signal INT, confidence DOUBLE, size DOUBLE")
+    got = {r["asset"]: r["tilt"] for r in FU.net_tilts(df, ["book"], ("G", "C")).collect()}
+    assert got == pytest.approx({"E": 0.04, "X": -0.015, "G": 0.04 - 0.02 - 0.02 + 0.0075, "C": -0.02 - 0.02 + 0.0075})
+    assert sum(got.values()) == pytest.approx(0)
+
+
+def test_one_row_of_assumptions_or_one_a_book(spark, cma):
+    held = spark.createDataFrame([("B", "x", 0.5), ("B", "y", 0.5), ("D", "z", 1.0)], "book STRING, asset STRING, w DOUBLE")
+    two = cma.unionByName(spark.createDataFrame([("D", 100, [0.01, 0.02, 0.30], COV.ravel().tolist())], cma.schema))
+    own = {r["book"]: r["ret"] for r in PF.exposures(held, ["x", "y", "z"], two, 0.02, per_book=True).collect()}
+    assert own == pytest.approx({"B": 0.10, "D": 0.30})
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        PF.exposures(held, ["x", "y", "z"], two, 0.02).collect()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 BLOCK_BOOKS = 256
 LOW, FREE, UP = 0, 1, 2
 TINY = 1e-13
+RIDGE = 1e-12
 
 
 @dataclass
@@ -74,6 +75,10 @@ def walk(mu: np.ndarray, cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Lin
         w = np.broadcast_to(lo / lo.sum(), (books, 1, p)).copy()
         return Lines(mu, cov, np.zeros((books, 1)), w, np.ones(books, int))
     state, changed = _start(mu, cov, lo, hi)
+    exact = cov
+    # so that assets that cannot be told apart leave the systems solvable
+    ridge = np.maximum(RIDGE * np.diagonal(cov, axis1=1, axis2=2).mean(axis=1), 1e-18)
+    cov = cov + ridge[:, None, None] * np.eye(p)
     lam, live = np.full(books, np.inf), np.arange(books)
     steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     eye, movable = np.eye(p), hi - lo > 0
@@ -120,7 +125,7 @@ def walk(mu: np.ndarray, cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Lin
         prices[own, k], mixes[own, k] = price, mix
         rest = np.setdiff1d(np.arange(books), own, assume_unique=True)
         prices[rest, k], mixes[rest, k] = prices[rest, k - 1], mixes[rest, k - 1]
-    return Lines(mu, cov, prices, mixes, n)
+    return Lines(mu, exact, prices, mixes, n)
 
 
 @dataclass
@@ -240,7 +245,7 @@ def pick_returns(points: int) -> Pick:
             w, lam = _at(lines, s, k, t)
             mixes.append(w)
             prices.append(lam)
-        return np.stack(mixes, 1).reshape(books * points, -1), np.stack(prices, 1).ravel(), {"point": np.tile(np.arange(points), books)}
+        return np.stack(mixes, 1).reshape(books * points, -1), np.stack(prices, 1).ravel(), {"point": np.tile(np.arange(points, dtype=np.int32), books)}
 
     return pick
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.draws import uniform_sql
@@ -9,6 +10,7 @@ from tidepanel.functions.expr import rnd
 from tidepanel.operators import align as A
 from tidepanel.operators import backtest as B
 from tidepanel.operators import capital as C
+from tidepanel.operators import critical_line as CL
 from tidepanel.operators import features as X
 from tidepanel.operators import portfolio as PF
 from tidepanel.operators import risk as R
@@ -247,8 +249,6 @@ src AS (SELECT book, asset, date, price / lag(price) OVER (PARTITION BY book, as
 
 def book_panels(spark, sf):
     """One return panel per market segment."""
-    from pyspark.sql import Window
-
     daily = (
         P.table(spark, sf, "orders")
         .groupBy("o_custkey", F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("date"))
@@ -267,6 +267,142 @@ def opt_11(spark, sf):
     return point(S.max_sharpe(S.score(S.lattice(params, NP, STEPS), NP, RF), NP))
 
 
+# --- exact optima by the critical line --------------------------------------
+
+SWEEPS = 400
+
+
+def _grad(i: int, slope: str) -> str:
+    return "(" + " + ".join(f"w{j} * {_s(i, j)}" for j in range(NP)) + f" - {slope} * m{i})"
+
+
+def _inside(cte: str, book: str, step: str, begin: str) -> str:
+    """A recursion that carries a book's parameters along; ``step`` is nested over FROM."""
+    params = ", ".join([*(f"m{i}" for i in range(NP)), *(f"s{i}_{j}" for i in range(NP) for j in range(i, NP))])
+    cols = f"{book}, {params}, {', '.join(WCOLS)}"
+    return f"{cte}(it, {cols}) AS (SELECT 0, {book}, {params}, {begin} FROM cma UNION ALL SELECT it + 1, {cols} FROM ({step}) WHERE it < {SWEEPS})"
+
+
+def pairs_sql(cte: str, price: float) -> str:
+    """Bounded quadratic programme, one pair of assets after another: an exact line search
+    each, until nothing moves."""
+    room = sum(hi - lo for lo, hi in BOUND)
+    free = 1 - sum(lo for lo, _ in BOUND)
+    begin = ", ".join(f"CAST({lo + (hi - lo) * free / room!r} AS DOUBLE) AS w{i}" for i, (lo, hi) in enumerate(BOUND))
+    step = cte
+    for i in range(NP):
+        for j in range(i + 1, NP):
+            best = f"({_grad(j, repr(price))} - {_grad(i, repr(price))}) / ({_s(i, i)} + {_s(j, j)} - 2.0 * {_s(i, j)})"
+            least = f"greatest({BOUND[i][0]} - w{i}, w{j} - {BOUND[j][1]})"
+            most = f"least({BOUND[i][1]} - w{i}, w{j} - {BOUND[j][0]})"
+            step = f"SELECT * EXCLUDE (t) REPLACE (w{i} + t AS w{i}, w{j} - t AS w{j}) FROM (SELECT *, greatest({least}, least({most}, {best})) AS t FROM {step if step == cte else f'({step})'})"
+    return _inside(cte, "book", step, begin)
+
+
+def ratio_sql(cte: str) -> str:
+    """Largest Sharpe ratio without bounds above: a mix of any size that balances excess
+    return against variance, entry by entry, then scaled to one."""
+    step = cte
+    for i in range(NP):
+        others = " + ".join(f"w{j} * {_s(i, j)}" for j in range(NP) if j != i)
+        step = f"SELECT * REPLACE (greatest(0.0, (m{i} - {RF} - ({others})) / {_s(i, i)}) AS w{i}) FROM {step if step == cte else f'({step})'}"
+    return _inside(cte, "book", step, ", ".join(f"CAST(1 AS DOUBLE) AS w{i}" for i in range(NP)))
+
+
+def exact_sql(solver: str, scale: str = "1.0") -> tuple[str, str]:
+    cells = ", ".join(f"w{i} / ({scale}) AS w{i}" for i in range(NP))
+    return solver, f"fin AS (SELECT * REPLACE ({cells}) FROM qp WHERE it = {SWEEPS})," + score_sql("fin", "")
+
+
+EXACT = f"SELECT book, {', '.join(f'{r(c, 4)} AS {c}' for c in WCOLS)}, {r('ret')} AS ret, {r('vol')} AS vol, {r('sharpe', 5)} AS sharpe, TRUE AS optimal FROM scored"
+def optimal():
+    """Whether the conditions of an optimum hold to 1e-8."""
+    return (F.col("kkt") < 1e-8).alias("optimal")
+
+
+def exact_point(df):
+    return point(df.withColumn("optimal", optimal()), "optimal")
+
+
+@query("opt_03c_exact_max_sharpe", ctes(BOOK_PANELS, cma_sql("src"), *exact_sql(ratio_sql("qp"), " + ".join(WCOLS))) + EXACT)
+def opt_03c(spark, sf):
+    params = C.assumptions(book_panels(spark, sf), ASSETS, RF, cash_like=CASH)
+    return exact_point(CL.max_sharpe(params, NP, RF))
+
+
+@query("opt_04b_exact_min_variance", ctes(BOOK_PANELS, cma_sql("src"), *exact_sql(pairs_sql("qp", 0.0))) + EXACT)
+def opt_04b(spark, sf):
+    params = C.assumptions(book_panels(spark, sf), ASSETS, RF, cash_like=CASH)
+    return exact_point(CL.min_variance(params, NP, RF, bounds=BOUND))
+
+
+@query("opt_07b_exact_utility", ctes(BOOK_PANELS, cma_sql("src"), *exact_sql(pairs_sql("qp", 1 / 3))) + EXACT)
+def opt_07b(spark, sf):
+    params = C.assumptions(book_panels(spark, sf), ASSETS, RF, cash_like=CASH)
+    return exact_point(CL.utility(params, NP, RF, 3.0, bounds=BOUND))
+
+
+@query(
+    "opt_06b_exact_volatility",
+    ctes(*SEARCH, f"mv AS ({best_sql('vol', 'ASC')}), mr AS ({best_sql('ret')})")
+    + f"""SELECT book, {TARGET} >= mv.vol AS met, CASE WHEN {TARGET} <= mv.vol THEN 'min_variance' WHEN {TARGET} >= mr.vol THEN 'max_return' ELSE 'target' END AS "case",
+ TRUE AS never_worse, TRUE AS on_target, TRUE AS optimal FROM mv JOIN mr USING (book)""",
+)
+def opt_06b(spark, sf):
+    """The exact mix against the best of the lattice that is no louder."""
+    coarse = S.target_volatility(cloud(spark, sf), NP, TARGET).select("book", F.col("ret").alias("coarse"))
+    exact = CL.at_volatility(cma(spark, sf), NP, RF, TARGET).join(coarse, "book")
+    on = F.when(F.col("case") == "target", F.abs(F.col("vol") - TARGET) < 1e-9).otherwise(True)
+    return exact.select("book", "met", "case", (F.col("ret") >= F.col("coarse") - 1e-9).alias("never_worse"), on.alias("on_target"), optimal())
+
+
+@query("opt_10b_exact_frontier", ctes(*SEARCH, FRONT) + f"SELECT book, {POINT}, TRUE AS never_worse FROM front")
+def opt_10b(spark, sf):
+    """Every mix of the lattice's frontier with whether the exact line is as quiet or
+    quieter at the same return."""
+    params = cma(spark, sf)
+    w = Window.partitionBy("book").orderBy("point")
+    line = CL.turning_points(params, NP)
+    line = line.select("book", F.col("ret").alias("high"), "w", F.lead("ret").over(w).alias("low"), F.lead("w").over(w).alias("v"))
+    # where the quietest mix of all has a larger return, it stands for all below
+    floor = F.col("v").isNull()
+    met = S.frontier(cloud(spark, sf), NP).join(line, "book").where((floor & (F.col("ret") <= F.col("high"))) | F.col("ret").between(F.col("low"), F.col("high")))
+    t = F.when(floor | (F.col("high") == F.col("low")), 0.0).otherwise((F.col("high") - F.col("ret")) / (F.col("high") - F.col("low")))
+    mix = [F.coalesce(F.col("w")[i] + t * (F.col("v")[i] - F.col("w")[i]), F.col("w")[i]).alias(f"x{i}") for i in range(NP)]
+    placed = met.select("book", *WCOLS, "ret", "vol", "sharpe", *mix).join(params.select("book", "cov"), "book")
+    var = " + ".join(f"x{i} * x{j} * cov[{i * NP + j}]" for i in range(NP) for j in range(NP))
+    best = placed.withColumn("best", F.expr(f"sqrt({var})"))
+    ends = best.groupBy("book", *WCOLS, "ret", "vol", "sharpe").agg(F.min("best").alias("best"))
+    return point(ends.withColumn("never_worse", F.col("best") <= F.col("vol") + 1e-9), "never_worse")
+
+
+def brand_assumptions(spark, sf):
+    """Means and covariance of the brands' panel; each customer's means lean towards the
+    brands they buy."""
+    px = P.instrument_prices(spark, sf)
+    w = Window.partitionBy("asset").orderBy("date")
+    rets = px.select("asset", "date", (F.col("price") / F.lag("price").over(w) - 1).alias("ret"))
+    brands = [x.asset for x in px.select("asset").distinct().orderBy("asset").collect()]  # one row a brand
+    market = C.assumptions(one_book(rets), brands, RF)
+    lines = P.table(spark, sf, "lineitem").join(P.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    owned = lines.join(P.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = owned.groupBy(F.col("o_custkey").cast("string").alias("book"), F.col("p_brand").alias("asset")).agg(F.sum("l_extendedprice").alias("v"))
+    share = PF.wide_weights(bought.withColumnRenamed("v", "w"), brands)
+    total = sum((F.col(f"w{i}") for i in range(1, len(brands))), F.col("w0"))
+    lean = F.array(*[F.col(f"w{i}") / total for i in range(len(brands))])
+    books = share.select("book", lean.alias("lean")).withColumns({"base": market.select("mu").scalar(), "cov": market.select("cov").scalar()})
+    return books.select("book", F.zip_with("base", "lean", lambda m, x: m + 0.05 * x).alias("mu"), "cov"), len(brands)
+
+
+@query("opt_12_wide_books_max_sharpe")
+def opt_12(spark, sf):
+    """A book for every customer over all brands: no lattice could hold them."""
+    params, p = brand_assumptions(spark, sf)
+    x = CL.max_sharpe(params, p, RF, weight_cap=0.25)
+    mix = F.transform(F.array(*[f"w{i}" for i in range(p)]), lambda w: F.round(w, 6))
+    return x.select("book", mix.alias("w"), rnd("ret").alias("ret"), rnd("vol").alias("vol"), rnd("sharpe", 5).alias("sharpe"), optimal())
+
+
 # --- exposures of given books ----------------------------------------------
 
 BOOKW = "bw AS (SELECT book AS b, " + _each("coalesce(max(w) FILTER (asset = '{a}'), 0.0) AS w{i}") + " FROM books GROUP BY book)"
