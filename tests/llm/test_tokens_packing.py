@@ -117,6 +117,9 @@ def test_token_files_round_trip(spark):
         file = tokenfile.TokenFile(first.path)
         ids, mask = file.sequence(0)
         assert len(ids) == 64 and not ids.flags.owndata and mask[: min(64, first.n_tokens)].all()
+        bits = file.mask_bits(0)
+        assert bits.dtype == np.uint8 and len(bits) == 8 and not bits.flags.owndata and not bits.flags.writeable
+        assert np.shares_memory(bits, file.mask_bits(0)) and np.shares_memory(ids, file.sequence(0)[0])
         last, mask = file.sequence((first.n_tokens - 1) // 64)
         assert mask.sum() == (first.n_tokens - 1) % 64 + 1
 

@@ -1,10 +1,11 @@
 """Token-id output: Arrow files whose batches hold fixed-size lists.
 
 A file is a sequence of record batches with two columns, ``ids`` and ``mask``, both
-fixed-size lists of ``sequence`` elements. The ids of the file's documents follow one
-another without gaps; the last sequence is filled up with zeros and masked out (mask 0, one
-byte an id). All rows have the same width, so sequence ``i`` sits at a computable place: a
-memory-mapped file gives its ids and its mask as numpy views without copying. Beside each file lies an index (document id,
+fixed-size lists: of ``sequence`` ids, and of a bit an id (bytes, lowest bit first). The ids
+of the file's documents follow one another without gaps; the last sequence is filled up with
+zeros and masked out. All rows have the same width, so sequence ``i`` sits at a computable
+place: a memory-mapped file gives its ids and its mask's bytes as numpy views without
+copying. Beside each file lies an index (document id,
 first id, number of ids).
 
 Defined results: a null text is an empty document (its end id only); rows that repeat a
@@ -35,8 +36,10 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def file_schema(sequence: int, vocabulary: int) -> pa.Schema:
     """16-bit ids where the vocabulary fits, 32-bit ones otherwise."""
+    if sequence % 8:
+        raise ValueError("a sequence's mask fills whole bytes: its length is a multiple of 8")
     ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+    return pa.schema([("ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.uint8(), sequence // 8))])
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -91,7 +94,7 @@ class TokenWriter:
         values[: len(ids)] = ids
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(values), self._sequence),
-            pa.FixedSizeListArray.from_arrays(pa.array((np.arange(width) < len(ids)).view(np.uint8)), self._sequence),
+            pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(np.arange(width) < len(ids), bitorder="little")), self._sequence // 8),
         ]
         self._arrow.write_batch(pa.record_batch(columns, schema=self._schema))
 
@@ -130,11 +133,16 @@ class TokenFile:
         return self._columns
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``, both views into the file."""
+        """Ids (a view into the file) and mask (a truth value an id) of sequence ``i``."""
         k, row = divmod(i, BATCH_SEQUENCES)
-        ids, mask = self._batch(k)
-        own = slice(row * self._sequence, (row + 1) * self._sequence)
-        return ids[own], mask[own]
+        ids = self._batch(k)[0][row * self._sequence : (row + 1) * self._sequence]
+        return ids, np.unpackbits(self.mask_bits(i), bitorder="little").astype(bool)
+
+    def mask_bits(self, i: int) -> np.ndarray:
+        """The bytes of the mask of sequence ``i``, a view into the file."""
+        k, row = divmod(i, BATCH_SEQUENCES)
+        width = self._sequence // 8
+        return self._batch(k)[1][row * width : (row + 1) * width]
 
     def span(self, start: int, length: int) -> Iterator[np.ndarray]:
         """Views that together hold ``length`` ids from place ``start``."""
