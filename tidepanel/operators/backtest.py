@@ -249,14 +249,14 @@ def walk_forward(
     **mu_options,
 ) -> DataFrame:
     """Daily out-of-sample returns: tangency weights per segment, tactical overlay,
-    risk guard, turnover cost. ``signals(train)`` gives the overlay's table.
+    risk guard, turnover cost. ``signals(train, weights)`` gives the overlay's table.
 
     Training rows and weights are read several times, so they are staged once; the
     weights are one row per segment and asset.
     """
     train, test = stage(expand(panel, roles, "train"), "train"), expand(panel, roles, "test")
-    w = tangency_targets(train, assets, rf, steps, **mu_options)
-    w = stage(tactical_overlay(w, signals(train), focus, sinks), "overlay")
+    w = stage(tangency_targets(train, assets, rf, steps, **mu_options), "targets")
+    w = stage(tactical_overlay(w, signals(train, w), focus, sinks), "overlay")
     w = stage(risk_controls(w, risk_state(w, train, target_vol, dd_tol), cash), "weights")
     return segment_returns(w, test, turnover(w, cost_bps))
 

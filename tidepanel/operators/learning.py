@@ -229,9 +229,10 @@ def confusion(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "y", "pred").agg(F.count("*").alias("n"))
 
 
-def class_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Precision, recall and F1 per class from one pass over the predictions."""
-    sides = df.groupBy(*keys, "y", "pred").agg(F.count("*").alias("c"))
+def class_scores(df: DataFrame, keys: Sequence[str], counted: str | None = None) -> DataFrame:
+    """Precision, recall and F1 per class from one pass over the predictions, or over rows
+    that stand for as many of them as ``counted`` says."""
+    sides = df.groupBy(*keys, "y", "pred").agg((F.sum(counted) if counted else F.count("*")).alias("c"))
     long = sides.select(
         *keys,
         F.inline(
@@ -252,8 +253,8 @@ def class_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def weighted_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    s = class_scores(df, keys)
+def weighted_scores(df: DataFrame, keys: Sequence[str], counted: str | None = None) -> DataFrame:
+    s = class_scores(df, keys, counted)
     total = F.sum("support")
     mean = lambda c: F.sum(F.col(c) * F.col("support")) / total
     return s.groupBy(*keys).agg(
@@ -316,6 +317,119 @@ def classifier_confidence(df: DataFrame) -> DataFrame:
     )
 
 
+# --- models as of a date -----------------------------------------------------
+#
+# A prediction of fold k is made by models that saw nothing after the fold's training
+# days, and here it is weighted and trusted by nothing but what folds before k showed. So
+# what holds on a date was known on that date.
+
+
+def _of_earlier_folds(per_fold: DataFrame, folds: int) -> DataFrame:
+    """Rows of each fold, once for every later one, up to ``folds`` (after the last); for
+    tables of a few rows a fold."""
+    return per_fold.withColumnRenamed("fold", "__of").withColumn("fold", F.explode(F.sequence(F.col("__of") + 1, F.lit(folds))))
+
+
+def weights_as_of(predictions: DataFrame, folds: int) -> DataFrame:
+    """(asset, model, fold, f1, fold_std, weight): as ``model_weights``, by the predictions of
+    earlier folds alone. The first fold has no row."""
+    counts = predictions.groupBy("asset", "model", "fold", "y", "pred").agg(F.count("*").alias("n_rows"))
+    key = ["asset", "model", "fold"]
+    overall = weighted_scores(_of_earlier_folds(counts, folds), key, "n_rows").select(*key, F.col("f1_weighted").alias("f1"))
+    per = _of_earlier_folds(weighted_scores(counts, key, "n_rows").select(*key, "f1_weighted"), folds)
+    spread = per.groupBy(*key).agg(F.when(F.count("*") >= 2, F.stddev_pop("f1_weighted")).otherwise(0.0).alias("fold_std"))
+    j = overall.join(spread, key)
+    return j.withColumn("weight", F.greatest(F.lit(0.05), F.col("f1") * clip(1 - 2 * F.col("fold_std"), 0.45, 1.0)))
+
+
+def views_as_of(predictions: DataFrame, folds: int = 5, classes: Sequence[int] = CLASSES) -> DataFrame:
+    """The classifiers' joint view per (asset, date): fold, y, votes, probs, pred, signal and
+    confidence. Models weigh by their skill in earlier folds; in the first fold, which has
+    none, they weigh the same and the view is neutral, as for thin history."""
+    weights = stage(weights_as_of(predictions, folds), "weights-as-of")
+    j = predictions.join(weights.select("asset", "model", "fold", "weight"), ["asset", "model", "fold"], "left")
+    j = j.withColumn("weight", F.coalesce("weight", F.lit(0.05)))
+    total = F.sum("weight") + 1e-12
+    parts = F.array(*[F.sum(F.col("probs")[i] * F.col("weight")) / total for i in range(len(classes))])
+    e = j.groupBy("asset", "date", "fold").agg(F.first("y").alias("y"), F.countDistinct("pred").alias("votes"), parts.alias("probs"))
+    e = stage(e.withColumn("pred", argmax_class("probs", classes)), "ensemble-as-of")
+    miss = F.abs(F.array_max("probs") - (F.col("y") == F.col("pred")).cast("double"))
+    seen = e.groupBy("asset", "fold", "y", "pred").agg(F.count("*").alias("n_rows"), F.sum(miss).alias("miss"))
+    seen = _of_earlier_folds(seen, folds)
+    quality = weighted_scores(seen, ["asset", "fold"], "n_rows").select("asset", "fold", F.col("f1_weighted").alias("ensemble_f1"))
+    error = seen.groupBy("asset", "fold").agg((F.sum("miss") / F.sum("n_rows")).alias("calibration_error"))
+    skill = weights.groupBy("asset", "fold").agg(F.avg("f1").alias("mean_f1"), F.max("fold_std").alias("fold_std"))
+    known = quality.join(error, ["asset", "fold"]).join(skill, ["asset", "fold"])
+    x = e.join(known, ["asset", "fold"], "left").withColumns(
+        {"max_prob": F.array_max("probs"), "raw_signal": F.col("pred"), "disagreement": F.col("votes") > 1}
+    )
+    x = classifier_confidence(x)
+    thin = F.col("mean_f1").isNull()
+    x = x.withColumns({"signal": F.when(thin, 0).otherwise(F.col("signal")), "confidence": F.when(thin, 0.30).otherwise(F.col("confidence"))})
+    return x.select("asset", "date", "fold", "y", "votes", "probs", "pred", "signal", "confidence")
+
+
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array; null if it is empty."""
+    n = F.size(ordered)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(ordered, low) + F.get(ordered, high)) / 2)
+
+
+def forecast_as_of(rows: DataFrame, predictions: DataFrame, folds: int = 4, horizon: int = HORIZON) -> DataFrame:
+    """Daily expected return and confidence per (asset, date) of the folds' test rows: the
+    models' median prediction, shrunk by the skill of earlier folds towards the median of
+    the 90 newest targets that were known by then (a target is known ``horizon`` rows
+    later). Without earlier folds the mean of the 30 newest known targets stands."""
+    w = series()
+    known = rows.select(
+        "asset",
+        "date",
+        F.avg("y").over(w.rowsBetween(-horizon - 29, -horizon)).alias("recent_mean"),
+        _middle(F.sort_array(F.collect_list("y").over(w.rowsBetween(-horizon - 89, -horizon)))).alias("anchor"),
+    )
+    median = predictions.groupBy("asset", "date", "fold").agg(F.median("pred").alias("predicted"))
+    past = _of_earlier_folds(fold_skill(predictions).select("asset", "model", "fold", "r2", "mae", "baseline_mae", "directional"), folds)
+    m = past.groupBy("asset", "model", "fold").agg(*[F.median(c).alias(c) for c in ("r2", "mae", "baseline_mae", "directional")])
+    mae_skill = 1 - F.col("mae") / (F.col("baseline_mae") + 1e-12)
+    m = m.withColumns({"mae_skill": mae_skill, "composite": 0.45 * F.col("r2") + 0.35 * mae_skill + 0.20 * (2 * (F.col("directional") - 0.5))})
+    s = m.groupBy("asset", "fold").agg(F.max("composite").alias("best"), *[F.median(c).alias(c) for c in ("r2", "directional", "mae_skill")])
+    j = median.join(known, ["asset", "date"]).join(s, ["asset", "fold"], "left")
+    shrink = clip(0.50 + 0.45 * clip("best", -1.0, 1.0), 0.15, 0.95)
+    conf = clip(0.12 + 0.32 * F.col("r2") + 0.28 * F.col("mae_skill") + 0.28 * (F.col("directional") - 0.5), 0.05, 0.95)
+    thin = F.col("best").isNull() | F.col("anchor").isNull()
+    blended = F.when(thin, F.col("recent_mean")).otherwise(shrink * F.col("predicted") + (1 - shrink) * F.col("anchor"))
+    return j.select(
+        "asset", "date", "fold", (blended / float(horizon)).alias("expected_daily"),
+        F.when(thin, 0.20).otherwise(conf).alias("confidence"), F.when(thin, "recent_mean").otherwise("ensemble").alias("method"),
+    )
+
+
+def newest_before(days: DataFrame, views: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """For every (asset, date) of ``days`` the newest row of ``views`` up to that date, and
+    its own date as ``view_date``; both are merged in one ordering of an asset's days."""
+    at = F.struct(F.col("date").alias("view_date"), *cols)
+    rows = days.select("asset", "date", F.lit(True).alias("__day"), F.lit(None).cast(views.select(at.alias("v")).schema["v"].dataType).alias("v"))
+    rows = rows.unionByName(views.select("asset", "date", F.lit(False).alias("__day"), at.alias("v")))
+    # on one date the view comes before the day that looks for it
+    w = Window.partitionBy("asset").orderBy("date", "__day").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("__day").select("asset", "date", "v.*")
+
+
+def point_in_time(folds: DataFrame) -> DataFrame:
+    """Per (asset, fold): last training day, first and last day its models are used, days
+    between, and rows used on or before the last training day (none, if nothing leaks)."""
+    train = folds.filter("role = 'train'").groupBy("asset", "fold").agg(F.max("date").alias("fold_end"))
+    used = folds.filter("role = 'test'").join(train, ["asset", "fold"])
+    s = used.groupBy("asset", "fold").agg(
+        F.max("fold_end").alias("fold_end"),
+        F.min("date").alias("first_use"),
+        F.max("date").alias("last_use"),
+        F.sum((F.col("fold_end") >= F.col("date")).cast("long")).alias("leaks"),
+    )
+    return s.withColumn("gap_days", F.datediff("first_use", "fold_end"))
+
+
 def gates(rows: DataFrame) -> DataFrame:
     """Whether an asset has enough history and balanced classes to be modelled."""
     last = F.row_number().over(whole().orderBy(F.col("date").desc())) == 1

@@ -851,7 +851,7 @@ def walk_forward(spark, sf):
         returns(spark, sf),
         roles(spark, sf),
         ASSETS,
-        lambda train: segment_signals(spark, sf, train),
+        lambda train, _: segment_signals(spark, sf, train),
         rf=RF,
         cost_bps=K.COST_BPS,
         focus=K.FOCUS,

@@ -285,6 +285,72 @@ def scl_17(spark, sf):
     return L.classifier_confidence(j).select("asset", "signal", rnd("confidence", 5).alias("confidence"))
 
 
+# Models as of a date: weights and trust by earlier folds alone.
+AS_OF = (
+    "rk AS (SELECT ru.*, k FROM ru JOIN range(1, 6) t(k) ON fold < k),"
+    + scores_sql("rk", "asset, model, k", "xo")
+    + ","
+    + scores_sql("ru", "asset, model, fold", "wf")
+    + """,
+mw0 AS (SELECT xo.asset, xo.model, xo.k, xo.fw AS f1, CASE WHEN count(*) >= 2 THEN stddev_pop(wf.fw) ELSE 0.0 END AS sd FROM xo JOIN wf ON wf.asset = xo.asset AND wf.model = xo.model AND wf.fold < xo.k GROUP BY 1, 2, 3, 4),
+mw AS (SELECT *, greatest(0.05, f1 * greatest(0.45, least(1.0, 1 - 2 * sd))) AS weight FROM mw0),
+ej AS (SELECT ru.*, coalesce(weight, 0.05) AS wt FROM ru LEFT JOIN mw ON mw.asset = ru.asset AND mw.model = ru.model AND mw.k = ru.fold),
+en0 AS (SELECT asset, date, fold, any_value(y) AS y, count(DISTINCT pred) AS votes, sum(p0 * wt) / (sum(wt) + 1e-12) AS p0, sum(p1 * wt) / (sum(wt) + 1e-12) AS p1, sum(p2 * wt) / (sum(wt) + 1e-12) AS p2 FROM ej GROUP BY 1, 2, 3),
+en AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN -1 WHEN p1 >= p2 THEN 0 ELSE 1 END AS pred FROM en0),
+ek AS (SELECT en.*, k FROM en JOIN range(1, 6) t(k) ON fold < k),"""
+    + scores_sql("ek", "asset, k", "we")
+    + """,
+cal AS (SELECT asset, k, avg(abs(greatest(p0, p1, p2) - CASE WHEN y = pred THEN 1.0 ELSE 0.0 END)) AS ce FROM ek GROUP BY 1, 2),
+mf AS (SELECT asset, k, avg(f1) AS mf, max(sd) AS sd FROM mw GROUP BY 1, 2),
+vw AS (SELECT en.*, mf, fw, greatest(0.05, least(0.95, mf * greatest(p0, p1, p2))) * CASE WHEN sd > 0.10 THEN greatest(0.55, least(1.0, 1.2 - 2.2 * sd)) ELSE 1.0 END * CASE WHEN ce > 0.28 THEN 0.84 ELSE 1.0 END * CASE WHEN votes > 1 THEN 0.87 ELSE 1.0 END AS c
+  FROM en LEFT JOIN mf ON mf.asset = en.asset AND mf.k = en.fold LEFT JOIN we ON we.asset = en.asset AND we.k = en.fold LEFT JOIN cal ON cal.asset = en.asset AND cal.k = en.fold)"""
+)
+
+
+@query(
+    "ml_09b_views_as_of",
+    base_sql(*RULE_BASE, AS_OF)
+    + f"""SELECT asset, {d()} AS date, CAST(fold AS INTEGER) AS fold, pred, {r('p0', 5)} AS p_down, {r('p2', 5)} AS p_up,
+ CASE WHEN mf IS NULL OR fw < 0.42 THEN 0 ELSE pred END AS signal, {r('CASE WHEN mf IS NULL THEN 0.30 WHEN fw < 0.42 THEN least(greatest(0.05, least(0.95, c)), 0.35) ELSE greatest(0.05, least(0.95, c)) END', 5)} AS confidence FROM vw""",
+)
+def ml_09b(spark, sf):
+    """What the classifiers said on each date, by what was known of them on that date."""
+    v = L.views_as_of(stage(rule_predictions(spark, sf), "rule-predictions"))
+    return v.select(
+        "asset", "date", "fold", "pred", rnd(F.col("probs")[0], 5).alias("p_down"), rnd(F.col("probs")[2], 5).alias("p_up"), "signal", rnd("confidence", 5).alias("confidence")
+    )
+
+
+FORECAST_AS_OF = """
+sa AS (SELECT model, asset, k, median(r2) AS r2, median(mae) AS mae, median(base) AS base, median(dir) AS dir FROM fk JOIN range(1, 5) t(k) ON fold < k GROUP BY 1, 2, 3),
+sb AS (SELECT *, 1 - mae / (base + 1e-12) AS ms, 0.45 * r2 + 0.35 * (1 - mae / (base + 1e-12)) + 0.20 * 2 * (dir - 0.5) AS comp FROM sa),
+sc AS (SELECT asset, k, max(comp) AS best, median(r2) AS r2, median(dir) AS dir, median(ms) AS ms FROM sb GROUP BY 1, 2),
+mp AS (SELECT asset, date, fold, median(pred) AS pr FROM preds GROUP BY 1, 2, 3),
+kn AS (SELECT asset, date, avg(y) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 92 PRECEDING AND 63 PRECEDING) AS rm, median(y) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 152 PRECEDING AND 63 PRECEDING) AS anchor FROM rr),
+fa AS (SELECT mp.asset, mp.date, fold, pr, rm, anchor, best IS NULL OR anchor IS NULL AS thin, greatest(0.15, least(0.95, 0.5 + 0.45 * greatest(-1, least(1, best)))) AS sh, greatest(0.05, least(0.95, 0.12 + 0.32 * r2 + 0.28 * ms + 0.28 * (dir - 0.5))) AS cf
+  FROM mp JOIN kn ON kn.asset = mp.asset AND kn.date = mp.date LEFT JOIN sc ON sc.asset = mp.asset AND sc.k = mp.fold)"""
+
+
+@query(
+    "scl_16b_forecast_as_of",
+    base_sql(REG_ROWS, REG_FOLDS, PREDS, SKILL, FORECAST_AS_OF)
+    + f"SELECT asset, {d()} AS date, CAST(fold AS INTEGER) AS fold, {r('CASE WHEN thin THEN rm ELSE sh * pr + (1 - sh) * anchor END / 63', 7)} AS expected_daily, {r('CASE WHEN thin THEN 0.2 ELSE cf END', 5)} AS confidence, CASE WHEN thin THEN 'recent_mean' ELSE 'ensemble' END AS method FROM fa",
+)
+def scl_16b(spark, sf):
+    rows = stage(regression_rows(spark, sf), "regression-rows")
+    f = L.forecast_as_of(rows, stage(single_ridges(spark, sf, rows), "single-ridges"))
+    return f.select("asset", "date", "fold", rnd("expected_daily", 7).alias("expected_daily"), rnd("confidence", 5).alias("confidence"), "method")
+
+
+@query(
+    "ml_13_point_in_time",
+    base_sql(CLS_ROWS, CLS_FOLDS, "fe AS (SELECT asset, fold, max(date) AS e FROM fo WHERE role = 'train' GROUP BY 1, 2)")
+    + f"SELECT fo.asset, CAST(fo.fold AS INTEGER) AS fold, {d('max(e)')} AS fold_end, {d('min(date)')} AS first_use, {d('max(date)')} AS last_use, CAST(sum(CASE WHEN e >= date THEN 1 ELSE 0 END) AS BIGINT) AS leaks, CAST(date_diff('day', max(e), min(date)) AS INTEGER) AS gap_days FROM fo JOIN fe ON fe.asset = fo.asset AND fe.fold = fo.fold WHERE role = 'test' GROUP BY 1, 2",
+)
+def ml_13(spark, sf):
+    return L.point_in_time(L.classification_folds(L.classification_rows(features(spark, sf))))
+
+
 @query(
     "ml_10_gates",
     base_sql(CLS_ROWS, """gh AS (SELECT asset, y, count(*) AS c FROM rr WHERE pos < n - 1 GROUP BY 1, 2),
