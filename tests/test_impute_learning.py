@@ -153,3 +153,76 @@ def test_registered_boosted_trees_use_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(PL, "_classifier_scores", lambda pred: None)
     PL.ml_08(spark, "")
     assert made[0].getClassifier().getMaxIter() == 200
+
+
+def class_rows(spark, flip_after=99):
+    """Two models' predictions over five folds of ten days; labels of late folds may turn."""
+    import datetime as dt
+
+    r = np.random.default_rng(5)
+    rows = []
+    for a in ("x", "z"):
+        for k in range(50):
+            y, fold = int(r.integers(-1, 2)), k // 10
+            shown = -y if fold > flip_after else y
+            for model, noise in (("good", 0.1), ("bad", 0.8)):
+                p = r.dirichlet(np.ones(3)) * noise + np.eye(3)[y + 1] * (1 - noise)
+                rows.append((a, model, fold, dt.date(2000, 1, 3) + dt.timedelta(days=k), shown, p.tolist(), int(p.argmax()) - 1))
+    return spark.createDataFrame(rows, "asset STRING, model STRING, fold INT, date DATE, y INT, probs ARRAY<DOUBLE>, pred INT")
+
+
+def test_views_know_nothing_of_their_own_or_later_folds(spark):
+    plain = {(r["asset"], r["date"]): r for r in L.views_as_of(class_rows(spark)).collect()}
+    turned = {(r["asset"], r["date"]): r for r in L.views_as_of(class_rows(spark, flip_after=2)).collect()}
+    assert len(plain) == len(turned) == 100
+    for key, r in plain.items():
+        same = [r[c] == turned[key][c] for c in ("signal", "confidence", "pred", "probs")]
+        assert all(same) or r["fold"] > 3  # fold 3 has turned labels, but only fold 4 may know them
+    assert all(r["signal"] == 0 and r["confidence"] == 0.30 for r in plain.values() if r["fold"] == 0)
+    assert any(plain[k]["confidence"] != turned[k]["confidence"] for k, r in plain.items() if r["fold"] == 4)
+
+
+def test_weights_as_of_the_end_are_those_of_all_folds(spark):
+    rows = class_rows(spark)
+    whole = {(r["asset"], r["model"]): r["weight"] for r in L.model_weights(rows).collect()}
+    last = {(r["asset"], r["model"]): r["weight"] for r in L.weights_as_of(rows, 5).filter("fold = 5").collect()}
+    assert last == pytest.approx(whole)
+    early = L.weights_as_of(rows, 5).filter("fold = 2 AND asset = 'x' AND model = 'good'").first()["weight"]
+    assert early == pytest.approx(L.model_weights(rows.filter("fold < 2 AND asset = 'x' AND model = 'good'")).first()["weight"])
+
+
+def test_newest_view_up_to_a_day(spark):
+    days = spark.sql("SELECT a AS asset, date'2000-01-01' + INTERVAL 1 DAY * d AS date FROM (SELECT explode(array('x', 'z')) AS a), (SELECT explode(sequence(0, 5)) AS d)").selectExpr("asset", "cast(date AS date) date")
+    views = spark.createDataFrame([("x", "2000-01-02", 1), ("x", "2000-01-04", 2)], "asset STRING, d STRING, v INT").selectExpr("asset", "to_date(d) AS date", "v")
+    got = {(r["asset"], r["date"].day): (r["v"], r["view_date"] and r["view_date"].day) for r in L.newest_before(days, views, ["v"]).collect()}
+    assert got == {
+        **{("x", d): (None, None) if d < 2 else (1, 2) if d < 4 else (2, 4) for d in range(1, 7)},
+        **{("z", d): (None, None) for d in range(1, 7)},
+    }
+
+
+def test_forecasts_use_targets_known_by_then(spark):
+    """A target may count only ``horizon`` rows after its own day."""
+    import datetime as dt
+
+    day = lambda k: dt.date(2000, 1, 3) + dt.timedelta(days=k)
+    y = [0.01 * k for k in range(40)]
+    rows = spark.createDataFrame([("x", day(k), v) for k, v in enumerate(y)], "asset STRING, date DATE, y DOUBLE")
+    cells = [("x", "m", k // 10 - 1, day(k), k, 40, (k // 10 + 1) * 10, y[k], 0.0, 0.5) for k in range(10, 40)]
+    preds = spark.createDataFrame(cells, "asset STRING, model STRING, fold INT, date DATE, pos INT, n INT, test_end INT, y DOUBLE, train_mean DOUBLE, pred DOUBLE")
+    got = {r["date"]: r for r in L.forecast_as_of(rows, preds, 3, horizon=5).collect()}
+    assert len(got) == 30
+    early = got[day(12)]  # fold 0: the mean of targets 0 to 7
+    assert early["method"] == "recent_mean" and early["expected_daily"] == pytest.approx(np.mean(y[:8]) / 5)
+    assert got[day(35)]["method"] == "ensemble"
+    none = L.forecast_as_of(rows, preds.filter("fold < 0"), 3, horizon=5)
+    assert none.count() == 0
+
+
+def test_report_values_are_long_rows(spark):
+    from tidepanel.plans.completion import section_values
+
+    df = spark.createDataFrame([("b", True, 1, 0.5, [1]), (None, False, 2, None, [2])], "book STRING, ok BOOLEAN, n INT, x DOUBLE, more ARRAY<INT>")
+    got = {(r["row"], r["column"], r["value"]) for r in section_values("s", df).collect()}
+    assert got == {("b|true", "n", 1.0), ("b|true", "x", 0.5), ("false", "n", 2.0), ("false", "x", None)}
+    assert section_values("s", df.select("book")).select("column").first()["column"] == "present"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import rnd
@@ -55,7 +58,8 @@ def em_04(spark, sf):
 
 @query("report_all_sections")
 def report(spark, sf):
-    """The full job on the staggered panel: how many rows every saved section has."""
+    """The full job on the staggered panel: every number of every saved section, named by
+    its column and by what tells its row apart."""
     from tidepanel.plans import parameters as K
     from tidepanel.plans.report import Settings, full_report
     from tidepanel.session import fresh_path
@@ -66,8 +70,16 @@ def report(spark, sf):
         eval_start=K.EVAL_START, cash_like=(K.CASH_LIKE,),
     )
     saved = full_report(P.staggered_prices(spark, sf), s, fresh_path(spark, "report"), K.decision_matrix(spark))
-    out = None
-    for name, path in saved.items():
-        n = spark.read.parquet(path).agg(F.lit(name).alias("section"), F.count("*").alias("n_rows"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    return reduce(DataFrame.unionByName, [section_values(name, spark.read.parquet(path)) for name, path in saved.items()])
+
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def section_values(name: str, df: DataFrame) -> DataFrame:
+    """(section, row, column, value): a saved section's numbers, one a row."""
+    told = [F.col(n).cast("string") for n, t in df.dtypes if t in ("string", "date", "boolean")]
+    numbers = [F.struct(F.lit(n).alias("column"), F.col(n).cast("double").alias("value")) for n, t in df.dtypes if t in NUMBERS]
+    numbers = numbers or [F.struct(F.lit("present").alias("column"), F.lit(1.0).alias("value"))]
+    row = F.concat_ws("|", *told) if told else F.lit("")
+    return df.select(F.lit(name).alias("section"), row.alias("row"), F.inline(F.array(*numbers))).withColumn("value", rnd("value", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,45 +39,78 @@ class Settings:
     cost_bps: float = 12.0
     eval_start: str = "1999-01-01"
     steps: int = 20
-    paths: int = 1000
+    paths: int = 5000
     target_vol: float = 0.15
     dd_tol: float = 0.25
     drift_tail: int = 504
     fallback_action: tuple[str, float] = ("Wait for clearer setup; rebalance to profile target.", 0.55)
     cash_like: tuple[str, ...] = field(default=())
-
-
-def live_state(rets: DataFrame, focus: str, classifier: DataFrame | None) -> DataFrame:
-    """Momentum, regime and classifier view of the focus asset, per date. Without a
-    classifier its neutral answer for thin history is used."""
+    # "boosted" fits a tree for each fold, class and round, so it is asked for by name
+    classifiers: tuple[str, ...] = ("logistic", "kernel")
+    regressors: tuple[str, ...] = ("ridge", "forest", "kernel")
+
+
+def class_predictions(prices: DataFrame, s: Settings) -> DataFrame:
+    """Out-of-fold class probabilities of every classifier the settings name."""
+    prepared = stage(L.pooled_classification(prices), "classification-folds")
+    mapped, cols = L.fourier_features(prepared)
+    fits = {
+        "logistic": lambda: L.fit_folds(prepared, L.FEATURES, L.balanced_logistic, "logistic", classifier=True),
+        "kernel": lambda: L.fit_folds(mapped, cols, L.balanced_logistic, "kernel", classifier=True),
+        "boosted": lambda: L.fit_folds(prepared, L.FEATURES, L.boosted_trees, "boosted", classifier=True),
+    }
+    cells = ("asset", "model", "fold", "date", "y", "probs", "pred")
+    return stage(reduce(DataFrame.unionByName, [fits[n]().select(*cells) for n in s.classifiers]), "class-predictions")
+
+
+def return_predictions(prices: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Out-of-fold return forecasts of every regression the settings name."""
+    pooled = stage(L.pooled_regression(prices), "regression-folds")
+    mapped, cols = L.fourier_features(pooled)
+    fits = {
+        "ridge": lambda: L.ridge(L.standardise(L.regression_folds(rows))),
+        "forest": lambda: L.fit_folds(pooled, L.FEATURES, L.random_forest, "forest"),
+        "kernel": lambda: L.fit_folds(mapped, cols, L.robust_linear, "kernel"),
+    }
+    cells = ("asset", "model", "fold", "date", "pos", "n", "test_end", "y", "train_mean", "pred")
+    return stage(reduce(DataFrame.unionByName, [fits[n]().select(*cells) for n in s.regressors]), "return-predictions")
+
+
+def live_state(rets: DataFrame, focus: str, views: DataFrame) -> DataFrame:
+    """Momentum, regime and the classifiers' newest view of the focus asset, per date. Where
+    there is none yet, their neutral answer for thin history is used."""
     x = rets.filter(F.col("asset") == focus)
     m = X.momentum(x).withColumnsRenamed({"signal": "mom_signal", "strength": "mom_strength"})
     s = m.join(X.regime(x).drop("asset", "price", "ret"), "date").select(
         F.col("date").alias("as_of"), "mom_signal", "mom_strength", "regime", "risk_off", "realized_vol", "long_vol", "regime_drawdown"
     )
-    if classifier is None:
-        return s.withColumns({"cls_signal": F.lit(0), "cls_confidence": F.lit(0.3)})
-    views = classifier.filter(F.col("asset") == focus).select(F.col("date").alias("as_of"), "cls_signal", "cls_confidence")
-    return s.join(views, "as_of")
+    days = s.select(F.lit(focus).alias("asset"), F.col("as_of").alias("date"))
+    newest = L.newest_before(days, views.filter(F.col("asset") == focus).select("asset", "date", "signal", "confidence"), ["signal", "confidence"])
+    newest = newest.select(F.col("date").alias("as_of"), F.coalesce("signal", F.lit(0)).alias("cls_signal"), F.coalesce("confidence", F.lit(0.3)).alias("cls_confidence"))
+    return s.join(newest, "as_of")
 
 
-def segment_signals(rets: DataFrame, s: Settings, classifier: DataFrame | None):
-    """Overlay inputs as of the last training day of each segment."""
-    state = live_state(rets, s.focus, classifier).withColumns(
-        {"bias": F.lit("neutral"), "next_rebalance": F.lit(None).cast("date"), "quality_scale": F.lit(1.0)}
-    )
-    decided = T.decide(state, s.target_vol).select(F.col("as_of").alias("date"), "signal", "confidence", "size")
+def segment_signals(rets: DataFrame, s: Settings, views: DataFrame, roles: DataFrame):
+    """Overlay inputs as of the last training day of each segment, judged against the
+    segment's own weights shortly before its rebalance."""
+    state = live_state(rets, s.focus, views).withColumn("next_rebalance", B.next_quarter_end(F.col("as_of"))).withColumn("quality_scale", F.lit(1.0))
 
-    def of(train: DataFrame) -> DataFrame:
-        ends = train.groupBy("segment").agg(F.max("date").alias("date"))
-        return ends.join(decided, "date").select("segment", "signal", "confidence", "size")
+    def of(train: DataFrame, weights: DataFrame) -> DataFrame:
+        ends = train.groupBy("segment").agg(F.max("date").alias("as_of"))
+        bias = T.strategic_bias(weights.withColumnRenamed("segment", "book"), roles).select(F.col("book").alias("segment"), "bias")
+        decided = T.decide(ends.join(state, "as_of").join(bias, "segment"), s.target_vol)
+        return decided.select("segment", "signal", "confidence", "size")
 
     return of
 
 
-def full_report(prices: DataFrame, s: Settings, path: str, matrix: DataFrame, baseline: DataFrame | None = None, classifier: DataFrame | None = None) -> dict[str, str]:
+def full_report(prices: DataFrame, s: Settings, path: str, matrix: DataFrame, baseline: DataFrame | None = None) -> dict[str, str]:
     """Run every layer and save each section under ``path``; sections of earlier runs
-    that this one does not produce stay as they are. Returns section -> folder."""
+    that this one does not produce stay as they are. Returns section -> folder.
+
+    The classifiers' views and the return forecasts are those known on each date
+    (``views_as_of``, ``forecast_as_of``); the newest forecast is the median over the models.
+    """
     spark = prices.sparkSession
     saved: dict[str, str] = {}
 
@@ -98,8 +132,13 @@ def full_report(prices: DataFrame, s: Settings, path: str, matrix: DataFrame, ba
         save("panel_failure", spark.createDataFrame([(failure,)], "code STRING"))
 
     rows = stage(L.regression_rows(X.technical_features(prices)), "regression-rows")
-    skill = L.model_skill(L.fold_skill(L.ridge(L.standardise(L.regression_folds(rows)))))
+    predicted = return_predictions(prices, rows, s)
+    skill = save("model_skill", L.model_skill(L.fold_skill(predicted)))
+    save("forecast_as_of", L.forecast_as_of(rows, predicted))
     forecast = save("forecast", L.forecast(rows, skill))
+    classes = class_predictions(prices, s)
+    save("classifier_scores", L.weighted_scores(classes, ["asset", "model"]))
+    views = save("classifier_views", L.views_as_of(classes).drop("probs"))
     days = seen.agg(F.countDistinct("date").alias("n")).scalar()
     extras = seen.groupBy("asset").agg((1 - F.count("*") / days).alias("imputed_fraction")).join(
         forecast.select("asset", F.col("expected_daily").alias("forecast_daily")), "asset", "left"
@@ -122,7 +161,7 @@ def full_report(prices: DataFrame, s: Settings, path: str, matrix: DataFrame, ba
     save("paths_bootstrap", RS.summarise(RS.path_outcomes(RS.bootstrap_paths(daily, s.paths)), -abs(s.dd_tol)))
 
     roles = spark.createDataFrame(list(s.roles.items()), "asset STRING, role STRING")
-    state = live_state(rets, s.focus, classifier)
+    state = live_state(rets, s.focus, views)
     newest = state.groupBy().agg(F.max_by(F.struct(*state.columns), "as_of").alias("v")).select("v.*")
     newest = newest.withColumn("next_rebalance", B.next_quarter_end(F.col("as_of")))
     newest = newest.withColumn("quality_scale", T.quality_scale(warnings, flags).scalar())
@@ -139,7 +178,7 @@ def full_report(prices: DataFrame, s: Settings, path: str, matrix: DataFrame, ba
     walk = save(
         "walk_forward",
         B.walk_forward(
-            completed.select("asset", "date", "ret"), roles_of, s.assets, segment_signals(rets, s, classifier), s.rf, s.cost_bps,
+            completed.select("asset", "date", "ret"), roles_of, s.assets, segment_signals(rets, s, views, roles), s.rf, s.cost_bps,
             s.focus, s.sinks, s.cash, s.target_vol, s.dd_tol, s.steps, cash_like=s.cash_like,
         ),
     )
