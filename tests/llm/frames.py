@@ -1,6 +1,8 @@
 """Small tables with what real ones hold: nulls, empty and long texts, repeated rows, ties,
 and extra columns named like the operators' own."""
 
+from pyspark.sql import functions as F
+
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, task int, length long, score double, kept boolean, y int"
 
 
@@ -36,3 +38,9 @@ def odd_docs(spark):
     copy = docs_frame(spark, ["one two three four"], 100)
     nameless = spark.createDataFrame([(None, "a row without id") + (None,) * 9], DOC_SCHEMA)
     return docs.unionByName(again).unionByName(copy).unionByName(nameless)
+
+
+def with_odd_names(docs):
+    """The rows with extra columns named like the columns that operators work with."""
+    names = "_row _text _words _spans _items _lang _score _rejected _ROW_ doc_id_ _fp _n"
+    return docs.withColumns({c: F.lit(k) for k, c in enumerate(names.split())})

@@ -3,7 +3,7 @@
 import random
 import re
 
-from tests.llm.frames import PASSAGE, docs_frame, odd_docs
+from tests.llm.frames import PASSAGE, docs_frame, odd_docs, with_odd_names
 from tidepanel.llm import decontaminate
 
 
@@ -77,3 +77,14 @@ def test_spans_are_cut_and_documents_dropped(spark):
     assert got == {0: f"{filler}<>, {filler}", 2: "clean text", 3: None}
     strict = decontaminate.decontaminate(docs, benchmark, max_coverage=0.0)
     assert strict.columns == docs.columns and sorted(x.doc_id for x in strict.collect()) == [2, 3]
+
+
+def test_several_automata_leave_columns_of_any_name_alone(spark, monkeypatch):
+    docs = with_odd_names(odd_docs(spark))
+    items = spark.createDataFrame([("a", PASSAGE), ("b", "one two three four"), ("c", None)], "item_id string, text string")
+    whole = decontaminate.decontaminate(docs, items, max_coverage=0.5).collect()
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 16)
+    assert decontaminate.shard_count(items) > 1
+    parts = decontaminate.decontaminate(docs, items, max_coverage=0.5)
+    assert parts.columns == docs.columns and sorted(parts.collect(), key=str) == sorted(whole, key=str)
+    assert 0 < len(whole) < docs.count()

@@ -1,5 +1,7 @@
 """Learned operators: held-out accuracy, bounds and odd input."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +131,23 @@ def test_a_sentence_of_a_language_not_learned_is_rejected(spark):
     assert model.predict(["Talvella järven jää oli niin paksua, että kylän lapset luistelivat koulun jälkeen iltaan asti."])[2].all()
 
 
+def test_broken_tags_take_linear_time():
+    for unit in ("<a x='>'y\" ", '<a "', "<a b='\"' > ' ", "<li></li>"):
+        start = "<li><ul>" + "<div>" * 20_000
+        took = []
+        for size in (1 << 19, 1 << 21):
+            begun = time.process_time()
+            blocks(start + unit * (size // len(unit)))
+            took.append(time.process_time() - begun)
+        assert took[1] < 10 * took[0] + 1, unit
+
+
+def test_tags_end_past_quoted_brackets_unless_a_quote_stays_open():
+    many = " ".join(f"data-{k}='>'" for k in range(40))
+    assert [b.text for b in blocks(f"<p {many} title=\"a>b\">one<p>two")] == ["one", "two"]
+    assert [b.text for b in blocks("<p>one <a href='x>two</a> three")] == ["one two three"]
+
+
 def test_blocks_are_labelled_on_new_pages():
     model = extraction.train(labelled())
     right = total = 0

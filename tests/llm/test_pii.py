@@ -3,7 +3,7 @@
 import random
 import re
 
-from tests.llm.frames import odd_docs
+from tests.llm.frames import docs_frame, odd_docs
 from tidepanel.llm import pii
 
 
@@ -66,3 +66,12 @@ def test_rows(spark):
     assert pii.personal_data(docs).count() == docs.count() and got[0] == []
     assert [s.kind for s in got[12]] == ["email", "ip", "card", "phone"]
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_scores_stand_in_the_order_of_the_spans(spark):
+    texts = ["visa 4111 1111 1111 1111 and a@b.org", "for example 4111 1111 1111 1111", "nothing", None]
+    got = pii.personal_data(docs_frame(spark, texts)).select("doc_id", pii.written("spans").alias("s"), pii.written_scores("spans").alias("v"))
+    for doc_id, spans, scores in got.collect():
+        found = pii.find(texts[doc_id] or "")
+        assert spans == ",".join(f"{s.kind}:{s.start}:{s.end}" for s in found)
+        assert scores == ",".join(f"{s.score:.2f}" for s in found)

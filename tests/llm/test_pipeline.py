@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.frames import odd_docs
+from tests.llm.frames import odd_docs, with_odd_names
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_duplicates import brute_components, brute_fingerprint
 from tests.llm.test_tokens_packing import WORD, library
@@ -56,6 +56,16 @@ def test_stages_take_odd_documents(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() > 0
 
 
+def test_stages_take_columns_named_like_their_own(spark):
+    plain = docs = odd_docs(spark)
+    docs = with_odd_names(docs)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs, plain = step(spark, docs, SMALL), step(spark, plain, SMALL)
+        assert docs.columns[len(plain.columns) :] == with_odd_names(plain).columns[len(plain.columns) :]
+        assert docs.select("_row", "_lang", "_rejected", "_spans").distinct().collect() == [(0, 5, 7, 3)]
+        assert sorted(docs.select(plain.columns).collect(), key=str) == sorted(plain.collect(), key=str)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

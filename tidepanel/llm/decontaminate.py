@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import utf8_of
+from tidepanel.llm.common import bounded, fresh_name, numbered, utf8_of
 from tidepanel.session import stage
 
 WINDOW = 10
@@ -198,31 +198,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found
 
 
-def _scan(rows: DataFrame, text_col: str, keep: list[str], automaton: SuffixAutomaton) -> DataFrame:
-    """The kept columns with n_words, spans and items of each row, in one pass."""
+def _scan(rows: DataFrame, text_col: str, keep: list[str], names: tuple[str, str, str], automaton: SuffixAutomaton) -> DataFrame:
+    """The kept columns with words, spans and items of each row, so named, in one pass."""
     shared = rows.sparkSession.sparkContext.broadcast(automaton)
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    kept = rows.select(*[F.col(f"`{c}`") for c in keep])
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh_name(keep, "_text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        for batch in batches:
+        for batch in bounded(batches, len(keep)):
             n, spans, items = [], [], []
             for text in utf8_of(batch.column(len(keep))):
                 words = words_of(text)
-                found, names = automaton.scan(words)
+                found, hit = automaton.scan(words)
                 n.append(len(words))
                 spans.append([{"first": a, "end": b} for a, b in found])
-                items.append([automaton.names[k] for k in sorted(names)])
+                items.append([automaton.names[k] for k in sorted(hit)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(spans, _SPAN_LIST), pa.array(items, pa.list_(pa.string()))],
-                [*keep, "_words", "_spans", "_items"],
+                [*keep, *names],
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(keep).schema)
-    return rows.mapInArrow(scan, f"{kept}, _words long, _spans {SPANS}, _items array<string>")
+    return rows.mapInArrow(scan, _schema(kept, names))
+
+
+def _schema(kept: DataFrame, names: tuple[str, str, str]) -> str:
+    """The columns of ``kept``, then words, spans and items."""
+    own = zip(names, ("long", SPANS, "array<string>"), strict=True)
+    return ", ".join(f"`{c}` {t}" for c, t in [*[(f.name, f.dataType.simpleString()) for f in kept.schema], *own])
 
 
-def _merge_spans(rows: DataFrame) -> DataFrame:
+def _merge_spans(rows: DataFrame, row: str, names: tuple[str, str, str]) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [
@@ -231,30 +237,32 @@ def _merge_spans(rows: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, _SPAN_LIST), batch.column(3)], batch.schema.names)
 
-    return rows.mapInArrow(merge, f"_row long, _words long, _spans {SPANS}, _items array<string>")
+    return rows.mapInArrow(merge, _schema(rows.select(row), names))
 
 
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id"
-) -> DataFrame:
-    """The columns of ``keep`` with _words (their number), _spans (hit words as first and
-    end, merged) and _items (ids of the items with windows in the text)."""
+) -> tuple[DataFrame, tuple[str, str, str]]:
+    """The columns of ``keep`` and three more, with their names: the number of words, the
+    hit words (spans of first and end, merged) and the ids of the items with windows in
+    the text. The names differ from all of ``keep``."""
+    names = fresh_name(keep, "_words"), fresh_name(keep, "_spans"), fresh_name(keep, "_items")
     shards = shard_count(benchmark)
     if shards == 1:
-        return _scan(docs, text_col, keep, automaton_of(benchmark, 0, 1, window, item_col))
+        return _scan(docs, text_col, keep, names, automaton_of(benchmark, 0, 1, window, item_col)), names
     # numbered rows, so that each finds its spans of all automata
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    rows, row = numbered(docs, "decontaminate-rows")
     found = [
-        stage(_scan(numbered, text_col, ["_row"], automaton_of(benchmark, k, shards, window, item_col)), "decontaminate-spans")
+        stage(_scan(rows, text_col, [row], names, automaton_of(benchmark, k, shards, window, item_col)), "decontaminate-spans")
         for k in range(shards)
     ]
     every = reduce(DataFrame.unionByName, found)
-    joined = every.groupBy("_row").agg(
-        F.max("_words").alias("_words"),
-        F.flatten(F.collect_list("_spans")).alias("_spans"),
-        F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"),
+    words, spans, items = names
+    joined = every.groupBy(row).agg(
+        F.max(words).alias(words), F.flatten(F.collect_list(spans)).alias(spans), F.array_distinct(F.flatten(F.collect_list(items))).alias(items)
     )
-    return numbered.join(_merge_spans(joined), "_row").select(*keep, "_words", "_spans", "_items")
+    together = rows.join(_merge_spans(joined, row, names), row)
+    return together.select(*[F.col(f"`{c}`") for c in (*keep, *names)]), names
 
 
 def contamination(
@@ -267,9 +275,8 @@ def contamination(
 ) -> DataFrame:
     """Per row: doc_id, n_words, spans, items."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return with_hits(rows, benchmark, ["doc_id"], window, "text", item_col).select(
-        "doc_id", F.col("_words").alias("n_words"), F.col("_spans").alias("spans"), F.array_distinct("_items").alias("items")
-    )
+    found, (words, spans, items) = with_hits(rows, benchmark, ["doc_id"], window, "text", item_col)
+    return found.select("doc_id", F.col(words).alias("n_words"), F.col(spans).alias("spans"), F.array_distinct(items).alias("items"))
 
 
 def hit_words(spans: str):
@@ -301,11 +308,11 @@ def decontaminate(
     hit spans longer than ``max_span`` words are cut out. All columns stay as they are."""
     columns = docs.columns
     spot = columns.index(text_col)
-    found = with_hits(docs, benchmark, columns, window, text_col, item_col)
-    kept = found.where(hit_words("_spans") <= max_coverage * F.col("_words")).select(*[F.col(f"`{c}`") for c in columns], "_spans")
+    found, (words, hit, _) = with_hits(docs, benchmark, columns, window, text_col, item_col)
+    kept = found.where(hit_words(hit) <= max_coverage * F.col(words)).select(*[F.col(f"`{c}`") for c in columns], hit)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, spot):
             spans = batch.column(len(columns)).to_pylist()
             texts = batch.column(spot)
             if any(spans):
@@ -314,4 +321,4 @@ def decontaminate(
             yield pa.RecordBatch.from_arrays([*batch.columns[:spot], texts, *batch.columns[spot + 1 : len(columns)]], columns)
 
     # with no coverage allowed nothing is left to cut
-    return kept.drop("_spans") if max_coverage <= 0 else kept.mapInArrow(cut, docs.schema)
+    return kept.drop(hit) if max_coverage <= 0 else kept.mapInArrow(cut, docs.schema)

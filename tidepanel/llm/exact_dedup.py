@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import numbered, pieces, texts_of
+from tidepanel.llm.common import bounded, numbered, pieces, texts_of
 from tidepanel.llm.quotient import CountingQuotientFilter
 from tidepanel.session import stage
 
@@ -59,7 +59,7 @@ def digests(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = N
     """doc_id, row, fp, text_sha256 of every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = [normalise(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), _signed([fingerprint(t) for t in texts]), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],

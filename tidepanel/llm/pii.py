@@ -174,5 +174,10 @@ def written(spans: str):
     )
 
 
+def written_scores(spans: str):
+    """Scores of all spans in the order of ``written``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def sha256_of(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()

@@ -121,7 +121,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[number(k) for k in pii.BASE_KINDS], F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written("spans").alias("spans")
+        "doc_id",
+        *[number(k) for k in pii.BASE_KINDS],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written("spans").alias("spans"),
+        pii.written_scores("spans").alias("scores"),
     )
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import numbered, utf8_of
+from tidepanel.llm.common import bounded, numbered, utf8_of
 from tidepanel.llm.components import components
 from tidepanel.session import stage
 
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     """doc_id, row, fp (the 64 bits as a signed long)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = np.array([simhash(t, shingle) for t in utf8_of(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 # Names of the HTML standard.
@@ -29,7 +29,9 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
+# The usual end of a tag, past a few quoted values; the others are searched step by step.
+_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,16}+>""")
+_STOP = re.compile(r"""[>"']""")
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TAGS}
@@ -44,9 +46,41 @@ class Block(NamedTuple):
     hidden: bool
 
 
+class _TagEnds:
+    """Ends of the tags of a page. What a search past quoted values came to is kept for
+    every stop it passed, so that no stop is passed twice, however tags are broken."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.ends = page, {}
+
+    def after(self, at: int) -> int:
+        """Place after the tag whose attributes begin at ``at``; 0 if it never ends."""
+        if found := _REST.match(self.page, at):
+            return found.end()
+        # with quotes that do not close, the tag ends at the next bracket
+        return self._past_quotes(at) or self.page.find(">", at) + 1
+
+    def _past_quotes(self, at: int) -> int:
+        passed, end = [], 0
+        while found := _STOP.search(self.page, at):
+            stop = found.start()
+            if stop in self.ends:
+                end = self.ends[stop]
+                break
+            passed.append(stop)
+            if found[0] == ">":
+                end = stop + 1
+                break
+            at = self.page.find(found[0], stop + 1) + 1
+            if not at:
+                break
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", content, ""), ("open", name, attributes) and ("close", name, "")."""
-    at, size = 0, len(page)
+    at, size, tag_ends = 0, len(page), _TagEnds(page)
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -61,9 +95,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find(">", start)
             at = size if end < 0 else end + 1
         elif m := _NAME.match(page, start + 1):
-            rest = _REST.match(page, m.end())
-            end = rest.end() if rest else page.find(">", m.end()) + 1
-            if end <= 0:
+            end = tag_ends.after(m.end())
+            if not end:
                 return  # a tag that never ends takes the rest along
             name = m[1].lower()
             if page[start + 1] == "/":
@@ -92,7 +125,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     nothing: frozenset[str] = frozenset()
     open_tags: list[tuple[str, frozenset[str], bool, frozenset[str]]] = [("", nothing, False, nothing)]
-    count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of the open elements, by name
     parts: list[str] = []
     linked, in_link = 0, False
 
@@ -106,8 +139,10 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def pop() -> None:
-        name = open_tags.pop()[0]
-        count[name] -= 1
+        places[open_tags.pop()[0]].pop()
+
+    def innermost(names: Iterable[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     for kind, name, attributes in _tokens(page):
         if kind == "text":
@@ -122,7 +157,7 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCK_TAGS or name in HIDDEN_TAGS:
             flush()
             if kind == "close":
-                if count.get(name):
+                if places.get(name):
                     while open_tags[-1][0] != name:
                         pop()
                     pop()
@@ -130,17 +165,14 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK_TAGS and open_tags[-1][0] == "p":
                 pop()
             ended, container = ENDS.get(name, ((), ()))
-            if any(count.get(x) for x in ended):
-                depth = len(open_tags) - 1
-                while depth and open_tags[depth][0] not in ended and open_tags[depth][0] not in container:
-                    depth -= 1
-                if open_tags[depth][0] in ended:
-                    while len(open_tags) > depth:
-                        pop()
+            depth = innermost(ended)
+            if depth > innermost(container):
+                while len(open_tags) > depth:
+                    pop()
             if name not in VOID_TAGS:
                 own, above = _own_marks(name, attributes), open_tags[-1]
                 around = above[1] if own <= above[1] else above[1] | own
+                places.setdefault(name, []).append(len(open_tags))
                 open_tags.append((name, around, above[2] or name in HIDDEN_TAGS, own))
-                count[name] = count.get(name, 0) + 1
     flush()
     return found
