@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -125,7 +126,6 @@ def test_parametric_paths_have_the_stated_moments(spark):
 
 def test_books_that_fall_to_zero_start_again(spark):
     """Large moves and short weights, against the loop over days."""
-    import random
 
     r = random.Random(3)
     days = [dt.date(2000, 1, 3) + dt.timedelta(days=k) for k in range(40)]
@@ -151,3 +151,35 @@ def test_books_that_fall_to_zero_start_again(spark):
                     now = list(target)
             assert abs(got[book, day] - want) < 1e-9 * max(1, abs(want))
     assert resets and len(got) == 120
+
+
+def test_folded_paths_equal_paths_followed_by_day(spark):
+    draw = random.Random(5)
+    rows = [(b, dt.date(2000, 1, 3) + dt.timedelta(days=k), draw.gauss(0, s)) for b, s in (("calm", 0.01), ("wild", 0.3), ("ruined", 0.7)) for k in range(80)]
+    rows += [("calm", dt.date(2001, 1, 1), None)] + [("short", dt.date(2000, 1, 3) + dt.timedelta(days=k), 0.01) for k in range(20)]
+    daily = spark.createDataFrame(rows, "book string, date date, ret double")
+    for horizon, block, paths in ((25, 10, 1100), (20, 10, 50), (7, 10, 50), (60, 1, 50)):
+        day = {(r.book, r.path): r for r in RS.path_outcomes(RS.bootstrap_paths(daily, paths, horizon, block)).collect()}
+        got = RS.bootstrap_outcomes(daily, paths, horizon, block).collect()
+        assert len(got) == len(day) == 3 * paths
+        for r in got:
+            want = day[r.book, r.path]
+            assert abs(r.terminal - want.terminal) < 1e-9 and abs(r.max_drawdown - want.max_drawdown) < 1e-9 and r.days == want.days
+    assert min(r.terminal for r in got) == RS.FLOOR  # some paths fell to the floor
+    assert RS.bootstrap_outcomes(daily.limit(0), 5).count() == RS.bootstrap_outcomes(daily, 0).count() == 0
+
+
+def test_counted_quantiles_are_exact(spark, tmp_path):
+    draw = random.Random(6)
+    rows = [(k % 3, draw.choice((float(draw.randrange(5)), draw.gauss(0, 10.0 ** draw.randrange(8))))) for k in range(6000)]
+    rows += [(7, 1.0), (8, 3.0), (8, 2.0), (8, None), (9, None)] + [(5, 4.0)] * 50
+    spark.createDataFrame(rows, "book int, t double").write.parquet(f"{tmp_path}/v")
+    values = spark.read.parquet(f"{tmp_path}/v").withColumn("u", -F.col("t"))
+    shares = {"t": [0, 0.05, 0.25, 0.5, 0.95, 0.99, 1], "u": [0.5, 0.01]}
+    want = {r[0]: r[1:] for r in values.groupBy("book").agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in shares[c]])) for c in shares]).collect()}
+    for levels in (0, 1, 2):
+        got = {r[0]: r[1:] for r in RS.quantiles(values, "book", shares, levels).collect()}
+        assert set(got) == {0, 1, 2, 5, 7, 8}
+        for book, found in got.items():
+            for mine, theirs in zip(found, want[book], strict=True):
+                assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(mine, theirs, strict=True))

@@ -71,3 +71,11 @@ def mix_sql(*ids: str) -> str:
 
 def uniform_sql(*ids: str) -> str:
     return f"(({mix_sql(*ids)}) + 0.5) / CAST({MODULUS} AS DOUBLE)"
+
+
+def mix_lambda(*ids: str | int) -> str:
+    """``mix`` as text for Spark's higher-order functions, each round worked out once."""
+    h = "(" + " + ".join(f"CAST({x} AS BIGINT) * {k}" for k, x in zip(MULTIPLIERS, ids)) + f") % {MODULUS}"
+    for a, b in ROUNDS:
+        h = f"transform(array({h}), h -> (h * (h + {a}) + {b}) % {MODULUS})[0]"
+    return h

@@ -74,7 +74,7 @@ def complete_book_returns(spark, sf):
 
 
 def bootstrap(spark, sf):
-    return RS.path_outcomes(RS.bootstrap_paths(complete_book_returns(spark, sf), N_PATHS))
+    return RS.bootstrap_outcomes(complete_book_returns(spark, sf), N_PATHS)
 
 
 def outcomes(df):

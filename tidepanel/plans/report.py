@@ -158,7 +158,7 @@ def full_report(prices: DataFrame, s: Settings, path: str, matrix: DataFrame, ba
     daily = PF.book_returns(weights, completed, s.assets)
     save("risk", R.risk_pack(daily, ["book"], s.rf))
     paths = save("paths", RS.summarise(RS.path_outcomes(RS.parametric_paths(exposure, s.paths)), -abs(s.dd_tol)))
-    save("paths_bootstrap", RS.summarise(RS.path_outcomes(RS.bootstrap_paths(daily, s.paths)), -abs(s.dd_tol)))
+    save("paths_bootstrap", RS.summarise(RS.bootstrap_outcomes(daily, s.paths), -abs(s.dd_tol)))
 
     roles = spark.createDataFrame(list(s.roles.items()), "asset STRING, role STRING")
     state = live_state(rets, s.focus, views)
