@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,22 @@ def test_em_by_patterns_equals_em_by_rows(panel, max_patterns):
     assert sum(r["is_imputed"] for r in out) == int(np.isnan(x).sum())
 
 
+def test_wide_em_equals_em_by_rows(spark):
+    """40 assets: tiles as starting point, one whole inverse for patterns with few holes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 0.01, (160, 40)) + rng.normal(0, 0.01, (160, 1))
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[::9, :30] = np.nan
+    names = [f"A{i:02d}" for i in range(40)]
+    rows = [(names[i], dt.date(2020, 1, 1) + dt.timedelta(days=t), float(x[t, i])) for t in range(160) for i in range(40) if x[t, i] == x[t, i]]
+    df = spark.createDataFrame(rows, "asset STRING, date DATE, ret DOUBLE")
+    m = I.em_fit(df, names, max_iter=3)
+    mu, cov, filled = reference_em(x, 3)
+    assert m.mu == pytest.approx(mu, abs=1e-11) and m.cov == pytest.approx(cov, abs=1e-11)
+    out = I.em_complete(df, names, m).orderBy("date", "asset").collect()
+    assert np.array([r["ret"] for r in out]).reshape(-1, 40) == pytest.approx(filled, abs=1e-10)
+
+
 def test_em_converges_and_is_psd(panel):
     x = holes()
     data = {a: [None if np.isnan(v) else float(v) for v in x[:, i]] for i, a in enumerate("ABC")}

@@ -182,6 +182,40 @@ def test_narrow_and_wide_moments_agree_on_shifted_data(spark):
             assert w.n == m.n and abs(w.cov - m.cov) < 1e-6 * abs(wide[m.i, m.i].cov) + 1e-12 and abs(w.corr - m.corr) < 1e-5
 
 
+def test_tiles_equal_the_pairwise_sums(spark):
+    """200 assets over blocks of 64 and of all, gaps, an asset apart from the rest and
+    one without any value; listed and unlisted universes against numpy."""
+    p, days = 200, 90
+    rng = np.random.default_rng(31)
+    x = 5 + rng.normal(0, 0.01, (days, p)) + rng.normal(0, 0.01, (days, 1))
+    x[rng.random((days, p)) < 0.4] = np.nan
+    x[:, 7], x[:, 9] = np.nan, np.nan
+    x[80:] = np.nan
+    x[85, 7] = 0.5
+    names = [f"A{k:03d}" for k in range(p)]
+    start = dt.date(2019, 12, 1)
+    rows = [(names[k], start + dt.timedelta(days=t), float(x[t, k])) for t in range(days) for k in range(p) if k != 9]
+    df = spark.createDataFrame([(a, d, None if v != v and d.day % 2 else v) for a, d, v in rows], "asset STRING, date DATE, ret DOUBLE")
+    want = {}
+    for i in range(p):
+        for j in range(i, p):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            n = int(both.sum())
+            want[names[i], names[j]] = n, float(np.cov(x[both, i], x[both, j])[0, 1]) if n > 1 else None
+    for tile in (64, 256):
+        got = {(m.asset_a, m.asset_b): (m.i, m.j, m.n, m.cov) for m in MO.gram_moments(df, names, tile=tile).collect()}
+        assert len(got) == p * p
+        for (a, b), (i, j, n, cov) in got.items():
+            n0, cov0 = want[min(a, b), max(a, b)]
+            assert (names[i], names[j], n) == (a, b, n0) and ((cov is None) == (cov0 is None) and (cov is None or abs(cov - cov0) < 1e-12))
+    for least, tile in ((1, 64), (30, 256)):
+        got = [(m.asset_a, m.asset_b, m.n, m.cov) for m in MO.universe_moments(df, least, tile).collect()]
+        assert len(got) == len({g[:2] for g in got}) and {g[:2] for g in got} == {k for k, (n, _) in want.items() if n >= least}
+        assert all(n == want[a, b][0] and (n < 2 or abs(cov - want[a, b][1]) < 1e-12) for a, b, n, cov in got)
+    nothing = df.filter("false")
+    assert MO.universe_moments(nothing).count() == 0 and {m.n for m in MO.gram_moments(nothing, ["A", "B"]).collect()} == {0}
+
+
 def test_book_rows_do_not_depend_on_the_path(spark):
     from tidepanel.operators import portfolio as PF
 

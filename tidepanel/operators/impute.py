@@ -4,7 +4,8 @@ The E-step is affine in the observed cells for every missingness pattern, so the
 count, sums and cross-products per pattern are sufficient: Spark makes one
 aggregation over the panel, the iterations run on p x p matrices, and one projection
 with the final coefficients fills the cells. Where the number of patterns is not
-small, every iteration is a Spark aggregation over the staged panel instead.
+small, or the universe is wide, every iteration is a Spark aggregation over the staged
+panel instead, and a wide universe starts from the tiles of ``gram_moments``.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.operators.align import wide
+from tidepanel.operators.moments import MAX_UNROLLED, gram_moments
 from tidepanel.session import stage
 
 MAX_PATTERNS = 4096
+# Condition up to which a covariance is inverted whole, once for all patterns.
+MAX_CONDITION = 1e6
 
 
 @dataclass
@@ -43,14 +47,27 @@ def nearest_psd(m: np.ndarray, ratio: float = 1e-10) -> np.ndarray:
     return vectors @ np.diag(values) @ vectors.T
 
 
-def regression(mu: np.ndarray, cov: np.ndarray, obs: np.ndarray):
+def whole_precision(cov: np.ndarray) -> np.ndarray | None:
+    """Inverse of the whole covariance, or None where that is not well conditioned. A
+    block's condition is never above the whole's."""
+    cond = np.linalg.cond(cov)
+    return np.linalg.inv(cov) if np.isfinite(cond) and cond <= MAX_CONDITION else None
+
+
+def regression(mu: np.ndarray, cov: np.ndarray, obs: np.ndarray, precision: np.ndarray | None = None):
     """Coefficients of missing on observed cells, and the residual covariance.
-    A near-singular observed block is shrunk 20 % towards its diagonal."""
+    A near-singular observed block is shrunk 20 % towards its diagonal.
+
+    With the whole ``precision`` only the missing cells' block is inverted, which is
+    cheaper where fewer cells are missing than observed."""
     mis = ~obs
     if not obs.any():
         return np.zeros((int(mis.sum()), 0)), cov[np.ix_(mis, mis)]
+    if precision is not None and mis.sum() < obs.sum():
+        resid = np.linalg.inv(precision[np.ix_(mis, mis)])
+        return -resid @ precision[np.ix_(mis, obs)], resid
     block = cov[np.ix_(obs, obs)]
-    cond = np.linalg.cond(block)
+    cond = np.linalg.cond(block) if precision is None else 1.0
     if not np.isfinite(cond) or cond > 1e10:
         block = 0.8 * block + 0.2 * np.diag(np.diag(block))
     try:
@@ -105,6 +122,15 @@ def _starting_point(rows: DataFrame, p: int):
     return mu, nearest_psd(_square(flat, p))
 
 
+def _wide_starting_point(df: DataFrame, keep: Sequence[str]):
+    """The same from long rows: no expression for each pair."""
+    means = {row["asset"]: row["m"] for row in df.filter(F.col("asset").isin(*keep)).groupBy("asset").agg(F.avg("ret").alias("m")).collect()}
+    cov = np.zeros((len(keep), len(keep)))
+    pairs = gram_moments(df, keep).filter("cov IS NOT NULL").select("i", "j", "cov").toPandas()
+    cov[pairs["i"], pairs["j"]] = pairs["cov"]
+    return np.array([means[a] or 0.0 for a in keep]), nearest_psd(cov)
+
+
 def em_fit(df: DataFrame, assets: Sequence[str], max_iter: int = 150, tol: float = 1e-7, min_rows: int = 5, max_patterns: int = MAX_PATTERNS) -> EMModel:
     """Mean and covariance of the panel. Assets with fewer than ``min_rows``
     observations are left out of the model."""
@@ -113,13 +139,13 @@ def em_fit(df: DataFrame, assets: Sequence[str], max_iter: int = 150, tol: float
     if not keep:
         raise ValueError("no asset has enough observations")
     p = len(keep)
-    cells = [F.col(f"a{i}").isNotNull() for i in range(p)]
     # A date with no kept asset has no observed cell but still is a row of the panel.
     rows = stage(wide(df, keep), "em-panel")
-    mu, cov = _starting_point(rows, p)
+    narrow = p <= MAX_UNROLLED
+    mu, cov = _starting_point(rows, p) if narrow else _wide_starting_point(df, keep)
     n_rows = rows.count()
-    stats = _pattern_sums(rows, p).limit(max_patterns + 1).collect()
-    if len(stats) <= max_patterns:
+    stats = _pattern_sums(rows, p).limit(max_patterns + 1).collect() if narrow else None
+    if stats is not None and len(stats) <= max_patterns:
         patterns = [
             (np.array([ch == "1" for ch in s["pattern"]]), s["n"], np.array(s["s"]), _square(s["ss"], p)) for s in stats
         ]
@@ -132,7 +158,6 @@ def em_fit(df: DataFrame, assets: Sequence[str], max_iter: int = 150, tol: float
         def sums(mu, cov):
             return _distributed_sums(rows, mu, cov)
 
-    del cells
     deltas: list[float] = []
     converged = False
     last = (mu, cov)
@@ -150,30 +175,34 @@ def em_fit(df: DataFrame, assets: Sequence[str], max_iter: int = 150, tol: float
 
 
 def _distributed_sums(rows: DataFrame, mu: np.ndarray, cov: np.ndarray):
-    """One E-step as a Spark job: each task groups its rows by pattern and returns a
-    single p x p partial sum, which is added up as arrays."""
+    """One E-step as a Spark job: each task completes its rows pattern by pattern and
+    returns a single p x p partial sum, which is added up as arrays."""
     p = len(mu)
     cols = [f"a{i}" for i in range(p)]
+    precision = whole_precision(cov)
 
     def partial(batches):
         total, cross = np.zeros(p), np.zeros((p, p))
         for batch in batches:
             x = batch[cols].to_numpy(dtype=float)
-            seen = ~np.isnan(x)
-            x = np.nan_to_num(x)
-            kinds, where = np.unique(seen, axis=0, return_inverse=True)
+            kinds, where = np.unique(~np.isnan(x), axis=0, return_inverse=True)
             for k, obs in enumerate(kinds):
-                part = x[where.ravel() == k]
-                t, c = expected_sums(mu, cov, obs, len(part), part.sum(axis=0), part.T @ part)
-                total += t
-                cross += c
+                mis = np.flatnonzero(~obs)
+                if not len(mis):
+                    continue
+                hit = np.flatnonzero(where.ravel() == k)
+                beta, resid = regression(mu, cov, obs, precision)
+                x[np.ix_(hit, mis)] = mu[mis] + (x[np.ix_(hit, np.flatnonzero(obs))] - mu[obs]) @ beta.T
+                cross[np.ix_(mis, mis)] += len(hit) * resid
+            total += x.sum(axis=0)
+            cross += x.T @ x
         i, j = np.meshgrid(np.arange(-1, p), np.arange(p), indexing="ij")
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": np.vstack([total, cross]).ravel()})
 
     parts = rows.select(*cols).mapInPandas(partial, "i INT, j INT, v DOUBLE")
+    sums = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros((p + 1, p))
-    for row in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        out[row["i"] + 1, row["j"]] = row["v"]
+    out[sums["i"] + 1, sums["j"]] = sums["v"]
     return out[0], out[1:]
 
 
@@ -184,6 +213,7 @@ def em_complete(df: DataFrame, assets: Sequence[str], model: EMModel) -> DataFra
     mu, cov = model.fill_mu, model.fill_cov
     rows = wide(df, assets)
     place = [list(assets).index(a) for a in keep]
+    precision = whole_precision(cov)
 
     def fill(batches):
         for batch in batches:
@@ -194,7 +224,7 @@ def em_complete(df: DataFrame, assets: Sequence[str], model: EMModel) -> DataFra
                 if obs.all():
                     continue
                 hit = np.flatnonzero(where.ravel() == k)
-                beta, _ = regression(mu, cov, obs)
+                beta, _ = regression(mu, cov, obs, precision)
                 part = x[np.ix_(hit, np.flatnonzero(obs))]
                 x[np.ix_(hit, np.flatnonzero(~obs))] = mu[~obs] + (part - mu[obs]) @ beta.T
             n = len(batch)

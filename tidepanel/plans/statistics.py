@@ -104,6 +104,19 @@ def ag_04b(spark, sf):
     return m.select("asset_a", "asset_b", "n", rnd(F.col("cov") * 1e4).alias("cov_bp"), rnd("corr").alias("corr"))
 
 
+@query(
+    "ag_04c_supplier_universe_covariance",
+    "WITH x AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS date, ln(sum(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2) "
+    f"SELECT a.asset AS asset_a, b.asset AS asset_b, count(*) AS n, {r('covar_samp(a.v, b.v) * 1e4')} AS cov_bp "
+    "FROM x a JOIN x b ON a.date = b.date AND a.asset <= b.asset WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3",
+)
+def ag_04c(spark, sf):
+    """Daily log sales of every two suppliers that ship on at least three common days."""
+    x = P.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("date"))
+    m = MO.universe_moments(x.agg(F.log(F.sum("l_extendedprice")).alias("ret")), min_n=3)
+    return m.select("asset_a", "asset_b", "n", rnd(F.col("cov") * 1e4).alias("cov_bp"))
+
+
 @query(
     "ag_05_correlation_lower_triangle",
     ctes(SRETS) + f"SELECT a.asset AS asset_a, b.asset AS asset_b, {r('corr(a.ret, b.ret)')} AS corr FROM srets a JOIN srets b ON a.date = b.date AND a.asset > b.asset WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2",
