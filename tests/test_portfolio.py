@@ -216,6 +216,16 @@ def test_tiles_equal_the_pairwise_sums(spark):
     assert MO.universe_moments(nothing).count() == 0 and {m.n for m in MO.gram_moments(nothing, ["A", "B"]).collect()} == {0}
 
 
+def test_wide_blocks_send_few_copies(spark):
+    """A value goes to the tasks once for each block, and blocks hold many tiles."""
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=t), float((k * 7 + t * t) % 11)) for k in range(400) for t in range(6)]
+    df = spark.createDataFrame(rows, "asset INT, date DATE, ret DOUBLE")
+    assert -(-400 // MO._block_width(spark, 400, 4)) <= 16 and MO._block_width(spark, 10**6, 4) == 4 * MO.BLOCK_TILES
+    want = {(a, b): (n, pytest.approx(cov)) for a, b, n, cov, _ in MO.universe_moments(df, 2, 400).collect()}
+    got = {(a, b): (n, cov) for a, b, n, cov, _ in MO.universe_moments(df, 2, 4).collect()}
+    assert len(got) == 400 * 401 // 2 and got == want
+
+
 def test_book_rows_do_not_depend_on_the_path(spark):
     from tidepanel.operators import portfolio as PF
 
