@@ -4,12 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.frames import docs_frame, odd_docs
 from tidepanel.llm import packing, tokenfile
 from tidepanel.llm.queries import tokenizer_path
-from tidepanel.llm.tokens import Encoder
+from tidepanel.llm.tokens import ENCODED_BYTES, Encoder, encodable
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -70,6 +71,15 @@ def check_packing(df, window):
     return len(sequences), sum(p.length for p in pieces)
 
 
+def test_long_texts_are_encoded_few_at_a_time():
+    """The chunks of 256 long texts at once would take hundreds of megabytes."""
+    texts = [f"w{k} " * 5_000 for k in range(300)] + [None, "", "x" * (2 * ENCODED_BYTES)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    cut = list(encodable(iter([batch]), 1))
+    assert [t for b in cut for t in b.column(1).to_pylist()] == texts
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= ENCODED_BYTES for b in cut)
+
+
 def test_packing_of_odd_documents(spark):
     check_packing(odd_docs(spark), 64)
     check_packing(odd_docs(spark), 4096)

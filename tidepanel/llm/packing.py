@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import pieces, texts_of
-from tidepanel.llm.tokens import encoder
+from tidepanel.llm.common import texts_of
+from tidepanel.llm.tokens import encodable, encoder
 from tidepanel.session import stage
 
 WINDOW = 4096
@@ -172,7 +172,7 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer), {}
         end = np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches):
+        for batch in encodable(batches, 1):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch.column(1))), strict=True):
                 ids += end

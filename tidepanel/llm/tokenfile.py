@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import pieces, texts_of
-from tidepanel.llm.tokens import encoder
+from tidepanel.llm.common import texts_of
+from tidepanel.llm.tokens import encodable, encoder
 from tidepanel.session import fresh_path, stage
 
 SEQUENCE = 2048
@@ -182,7 +182,7 @@ def write_token_files(
         file, out, enc = task.partitionId(), None, encoder(tokenizer)
         path = f"{folder}/part-{file:06d}.arrow"
         end = np.array([end_id], "<u4")
-        for batch in pieces(batches):
+        for batch in encodable(batches, 1):
             if out is None:
                 out = TokenWriter(path, enc.vocabulary, sequence, task.taskAttemptId())
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch.column(1))), strict=True):

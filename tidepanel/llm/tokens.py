@@ -12,13 +12,20 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
-# Entries a worker process keeps (about 250 MB): the newest half, and the half before it,
+from tidepanel.llm.common import bounded
+
+# Entries a worker process keeps (about 120 MB): the newest half, and the half before it,
 # from which what comes again moves up.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
+# Bytes of text encoded at a time: each of its chunks is an object for a while, and kept
+# ones among them hold on to the memory of all.
+ENCODED_BYTES = 1 << 18
 # Longer chunks are encoded each time, so that the cache's size in bytes is bounded.
 CACHED_CHARS = 48
 
@@ -183,6 +190,11 @@ def _places_of_none(values: list) -> list[int]:
         return places
 
 
+def encodable(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to what is encoded at a time; ``text`` is the text column's place."""
+    return bounded(batches, text, ENCODED_BYTES, rows=256)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
