@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.frames import docs_frame, odd_docs
 from tidepanel.llm import minmax
+from tidepanel.llm.exact_dedup import among
 
 
 def shingles(text, k=5):
@@ -103,3 +105,18 @@ def test_agreement_of_signatures_estimates_similarity():
     agree = minmax.signature(a, by) == minmax.signature(b, by)
     assert abs(agree.mean() - 0.6) < 0.03
     assert abs(agree[:2000].mean() - 0.6) < 0.05 and abs(agree[2000:].mean() - 0.6) < 0.05
+
+
+def test_texts_of_sets_are_not_shuffled(spark):
+    """Sets are taken where texts are read, by few texts besides the wanted ones."""
+    texts = near_texts(random.Random(4), 3, 2) + [f"alone {k} one two three four" for k in range(400)] + [None]
+    docs = docs_frame(spark, texts)
+    wanted = spark.createDataFrame([(3,), (5,), (None,)], "least long")
+    some = among(docs.select("doc_id", "text"), "doc_id", wanted).collect()
+    assert {3, 5} <= {r.doc_id for r in some} and len(some) < 10 and all(r.text == texts[r.doc_id] for r in some)
+    digests = {k: minmax._digest(minmax._sets(pa.RecordBatch.from_pydict({"text": [t]}), 0, 5)[0]) for k, t in enumerate(texts[:9])}
+    nodes = spark.createDataFrame([(50 + k, *digests[k], k) for k in (0, 4)], "node long, hi long, lo long, least long")
+    sets = minmax.sets_of(docs.unionByName(docs), nodes, 5, "doc_id", "text")
+    assert {r.node: r.n for r in sets.collect()} == {50 + k: len(shingles(texts[k])) for k in (0, 4)} and sets.count() == 2
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "text" in line]

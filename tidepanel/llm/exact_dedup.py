@@ -138,6 +138,24 @@ def route_bitmap(repeated: DataFrame, n_repeated: int) -> tuple[int, np.ndarray]
     return bits, whole
 
 
+def among(rows: DataFrame, column: str, wanted: DataFrame, hashed: bool = False) -> DataFrame:
+    """The rows whose ``column`` is among the values of ``wanted`` (one column of the same
+    type), and few others: a bitmap of bounded size tells, so that what a join with the
+    values would drop is not moved. ``hashed`` values are distinct hashes (named fp) already."""
+    keys = wanted if hashed else stage(wanted.select(F.xxhash64(wanted.columns[0]).alias("fp")).distinct(), "wanted")
+    bits, bitmap = route_bitmap(keys, keys.count())
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    names = rows.columns
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = (batch.column(len(names)).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            hit = shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
+            yield batch.select(names).filter(pa.array(hit.astype(bool)))
+
+    return rows.withColumn("_fp", F.col(column) if hashed else F.xxhash64(column)).mapInArrow(choose, rows.schema)
+
+
 def verified_groups(docs: DataFrame, bits: int, bitmap: np.ndarray, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """Groups of at least two rows with the same bytes: fp, text_sha256, keep_id, keep_row, group_size."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)

@@ -33,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import bounded, utf8_of
 from tidepanel.llm.components import components
+from tidepanel.llm.exact_dedup import among
 from tidepanel.session import stage
 
 SHINGLE = 5
@@ -145,19 +146,17 @@ def marked_rows(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: st
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(node, n, hashes) of the given nodes, from the texts of the documents that stand for
-    them (``least``), known by the digest of their set."""
+    them (``least``), known by the digest of their set. Texts stay where they are read."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
             sets = _sets(batch, 1, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) for s in sets], pa.list_(pa.int64(), 2)).cast(pa.list_(pa.int64())), _lists(sets)], ["node", "digest", "hashes"])
+            digests = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([d[k] for d in digests], pa.int64()) for k in range(2)), _lists(sets)], ["hi", "lo", "hashes"])
 
-    texts = _rows(docs, id_col, text_col)
-    wanted = nodes.select("node", "hi", "lo", "least")
-    own = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["least"])).select("node", "text")
-    found = own.mapInArrow(gather, "node long, digest array<long>, hashes array<long>")
-    same = found.join(wanted, "node").where((F.col("digest")[0] == F.col("hi")) & (F.col("digest")[1] == F.col("lo")))
-    return same.dropDuplicates(["node"]).select("node", F.size("hashes").alias("n"), "hashes")
+    own = among(_rows(docs, id_col, text_col), "doc_id", nodes.select("least"))
+    found = own.mapInArrow(gather, "hi long, lo long, hashes array<long>").dropDuplicates(["hi", "lo"])
+    return found.join(nodes.select("node", "hi", "lo"), ["hi", "lo"]).select("node", F.size("hashes").alias("n"), "hashes")
 
 
 def _alike(n_a: Column, n_b: Column, both: Column, threshold: int) -> Column:
@@ -166,8 +165,8 @@ def _alike(n_a: Column, n_b: Column, both: Column, threshold: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
+    a = among(sets, "node", pairs.select("a")).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
+    b = among(sets, "node", pairs.select("b")).select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
     both = F.size(F.array_intersect("in_a", "in_b"))
     return pairs.join(b, "b").join(a, "a").where(_alike(F.col("n_a"), F.col("n_b"), both, threshold)).select("a", "b")
 
@@ -220,7 +219,7 @@ def rest_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
         yield links()
 
     return (
-        dealt.join(sets.select("node", "hashes"), "node")
+        dealt.join(among(sets, "node", members.select("node")).select("node", "hashes"), "node")
         .select("part", "node", "component", "hashes")
         .repartition("part")
         .sortWithinPartitions("part")
@@ -233,8 +232,9 @@ def near_components(
 ) -> DataFrame:
     """(node, component) of the nodes with links. ``dealt`` has key, node and n (the set's
     size); ``nodes`` what is known of each node."""
-    shared = stage(dealt.groupBy("key").count().where("count > 1"), "shared-buckets")
-    members = dealt.join(shared, "key")
+    # counted next to the rows: keys are moved once
+    in_bucket = F.count("*").over(Window.partitionBy("key"))
+    members = stage(dealt.withColumn("count", in_bucket).where("count > 1"), "shared-buckets")
     near = members.groupBy("node").agg(F.sum("count").alias("near"))
     members = stage(members.join(near, "node").select("key", "node", "n", "near"), "bucket-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
