@@ -108,6 +108,14 @@ def test_languages_of_odd_documents(spark):
     assert language.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_centroids_are_learned_from_all_documents(spark):
+    """Copies count once, whatever their number."""
+    texts = [" ".join("abcdefghij"[int(c)] * (1 + k % 3) + "klmnopqrst"[int(c)] for c in str(10_000 + 7 * k)) for k in range(1_500)]
+    model = language.fit(docs_frame(spark, texts + texts[:40] * 5), F.lit(True), centroids=1)
+    vectors = language.weigh(np.stack([language.gram_counts(language.letters(t)) for t in texts]), model.idf)
+    assert np.abs(model.vectors[0] - language.unit(np.unique(vectors, axis=0).sum(axis=0))).max() < 1e-5
+
+
 def test_foreign_text_is_rejected(spark):
     docs = docs_frame(spark, [f"the quick brown fox number {k} jumps over the lazy dog near the river bank" for k in range(40)])
     model = language.fit(docs, F.lit(True))

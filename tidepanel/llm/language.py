@@ -2,14 +2,15 @@
 
 A text is a vector over hashed letter n-grams (one to three characters, words padded by a
 space), weighted by logarithmic counts and inverse document frequency and normalised.
-Each language has several centroids, found by clustering (spherical k-means) some of its
+Each language has several centroids, found by clustering (spherical k-means) all of its
 documents. A text gets the language of the centroid with the largest cosine; it is
 rejected if that cosine is below the language's limit for texts of its length. The limit
 lies between what nearly all of the language's own documents reach and what nearly all
 documents of other languages stay under, both cut to that length.
 
-Document frequencies count all learnable documents. Centroids are fitted on at most about
-``FIT_DOCUMENTS`` documents per language, chosen by a hash of their ids.
+Document frequencies, centroids and limits are learned from all learnable documents. Their
+n-gram counts are written once; each round of clustering is one pass over them that sends
+back a sum for each centroid. Quantiles are read off counts in ``STEPS`` bins of cosines.
 
 Defined results: a null text or one without a letter is "und" with score 0 and is
 rejected; documents with a null lang are not learned from; a table without learnable
@@ -20,22 +21,27 @@ are left as they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import bounded, crc_of_id, fresh_name, pieces
+from tidepanel.llm.exact_dedup import among, route_bitmap
 from tidepanel.session import stage
 
 BINS = 1 << 13
 CENTROIDS = 3
-FIT_DOCUMENTS = 600
 ROUNDS = 12
+# Centroids that turn by less than this cosine distance have settled.
+SETTLED = 1e-4
+# Bins in which cosines are counted.
+STEPS = 1 << 12
 # Cosines that nearly all of a language's own documents reach, and that nearly all
 # documents of other languages stay under.
 REJECT_QUANTILE = 0.002
@@ -64,25 +70,31 @@ def level(words: str) -> int:
     return int(np.searchsorted(LENGTHS, len(words), side="right"))
 
 
-def cuts(words: str) -> Iterator[tuple[int, str]]:
-    """(level, beginning) of a text, cut to the lengths at which levels start. Texts under
-    the first length have the limit of half of it."""
-    for k, n in enumerate((LENGTHS[0] // 2, *LENGTHS)):
-        if len(words) >= n:
-            yield k, words[: n - 1] + " "
-
-
-def gram_counts(words: str) -> np.ndarray:
+def gram_bins(words: str) -> tuple[np.ndarray, ...]:
+    """The bins of a text's one-, two- and three-letter grams, by where they start."""
     c = np.frombuffer(words.encode("utf-32-le"), "<u4")
     one = c * _MIX[0]
     two = one[:-1] + c[1:] * _MIX[1]
     three = two[:-1] + c[2:] * _MIX[2]
     shift = np.uint32(32 - 13)
-    counts = np.zeros(BINS, np.int64)
-    for h in (one, two, three):
-        h = h ^ (h >> np.uint32(15))
-        counts += np.bincount((h * _MIX[1]) >> shift, minlength=BINS)
-    return counts
+    return tuple(((h ^ (h >> np.uint32(15))) * _MIX[1]) >> shift for h in (one, two, three))
+
+
+def gram_counts(words: str) -> np.ndarray:
+    return np.bincount(np.concatenate(gram_bins(words)), minlength=BINS)
+
+
+def cut_counts(words: str) -> tuple[list[int], np.ndarray]:
+    """Levels of a text's beginnings, cut to the lengths at which levels start (texts under the
+    first length have the limit of half of it) and closed by a space, and their counts."""
+    levels, ends = zip(*[(k, n - 1) for k, n in enumerate((LENGTHS[0] // 2, *LENGTHS)) if len(words) >= n], strict=True)
+    at = np.array(ends)
+    inside = [np.searchsorted(at, np.arange(len(h)) + k, side="right") * BINS + h for k, h in enumerate(gram_bins(words))]
+    counts = np.bincount(np.concatenate(inside), minlength=(len(at) + 1) * BINS)[: len(at) * BINS].reshape(-1, BINS).cumsum(axis=0)
+    for k, n in enumerate(ends):
+        for h in gram_bins(words[n - 2 : n] + " "):
+            counts[k, h[-1]] += 1
+    return list(levels), counts
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -115,124 +127,248 @@ class Centroids:
         return found, score, rejected
 
 
-def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means: centroids and each row's centroid. Starts from rows that lie at
-    evenly spaced ranks of nearness to the mean, so that odd rows found no cluster."""
-    ranked = np.argsort(vectors @ vectors.mean(axis=0), kind="stable")
-    k = min(k, len(vectors))
-    centres = vectors[[ranked[(2 * c + 1) * len(ranked) // (2 * k)] for c in range(k)]]
+@dataclass
+class Distinct:
+    """Counted documents without copies: of those whose hash repeats, one of each; the others
+    are left where they are written, told apart by a bitmap of bounded size."""
+
+    rows: DataFrame  # lang, bits, counts, same (null: stays in any case)
+    repeated: Broadcast
+
+    def each(self, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        repeated = self.repeated
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, bitmap = repeated.value
+            for batch in batches:
+                same = batch.column(3)
+                slots = (same.fill_null(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                hit = (bitmap[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(~hit | same.is_null().to_numpy(zero_copy_only=False)))
+
+        return self.rows.mapInArrow(lambda batches: work(pieces(kept(batches), 512)), schema)
+
+
+def distinct_of(counted: DataFrame) -> Distinct:
+    """``counted`` has lang, bits, counts and same, a hash of them."""
+    hashes = stage(counted.groupBy("same").count().where("count > 1").select(F.col("same").alias("fp")), "repeated-grams")
+    bits, bitmap = route_bitmap(hashes, hashes.count())
+    rows = counted.select("lang", "bits", "counts", "same")
+    copies = among(rows, "same", hashes, hashed=True).select("lang", "bits", "counts").dropDuplicates()
+    copies = stage(copies, "copied-grams").withColumn("same", F.lit(None).cast("long"))
+    return Distinct(rows.unionByName(copies), counted.sparkSession.sparkContext.broadcast((bits, bitmap)))
+
+
+def vectors_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and value of what is not 0 in the vectors of the documents counted in a
+    batch (columns ``bits`` and ``counts``)."""
+    bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    row, place = np.divmod(np.flatnonzero(np.unpackbits(bits, axis=1)), BINS)
+    sizes = np.bincount(row, minlength=batch.num_rows).tolist()
+    counts = [np.frombuffer(c, np.uint8 if len(c) == n else "<u4") for c, n in zip(batch.column("counts").to_pylist(), sizes, strict=True)]
+    v = np.log1p(np.concatenate(counts), dtype=np.float32) * idf[place].astype(np.float32)
+    return row, place, v / np.sqrt(np.bincount(row, v * v)).astype(np.float32)[row]
+
+
+def own_cosines(batch: pa.RecordBatch, idf: np.ndarray, languages: list[str], centres: np.ndarray) -> tuple:
+    """The batch's vectors, the place of each document's language, and its cosine to each
+    of that language's centres (languages x centres x bins)."""
+    row, place, v = vectors_of(batch, idf)
+    own = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
+    turned = np.ascontiguousarray(centres.transpose(0, 2, 1), np.float32).reshape(-1, centres.shape[1])
+    first = np.searchsorted(row, np.arange(len(own)))  # every document has letters
+    return (row, place, v), own, np.add.reduceat(v[:, None] * turned[own[row] * BINS + place], first)
+
+
+def centre_sums(counted: Distinct, idf: np.ndarray, languages: list[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of all documents' vectors by language and nearest centre."""
+    slots = centres.shape[1]
+    shared = counted.rows.sparkSession.sparkContext.broadcast(centres)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(len(languages) * slots * BINS), np.zeros(len(languages) * slots, np.int64)
+        for batch in batches:
+            (row, place, v), own, cosines = own_cosines(batch, idf, languages, shared.value)
+            slot = own * slots + cosines.argmax(axis=1)
+            sums += np.bincount(slot[row] * BINS + place, v, minlength=len(sums))
+            n += np.bincount(slot, minlength=len(n))
+        used = np.flatnonzero(n)
+        values = [sums[k * BINS : (k + 1) * BINS].astype("<f4").tobytes() for k in used.tolist()]
+        yield pa.RecordBatch.from_pydict({"slot": used, "n": n[used], "sum": pa.array(values, pa.binary())})
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        """Of one row a task."""
+        parts = np.stack(sorted((np.frombuffer(x, "<f4") for x in group["sum"]), key=lambda x: x.tobytes()))
+        return pd.DataFrame({"slot": group["slot"].iloc[:1], "n": [int(group["n"].sum())], "sum": [parts.sum(axis=0, dtype=np.float64).tobytes()]})
+
+    sums, n = np.zeros((len(languages), slots, BINS)), np.zeros((len(languages), slots), np.int64)
+    tasks = counted.each(add_up, "slot long, n long, sum binary")
+    for slot, count, values in tasks.groupBy("slot").applyInPandas(total, "slot long, n long, sum binary").collect():  # a row per centre
+        sums[divmod(slot, slots)], n[divmod(slot, slots)] = np.frombuffer(values), count
+    return sums, n
+
+
+def quantiles(counts: DataFrame, keys: list[str], shares: list[float]) -> list:
+    """Per key, the quantiles (between two values where a rank lies between them) of cosines
+    counted in bins; ``counts`` has the keys, bin and n."""
+    upto = Window.partitionBy(*keys).orderBy("bin")  # at most STEPS rows
+    summed = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    x = summed.select(*keys, "bin", F.sum("n").over(upto).alias("upto"), (F.sum("n").over(Window.partitionBy(*keys)) - 1).alias("last"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("bin")))
+    found = []
+    for q in shares:
+        rank = F.col("last") * q
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        found.append((low + F.max(rank - F.floor(rank)) * (high - low) + 0.5) / STEPS)
+    return x.groupBy(*keys).agg(F.array(*found).alias("values")).collect()
+
+
+def step(cosines: np.ndarray) -> np.ndarray:
+    return np.clip((cosines * STEPS).astype(np.int64), 0, STEPS - 1)
+
+
+def starts_of(counted: Distinct, idf: np.ndarray, languages: list[str], means: np.ndarray, k: int) -> np.ndarray:
+    """Per language the vectors of the documents at ``k`` evenly spaced ranks of nearness to
+    its mean, or next to them."""
+    shared = counted.rows.sparkSession.sparkContext.broadcast(means)
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(languages) * STEPS, np.int64)
+        for batch in batches:
+            _, own, cosines = own_cosines(batch, idf, languages, shared.value)
+            n += np.bincount(own * STEPS + step(cosines[:, 0]), minlength=len(n))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"k": used // STEPS, "bin": used % STEPS, "n": n[used]})
+
+    ranks = np.zeros((len(languages), k))
+    for own, values in quantiles(counted.each(near, "k long, bin long, n long"), ["k"], [(2 * c + 1) / (2 * k) for c in range(k)]):
+        ranks[own] = values
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple] = {}
+        for batch in batches:
+            _, own, cosines = own_cosines(batch, idf, languages, shared.value)
+            gap = np.abs(cosines[:, :1] - ranks[own])
+            for lang in np.unique(own).tolist():
+                mine = np.flatnonzero(own == lang)
+                for c in range(k):
+                    at = int(mine[gap[mine, c].argmin()])
+                    one = float(gap[at, c]), batch["bits"][at].as_py(), batch["counts"][at].as_py()
+                    best[lang, c] = min(one, best.get((lang, c), one))
+        if best:
+            (at, one) = zip(*best.items(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*zip(*at, strict=True), *zip(*one, strict=True))], ["own", "c", "gap", "bits", "counts"])
+
+    found = counted.each(nearest, "own long, c long, gap double, bits binary, counts binary")
+    starts = np.zeros((len(languages), k, BINS))
+    for own, c, one in found.groupBy("own", "c").agg(F.min(F.struct("gap", "bits", "counts"))).collect():  # a row per centre
+        _, place, v = vectors_of(pa.RecordBatch.from_pydict({"bits": [bytes(one["bits"])], "counts": [bytes(one["counts"])]}), idf)
+        starts[own, c, place] = v
+    return starts
+
+
+def unit(sums: np.ndarray) -> np.ndarray:
+    return sums / np.maximum(np.linalg.norm(sums, axis=-1, keepdims=True), 1e-12)
+
+
+def cluster(counted: Distinct, idf: np.ndarray, languages: list[str], k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means of every language's documents: centres (languages x k x bins) and
+    whether any document is theirs. Starts from documents at evenly spaced ranks of nearness to
+    the language's mean, so that odd ones found no cluster."""
+    nothing = np.zeros((len(languages), 1, BINS))
+    means = unit(centre_sums(counted, idf, languages, nothing)[0])
+    centres = starts_of(counted, idf, languages, means, k)
+    there = np.ones(centres.shape[:2], bool)
     for _ in range(rounds):
-        own = (vectors @ centres.T).argmax(axis=1)
-        sums = np.stack([vectors[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centres, (vectors @ centres.T).argmax(axis=1)
+        sums, n = centre_sums(counted, idf, languages, centres)
+        there &= n > 0  # cosines to a centre of no documents are 0 and win none
+        new = unit(sums)
+        turned = (1 - (new * centres).sum(axis=-1))[there].max()
+        centres = new
+        if turned < SETTLED:
+            break
+    return centres, there
 
 
 def fit(
     docs: DataFrame,
     learnable: Column,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    per_language: int = FIT_DOCUMENTS,
     centroids: int = CENTROIDS,
 ) -> Centroids:
     """Learn from the rows where ``learnable`` holds and the language is known."""
     rows = docs.where(learnable & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
-    if not sizes:
-        return Centroids(np.ones(BINS), [], np.empty((0, BINS), np.float32), np.empty(0, int), np.empty((len(LENGTHS) + 1, 0)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    place = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30))
-    chosen = F.coalesce(place < share[F.col(lang_col)] * float(1 << 30), F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Document frequencies of the task, and the chosen documents' counts."""
+        """The documents' counts, then the task's document frequencies."""
         df, n = np.zeros(BINS, np.int64), 0
-        for batch in pieces(batches, 512):
+        for batch in bounded(batches, 0, rows=512):
             out = []
-            for text, lang, keep in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+            for text, lang in zip(*[batch.column(c).to_pylist() for c in range(2)], strict=True):
                 if words := letters(text):
                     counts = gram_counts(words)
                     df += counts > 0
                     n += 1
-                    if keep:
-                        used = np.flatnonzero(counts)
-                        out.append((lang, used.astype("<i4").tobytes(), counts[used].astype("<i4").tobytes(), words[: LENGTHS[-1]]))
+                    some = counts[counts > 0]
+                    out.append((lang, np.packbits(counts > 0).tobytes(), some.astype(np.uint8 if some.max() < 256 else "<u4").tobytes(), words[: LENGTHS[-1]]))
             if out:
-                lang, places, counts, start = zip(*out, strict=True)
+                lang, bits, counts, start = zip(*out, strict=True)
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": lang, "places": places, "counts": counts, "start": start, "bin": pa.nulls(len(out), pa.int32()), "df": pa.nulls(len(out), pa.int64())}
+                    {"lang": lang, "bits": bits, "counts": counts, "start": start, "bin": pa.nulls(len(out), pa.int32()), "df": pa.nulls(len(out), pa.int64())}
                 )
         used = np.append(np.flatnonzero(df), BINS)  # the last bin holds the number of documents
         none = [pa.nulls(len(used), t) for t in (pa.string(), pa.binary(), pa.binary(), pa.string())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(np.append(df[df > 0], n))], ["lang", "places", "counts", "start", "bin", "df"])
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(np.append(df[df > 0], n))], ["lang", "bits", "counts", "start", "bin", "df"])
 
-    counted = stage(
-        rows.select(text_col, lang_col, chosen.alias("chosen")).mapInArrow(count, "lang string, places binary, counts binary, start string, bin int, df long"), "grams"
-    )
+    counted = rows.select(text_col, lang_col).mapInArrow(count, "lang string, bits binary, counts binary, start string, bin int, df long")
+    counted = stage(counted.withColumn("same", F.xxhash64("lang", "bits", "counts")), "grams")
     df = np.zeros(BINS + 1)
     for row in counted.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("df")).collect():  # at most BINS + 1 rows
         df[row[0]] = row[1]
     idf = np.log((1 + df[BINS]) / (1 + df[:BINS])) + 1
-
-    def centre(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["places", "counts"])  # copies found no cluster of their own
-        counts = np.zeros((len(group), BINS), np.float32)
-        for i, (places, values) in enumerate(zip(group["places"], group["counts"], strict=True)):
-            counts[i, np.frombuffer(places, "<i4")] = np.frombuffer(values, "<i4")
-        vectors = weigh(counts, idf)
-        order = np.lexsort((vectors @ idf, vectors.sum(axis=1)))  # rows arrive in no fixed order
-        vectors = vectors[order]
-        centres, _ = cluster(vectors, centroids)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres]})
-
-    fitted = (
-        counted.where("bin IS NULL")  # at most about per_language rows of each language
-        .select("lang", "places", "counts")
-        .groupBy("lang")
-        .applyInPandas(centre, "lang string, centre binary")
-        .collect()  # some rows per language
-    )
-    fitted.sort(key=lambda r: (r["lang"], r["centre"]))
-    languages = sorted({r["lang"] for r in fitted})
-    model = Centroids(
-        idf,
-        languages,
-        np.stack([np.frombuffer(r["centre"], "<f4") for r in fitted]) if fitted else np.empty((0, BINS), np.float32),
-        np.array([languages.index(r["lang"]) for r in fitted], int),
-        np.zeros((len(LENGTHS) + 1, len(languages))),
-    )
-    model.least = limits(counted.where("bin IS NULL").select("lang", "start"), model)
+    counted = counted.where("bin IS NULL")
+    languages = sorted(r[0] for r in counted.select("lang").distinct().collect())  # one row per language
+    if not languages:
+        return Centroids(np.ones(BINS), [], np.empty((0, BINS), np.float32), np.empty(0, int), np.empty((len(LENGTHS) + 1, 0)))
+    centres, there = cluster(distinct_of(counted), idf, languages, centroids)  # copies found no cluster of their own
+    model = Centroids(idf, languages, centres[there].astype(np.float32), np.nonzero(there)[0], np.zeros((len(LENGTHS) + 1, len(languages))))
+    model.least = limits(counted.select("lang", "start"), model)
     return model
 
 
-def limits(chosen: DataFrame, model: Centroids) -> np.ndarray:
+def limits(starts: DataFrame, model: Centroids) -> np.ndarray:
     """By length and language, the cosine under which a text is rejected."""
-    shared = chosen.sparkSession.sparkContext.broadcast(model)
+    shared = starts.sparkSession.sparkContext.broadcast(model)
+    size = len(model.languages), len(LENGTHS) + 1, 2, STEPS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest cosine of every language to the beginnings of every document."""
-        m = shared.value
+        """Counts of the nearest cosines of every language to the beginnings of every document."""
+        m, n = shared.value, np.zeros(size, np.int64)
+        turned = np.ascontiguousarray(m.vectors.T)
         for batch in pieces(batches, 64):
-            found = [(m.languages.index(lang), k, gram_counts(w)) for lang, s in zip(*[c.to_pylist() for c in batch.columns], strict=True) for k, w in cuts(s)]
-            if found:
-                own, at, counts = zip(*found, strict=True)
-                cosines = weigh(np.stack(counts), m.idf) @ m.vectors.T
+            for lang, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = m.languages.index(lang)
+                if len(start) < LENGTHS[0] // 2:
+                    continue
+                levels, counts = cut_counts(start)
+                row, place = np.divmod(np.flatnonzero(counts), BINS)
+                v = np.log1p(counts[row, place]) * m.idf[place]
+                first = np.searchsorted(row, np.arange(len(levels)))
+                cosines = np.add.reduceat(v[:, None] * turned[place], first) / np.sqrt(np.add.reduceat(v * v, first))[:, None]
                 for k in range(len(m.languages)):
-                    best = cosines[:, m.owner == k].max(axis=1).astype(float)
-                    yield pa.RecordBatch.from_pydict({"k": np.full(len(own), k), "level": np.array(at), "own": np.array(own) == k, "cosine": best})
-
-    reached = (
-        chosen.mapInArrow(compare, "k long, level long, own boolean, cosine double")
-        .groupBy("k", "level")
-        .agg(F.expr(f"percentile(CASE WHEN own THEN cosine END, {REJECT_QUANTILE})"), F.expr(f"percentile(CASE WHEN NOT own THEN cosine END, {FOREIGN_QUANTILE})"))
-        .collect()  # some rows per language
-    )
-    least = np.full((len(LENGTHS) + 1, len(model.languages)), np.nan)
-    for k, at, low, foreign in reached:
-        if low is not None:
-            least[at, k] = REJECT_PART * low if foreign is None else min(low, max(REJECT_PART * low, (low + foreign) / 2))
+                    np.add.at(n, (k, levels, int(own == k), step(cosines[:, m.owner == k].max(axis=1))), 1)
+        k, level, own, at = np.nonzero(n)
+        yield pa.RecordBatch.from_pydict({"k": k, "level": level, "own": own.astype(bool), "bin": at, "n": n[n > 0]})
+
+    counts = starts.mapInArrow(compare, "k long, level long, own boolean, bin long, n long")
+    low, foreign = np.full((2, len(LENGTHS) + 1, len(model.languages)), np.nan)
+    for k, at, own, values in quantiles(counts, ["k", "level", "own"], [REJECT_QUANTILE, FOREIGN_QUANTILE]):
+        if own:
+            low[at, k] = values[0]
+        else:
+            foreign[at, k] = values[1]
+    between = np.minimum(low, np.maximum(REJECT_PART * low, (low + foreign) / 2))
+    least = np.where(np.isnan(foreign), REJECT_PART * low, between)
     for at in range(1, len(least)):  # longer than any learned from: the longest's limit
         least[at] = np.where(np.isnan(least[at]), least[at - 1], least[at])
     return np.nan_to_num(least)
