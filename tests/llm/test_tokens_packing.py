@@ -80,6 +80,16 @@ def test_long_texts_are_encoded_few_at_a_time():
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= ENCODED_BYTES for b in cut)
 
 
+def test_rare_words_stay_known(monkeypatch):
+    e = Encoder(tokenizer_path(WORD))
+    letters = [chr(97 + k) for k in range(26)]
+    words = ["".join(letters[k // 26**p % 26] for p in range(4)) for k in range(430_000)]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    first = [e.encode([t])[0] for t in texts][0]
+    monkeypatch.setattr(e, "_model", None)  # nothing is encoded again
+    assert e.encode(texts[:1]) == [first]
+
+
 def test_packing_of_odd_documents(spark):
     check_packing(odd_docs(spark), 64)
     check_packing(odd_docs(spark), 4096)

@@ -20,9 +20,10 @@ import pyarrow as pa
 
 from tidepanel.llm.common import bounded
 
-# Entries a worker process keeps (about 120 MB): the newest half, and the half before it,
-# from which what comes again moves up.
-CACHE_ENTRIES = 400_000
+# Entries a worker process keeps (about 250 MB): the newest half, and the half before it,
+# from which what comes again moves up. With half as many, prose with many rare words is
+# mostly encoded anew.
+CACHE_ENTRIES = 800_000
 # Bytes of text encoded at a time: each of its chunks is an object for a while, and kept
 # ones among them hold on to the memory of all.
 ENCODED_BYTES = 1 << 18
