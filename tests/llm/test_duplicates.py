@@ -150,6 +150,17 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
         assert sorted((-1 if x.doc_id is None else x.doc_id, named[x.text]) for x in kept.collect()) == want, drop
 
 
+def test_rows_that_stay_are_not_moved(spark):
+    rows = spark.range(4000).selectExpr("id AS r", "concat('text ', id) AS text")
+    gone = spark.range(0, 4000, 40).selectExpr("id AS r")
+    left = exact_dedup.without(rows, "r", gone)
+    assert sorted(x.r for x in left.collect()) == [k for k in range(4000) if k % 40]
+    assert all(x.text == f"text {x.r}" for x in left.collect())
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # the join has its own branch, of the rows that may go
+    assert exact_dedup.without(rows, "r", gone.where("r < 0")).count() == 4000
+
+
 def test_empty_tables(spark):
     none = docs_frame(spark, ["x"]).where("doc_id < 0")
     assert exact_dedup.exact_duplicates(none).count() == 0

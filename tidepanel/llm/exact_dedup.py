@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import bounded, numbered, pieces, texts_of
+from tidepanel.llm.common import bounded, fresh_name, numbered, pieces, texts_of
 from tidepanel.llm.quotient import CountingQuotientFilter
 from tidepanel.session import stage
 
@@ -156,6 +156,27 @@ def among(rows: DataFrame, column: str, wanted: DataFrame, hashed: bool = False)
     return rows.withColumn("_fp", F.col(column) if hashed else F.xxhash64(column)).mapInArrow(choose, rows.schema)
 
 
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is not among the values of ``gone`` (one column, distinct and
+    not null). A bitmap of bounded size tells which rows may be among them: those alone are
+    moved, the others stay where they are read."""
+    hashes = stage(gone.select(F.xxhash64(column).alias("fp")).distinct(), "gone")
+    bits, bitmap = route_bitmap(hashes, hashes.count())
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    names = rows.columns
+
+    def split(hit: bool) -> DataFrame:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = (batch.column(len(names)).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                found = (shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.select(names).filter(pa.array(found == hit))
+
+        return rows.withColumn(fresh_name(names, "_fp"), F.xxhash64(column)).mapInArrow(choose, rows.schema)
+
+    return split(False).unionByName(split(True).join(gone, column, "left_anti"))
+
+
 def verified_groups(docs: DataFrame, bits: int, bitmap: np.ndarray, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """Groups of at least two rows with the same bytes: fp, text_sha256, keep_id, keep_row, group_size."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -212,4 +233,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows that stay, with all their columns."""
     rows, row = numbered(docs, "exact-rows")
     gone = _marked(rows, id_col, text_col, row).where(F.col("row") != F.col("keep_row")).select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").select(docs.columns)
+    return without(rows, row, stage(gone, "gone-rows")).select(docs.columns)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import bounded, numbered, utf8_of
 from tidepanel.llm.components import components
+from tidepanel.llm.exact_dedup import without
 from tidepanel.session import stage
 
 SHINGLE = 4
@@ -238,4 +239,4 @@ def drop_near_duplicates(
     marked = stage(fingerprints(rows, shingle, id_col, text_col, row), "fingerprints")
     named = _named(marked, reach, shared)
     gone = marked.join(named, "fp").where(F.col("row") != F.col("least.row")).select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").select(docs.columns)
+    return without(rows, row, stage(gone, "gone-rows")).select(docs.columns)
