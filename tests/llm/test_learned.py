@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,30 @@ def test_main_text_of_pages(spark):
         if x.page_id == 1:
             assert x.text == "A & B\nFirst line.\nSecond line"
     assert extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_beginnings_are_counted_in_the_bins_they_use():
+    r = np.random.default_rng(7)
+    for n in (8, 9, 15, 16, 17, 100, 2047, 2048):
+        words = language.letters("".join(r.choice(list("abcdeé 日"), n)) + "x")[:n]
+        used, counts = language.cut_counts(words)
+        ends = [e - 1 for e in (8, *language.LENGTHS) if len(words) >= e]
+        want = np.stack([language.gram_counts(words[:e] + " ") for e in ends])
+        whole = np.zeros_like(want)
+        whole[:, used] = counts
+        assert (whole == want).all() and len(used) <= 3 * n + 3
+
+
+def test_places_and_logs_of_packed_counts():
+    r = np.random.default_rng(8)
+    packed = r.integers(0, 256, 3000, dtype=np.uint8) * (r.random(3000) < 0.3)
+    assert (language.places_of_bits(packed.astype(np.uint8)) == np.flatnonzero(np.unpackbits(packed.astype(np.uint8)))).all()
+    idf = 1 + r.random(language.BINS)
+    texts = [language.letters(t) for t in ("a" * 3000, "ab cd", "é" * 255, "aé " * 256)]
+    counts = [language.gram_counts(t) for t in texts]
+    kinds = [np.uint8 if c.max() < 256 else "<u4" for c in counts]
+    batch = pa.RecordBatch.from_pydict({"bits": [np.packbits(c > 0).tobytes() for c in counts], "counts": [c[c > 0].astype(k).tobytes() for c, k in zip(counts, kinds, strict=True)]})
+    row, place, v = language.vectors_of(batch, idf)
+    found = np.zeros((len(texts), language.BINS), np.float32)
+    found[row, place] = v
+    assert np.allclose(found, language.weigh(counts, idf), atol=1e-6)

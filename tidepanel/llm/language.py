@@ -70,36 +70,58 @@ def level(words: str) -> int:
     return int(np.searchsorted(LENGTHS, len(words), side="right"))
 
 
+def bin_of(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint32(15))) * _MIX[1]) >> np.uint32(32 - 13)
+
+
 def gram_bins(words: str) -> tuple[np.ndarray, ...]:
     """The bins of a text's one-, two- and three-letter grams, by where they start."""
     c = np.frombuffer(words.encode("utf-32-le"), "<u4")
     one = c * _MIX[0]
     two = one[:-1] + c[1:] * _MIX[1]
     three = two[:-1] + c[2:] * _MIX[2]
-    shift = np.uint32(32 - 13)
-    return tuple(((h ^ (h >> np.uint32(15))) * _MIX[1]) >> shift for h in (one, two, three))
+    return tuple(map(bin_of, (one, two, three)))
 
 
 def gram_counts(words: str) -> np.ndarray:
     return np.bincount(np.concatenate(gram_bins(words)), minlength=BINS)
 
 
-def cut_counts(words: str) -> tuple[list[int], np.ndarray]:
-    """Levels of a text's beginnings, cut to the lengths at which levels start (texts under the
-    first length have the limit of half of it) and closed by a space, and their counts."""
-    levels, ends = zip(*[(k, n - 1) for k, n in enumerate((LENGTHS[0] // 2, *LENGTHS)) if len(words) >= n], strict=True)
-    at = np.array(ends)
-    inside = [np.searchsorted(at, np.arange(len(h)) + k, side="right") * BINS + h for k, h in enumerate(gram_bins(words))]
-    counts = np.bincount(np.concatenate(inside), minlength=(len(at) + 1) * BINS)[: len(at) * BINS].reshape(-1, BINS).cumsum(axis=0)
-    for k, n in enumerate(ends):
-        for h in gram_bins(words[n - 2 : n] + " "):
-            counts[k, h[-1]] += 1
-    return list(levels), counts
+# Places from which on a character is past the beginnings cut for each level, and by place the
+# first level that holds what ends there.
+_ENDS = np.array((LENGTHS[0] // 2, *LENGTHS)) - 1
+_LEVEL_AT = np.searchsorted(_ENDS, np.arange(LENGTHS[-1]), side="right")
 
 
-def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = (np.log1p(counts) * idf).astype(np.float32)
-    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+def cut_counts(words: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bins in use, in order, and by level the counts in them of a text's beginnings, cut to
+    the lengths at which levels start (texts under the first length have the limit of half of
+    it) and closed by a space."""
+    ends = _ENDS[_ENDS < len(words)]
+    inside = gram_bins(words)
+    c = np.frombuffer(words.encode("utf-32-le"), "<u4")
+    last, space = c[ends - 1], np.full(len(ends), 32, np.uint32)
+    closing = space * _MIX[0], last * _MIX[0] + space * _MIX[1], c[ends - 2] * _MIX[0] + last * _MIX[1] + space * _MIX[2]
+    bins = np.concatenate([*inside, bin_of(np.concatenate(closing))])
+    used = np.flatnonzero(np.bincount(bins, minlength=BINS))
+    spot = np.empty(BINS, np.int64)
+    spot[used] = np.arange(len(used))
+    spots = spot[bins]
+    at = np.concatenate([_LEVEL_AT[k : k + len(h)] for k, h in enumerate(inside)])
+    n = len(ends) * len(used)
+    counts = np.bincount(at * len(used) + spots[: len(at)], minlength=n)[:n].reshape(-1, len(used)).cumsum(axis=0)
+    np.add.at(counts, (np.tile(np.arange(len(ends)), 3), spots[len(at) :]), 1)
+    return used, counts
+
+
+def weigh(counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Vectors of texts with these counts; the few bins that are not 0 are worked out."""
+    v = np.zeros((len(counts), BINS), np.float32)
+    for row, c in zip(v, counts, strict=True):
+        used = np.flatnonzero(c)
+        row[used] = np.log1p(c[used]) * idf[used]
+    v /= np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+    return v
 
 
 @dataclass
@@ -116,7 +138,7 @@ class Centroids:
         some = [i for i, w in enumerate(words) if w]
         found, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if some and self.languages:
-            cosines = weigh(np.stack([gram_counts(words[i]) for i in some]), self.idf) @ self.vectors.T
+            cosines = weigh([gram_counts(words[i]) for i in some], self.idf) @ self.vectors.T
             nearest = cosines.argmax(axis=1)
             best = np.stack([cosines[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
             likely = np.exp((best - best.max(axis=1, keepdims=True)) / SURE)
@@ -159,23 +181,47 @@ def distinct_of(counted: DataFrame) -> Distinct:
     return Distinct(rows.unionByName(copies), counted.sparkSession.sparkContext.broadcast((bits, bitmap)))
 
 
+_LOGS = np.log1p(np.arange(256), dtype=np.float32)
+# The places of the bits in each byte (the highest is 0), one byte's after another's.
+_IN_BYTE = np.nonzero(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1))[1]
+_BYTE_START = np.append(0, np.cumsum(np.bitwise_count(np.arange(255, dtype=np.uint8)), dtype=np.int64))
+
+
+def places_of_bits(packed: np.ndarray) -> np.ndarray:
+    """Places of the bits that are set, from the bytes that have any."""
+    some = np.flatnonzero(packed)
+    held = packed[some]
+    n = np.bitwise_count(held).astype(np.int64)
+    first = np.cumsum(n) - n
+    return np.repeat(8 * some, n) + _IN_BYTE[np.arange(n.sum()) + np.repeat(_BYTE_START[held] - first, n)]
+
+
 def vectors_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and value of what is not 0 in the vectors of the documents counted in a
     batch (columns ``bits`` and ``counts``)."""
     bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    row, place = np.divmod(np.flatnonzero(np.unpackbits(bits, axis=1)), BINS)
-    sizes = np.bincount(row, minlength=batch.num_rows).tolist()
-    counts = [np.frombuffer(c, np.uint8 if len(c) == n else "<u4") for c, n in zip(batch.column("counts").to_pylist(), sizes, strict=True)]
-    v = np.log1p(np.concatenate(counts), dtype=np.float32) * idf[place].astype(np.float32)
+    place = places_of_bits(bits.ravel()) & (BINS - 1)
+    sizes = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    parts = [np.frombuffer(c, np.uint8 if len(c) == n else "<u4") for c, n in zip(batch.column("counts").to_pylist(), sizes.tolist(), strict=True)]
+    counts = np.concatenate(parts)
+    logs = _LOGS[np.minimum(counts, 255)]
+    many = np.flatnonzero(counts > 255)
+    logs[many] = np.log1p(counts[many], dtype=np.float32)
+    v = logs * idf.astype(np.float32)[place]
     return row, place, v / np.sqrt(np.bincount(row, v * v)).astype(np.float32)[row]
 
 
-def own_cosines(batch: pa.RecordBatch, idf: np.ndarray, languages: list[str], centres: np.ndarray) -> tuple:
+def turned_centres(centres: np.ndarray) -> np.ndarray:
+    """Rows of the centres' values, by language and bin."""
+    return np.ascontiguousarray(centres.transpose(0, 2, 1), np.float32).reshape(-1, centres.shape[1])
+
+
+def own_cosines(batch: pa.RecordBatch, idf: np.ndarray, languages: list[str], turned: np.ndarray) -> tuple:
     """The batch's vectors, the place of each document's language, and its cosine to each
-    of that language's centres (languages x centres x bins)."""
+    of that language's centres (``turned_centres``)."""
     row, place, v = vectors_of(batch, idf)
     own = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
-    turned = np.ascontiguousarray(centres.transpose(0, 2, 1), np.float32).reshape(-1, centres.shape[1])
     first = np.searchsorted(row, np.arange(len(own)))  # every document has letters
     return (row, place, v), own, np.add.reduceat(v[:, None] * turned[own[row] * BINS + place], first)
 
@@ -183,7 +229,7 @@ def own_cosines(batch: pa.RecordBatch, idf: np.ndarray, languages: list[str], ce
 def centre_sums(counted: Distinct, idf: np.ndarray, languages: list[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and numbers of all documents' vectors by language and nearest centre."""
     slots = centres.shape[1]
-    shared = counted.rows.sparkSession.sparkContext.broadcast(centres)
+    shared = counted.rows.sparkSession.sparkContext.broadcast(turned_centres(centres))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(len(languages) * slots * BINS), np.zeros(len(languages) * slots, np.int64)
@@ -230,7 +276,8 @@ def step(cosines: np.ndarray) -> np.ndarray:
 def starts_of(counted: Distinct, idf: np.ndarray, languages: list[str], means: np.ndarray, k: int) -> np.ndarray:
     """Per language the vectors of the documents at ``k`` evenly spaced ranks of nearness to
     its mean, or next to them."""
-    shared = counted.rows.sparkSession.sparkContext.broadcast(means)
+    shared = counted.rows.sparkSession.sparkContext.broadcast(turned_centres(means))
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(languages) * STEPS, np.int64)
         for batch in batches:
@@ -344,19 +391,21 @@ def limits(starts: DataFrame, model: Centroids) -> np.ndarray:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the nearest cosines of every language to the beginnings of every document."""
         m, n = shared.value, np.zeros(size, np.int64)
-        turned = np.ascontiguousarray(m.vectors.T)
+        turned = np.ascontiguousarray(m.vectors.T, np.float64)
+        starts = np.searchsorted(m.owner, np.arange(len(m.languages)))  # every language has centroids
         for batch in pieces(batches, 64):
+            found = []
             for lang, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = m.languages.index(lang)
                 if len(start) < LENGTHS[0] // 2:
                     continue
-                levels, counts = cut_counts(start)
-                row, place = np.divmod(np.flatnonzero(counts), BINS)
-                v = np.log1p(counts[row, place]) * m.idf[place]
-                first = np.searchsorted(row, np.arange(len(levels)))
-                cosines = np.add.reduceat(v[:, None] * turned[place], first) / np.sqrt(np.add.reduceat(v * v, first))[:, None]
-                for k in range(len(m.languages)):
-                    np.add.at(n, (k, levels, int(own == k), step(cosines[:, m.owner == k].max(axis=1))), 1)
+                used, counts = cut_counts(start)
+                v = np.log1p(counts) * m.idf[used]
+                cosines = v @ turned[used] / np.sqrt((v * v).sum(axis=1))[:, None]
+                best = step(np.maximum.reduceat(cosines, starts, axis=1))
+                own = (np.arange(size[0]) == m.languages.index(lang)).astype(np.int64)
+                found.append((best + STEPS * (own + 2 * (np.arange(len(best))[:, None] + size[1] * np.arange(size[0])))).ravel())
+            if found:
+                np.add.at(n.reshape(-1), np.concatenate(found), 1)
         k, level, own, at = np.nonzero(n)
         yield pa.RecordBatch.from_pydict({"k": k, "level": level, "own": own.astype(bool), "bin": at, "n": n[n > 0]})
 
