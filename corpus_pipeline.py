@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import decontaminate, exact_dedup, language, packing, simhash
 from tidepanel.llm.common import table
 from tidepanel.llm.queries import tokenizer_path
-from tidepanel.session import stage
+from tidepanel.session import small_batches, stage
+
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +40,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def in_small_batches(step: Step) -> Step:
+    """Every step passes whole texts through Python workers, which stay from step to step."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
+
 STAGES = [
-    ("language", known_language),
-    ("exact_dedup", without_copies),
-    ("near_dedup", without_near_copies),
-    ("decontamination", without_benchmark),
-    ("packing", packed),
+    ("language", in_small_batches(known_language)),
+    ("exact_dedup", in_small_batches(without_copies)),
+    ("near_dedup", in_small_batches(without_near_copies)),
+    ("decontamination", in_small_batches(without_benchmark)),
+    ("packing", in_small_batches(packed)),
 ]
 
 # clustering, fingerprints and tokenizers have no SQL form

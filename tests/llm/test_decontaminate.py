@@ -88,3 +88,12 @@ def test_several_automata_leave_columns_of_any_name_alone(spark, monkeypatch):
     parts = decontaminate.decontaminate(docs, items, max_coverage=0.5)
     assert parts.columns == docs.columns and sorted(parts.collect(), key=str) == sorted(whole, key=str)
     assert 0 < len(whole) < docs.count()
+
+
+def test_kept_texts_are_sent_to_the_workers_once(spark):
+    docs = docs_frame(spark, ["clean text", PASSAGE])
+    found, _ = decontaminate.with_hits(docs, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"), docs.columns)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    sent = plan[plan.index("MapInArrow") :].split("\n")[1]
+    assert sent.count("text#") == 1 and "_text" not in sent
+    assert sorted((x.doc_id, x.text, len(x[-1])) for x in found.collect()) == [(0, "clean text", 0), (1, PASSAGE, 1)]

@@ -74,3 +74,17 @@ def test_queries_equal_their_sql(spark, name):
     want = con.execute(ORACLES[name])
     got = QUERIES[name](spark, SMALL).select([c[0] for c in want.description])
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+@pytest.mark.parametrize(("before", "after"), [("10000", "1024"), ("0", "1024"), ("100", "100")])
+def test_stages_hand_over_small_batches(spark, before, after):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for k, (_, step) in enumerate(corpus_pipeline.STAGES):
+            spark.conf.set(name, before)
+            with pytest.raises(AttributeError):  # no documents: the step fails once it has set up its session
+                step(spark, None, SMALL)
+            assert spark.conf.get(name) == after, k
+    finally:
+        spark.conf.set(name, old)

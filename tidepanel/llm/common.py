@@ -61,6 +61,15 @@ def fresh_name(taken: list[str], wish: str) -> str:
     return wish
 
 
+def with_text(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns of ``keep`` and the text, with the text's place. A text that is kept is
+    not sent a second time: texts are nearly all of what a batch takes in memory."""
+    columns = [F.col(f"`{c}`") for c in keep]
+    if text_col in keep:
+        return docs.select(*columns), keep.index(text_col)
+    return docs.select(*columns, F.col(f"`{text_col}`").alias(fresh_name(keep, "_text"))), len(keep)
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows with a number each, as a written table, and the number's column: rows can
     be told apart although their ids are null or repeat. Numbers keep no order."""

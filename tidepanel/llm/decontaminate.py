@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import bounded, fresh_name, numbered, utf8_of
+from tidepanel.llm.common import bounded, fresh_name, numbered, utf8_of, with_text
 from tidepanel.session import stage
 
 WINDOW = 10
@@ -202,13 +202,13 @@ def _scan(rows: DataFrame, text_col: str, keep: list[str], names: tuple[str, str
     """The kept columns with words, spans and items of each row, so named, in one pass."""
     shared = rows.sparkSession.sparkContext.broadcast(automaton)
     kept = rows.select(*[F.col(f"`{c}`") for c in keep])
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh_name(keep, "_text")))
+    rows, spot = with_text(rows, keep, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        for batch in bounded(batches, len(keep)):
+        for batch in bounded(batches, spot):
             n, spans, items = [], [], []
-            for text in utf8_of(batch.column(len(keep))):
+            for text in utf8_of(batch.column(spot)):
                 words = words_of(text)
                 found, hit = automaton.scan(words)
                 n.append(len(words))

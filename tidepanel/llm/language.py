@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import bounded, crc_of_id, fresh_name, pieces
+from tidepanel.llm.common import bounded, crc_of_id, fresh_name, pieces, with_text
 from tidepanel.llm.exact_dedup import among, route_bitmap
 from tidepanel.session import stage
 
@@ -430,11 +430,11 @@ def identify(docs: DataFrame, model: Centroids, keep: list[str], text_col: str =
     """The columns of ``keep`` with language, score and whether it is rejected, so named."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh_name(keep, "_text")))
+    rows, spot = with_text(docs, keep, text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, len(keep), rows=256):
-            lang, score, rejected = shared.value.predict(batch.column(len(keep)).to_pylist())
+        for batch in bounded(batches, spot, rows=256):
+            lang, score, rejected = shared.value.predict(batch.column(spot).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                 [*keep, *names],
