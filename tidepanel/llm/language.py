@@ -54,6 +54,8 @@ LENGTHS = (16, 32, 64, 128, 256, 512, 1024, 2048)
 SURE = 0.05
 
 _GAP = re.compile(r"[\W\d_]+")
+# Latin-1 in lower case, a space for what stands between words.
+_LATIN = bytes(32 if _GAP.match(chr(i)) else ord(chr(i).lower()) for i in range(256))
 _MIX = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 
 
@@ -61,7 +63,10 @@ def letters(text: str | None) -> str:
     """Lower-case words with single spaces around them; empty if there is no letter."""
     if not text:
         return ""
-    words = _GAP.sub(" ", text.lower()).strip()
+    try:
+        words = b" ".join(text.encode("latin-1").translate(_LATIN).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        words = _GAP.sub(" ", text.lower()).strip()
     return f" {words} " if any(c.isalpha() for c in words) else ""
 
 
@@ -70,21 +75,28 @@ def level(words: str) -> int:
     return int(np.searchsorted(LENGTHS, len(words), side="right"))
 
 
-def bin_of(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint32(15))) * _MIX[1]) >> np.uint32(32 - 13)
+def bins_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """The bins of grams with these hashes, one array's after another's."""
+    h = np.concatenate(hashes)
+    h ^= h >> np.uint32(15)
+    h *= _MIX[1]
+    h >>= np.uint32(32 - 13)
+    return h.astype(np.int64)
 
 
-def gram_bins(words: str) -> tuple[np.ndarray, ...]:
-    """The bins of a text's one-, two- and three-letter grams, by where they start."""
-    c = np.frombuffer(words.encode("utf-32-le"), "<u4")
+def gram_hashes(c: np.ndarray) -> list[np.ndarray]:
+    """Hashes of a text's one-, two- and three-letter grams, by where they start."""
     one = c * _MIX[0]
     two = one[:-1] + c[1:] * _MIX[1]
-    three = two[:-1] + c[2:] * _MIX[2]
-    return tuple(map(bin_of, (one, two, three)))
+    return [one, two, two[:-1] + c[2:] * _MIX[2]]
+
+
+def code_points(words: str) -> np.ndarray:
+    return np.frombuffer(words.encode("utf-32-le"), "<u4")
 
 
 def gram_counts(words: str) -> np.ndarray:
-    return np.bincount(np.concatenate(gram_bins(words)), minlength=BINS)
+    return np.bincount(bins_of(gram_hashes(code_points(words))), minlength=BINS)
 
 
 # Places from which on a character is past the beginnings cut for each level, and by place the
@@ -98,30 +110,41 @@ def cut_counts(words: str) -> tuple[np.ndarray, np.ndarray]:
     the lengths at which levels start (texts under the first length have the limit of half of
     it) and closed by a space."""
     ends = _ENDS[_ENDS < len(words)]
-    inside = gram_bins(words)
-    c = np.frombuffer(words.encode("utf-32-le"), "<u4")
+    c = code_points(words)
+    inside = gram_hashes(c)
     last, space = c[ends - 1], np.full(len(ends), 32, np.uint32)
     closing = space * _MIX[0], last * _MIX[0] + space * _MIX[1], c[ends - 2] * _MIX[0] + last * _MIX[1] + space * _MIX[2]
-    bins = np.concatenate([*inside, bin_of(np.concatenate(closing))])
-    used = np.flatnonzero(np.bincount(bins, minlength=BINS))
+    bins = bins_of([*inside, *closing])
+    there = np.zeros(BINS, bool)
+    there[bins] = True
+    used = np.flatnonzero(there)
     spot = np.empty(BINS, np.int64)
     spot[used] = np.arange(len(used))
     spots = spot[bins]
     at = np.concatenate([_LEVEL_AT[k : k + len(h)] for k, h in enumerate(inside)])
     n = len(ends) * len(used)
     counts = np.bincount(at * len(used) + spots[: len(at)], minlength=n)[:n].reshape(-1, len(used)).cumsum(axis=0)
-    np.add.at(counts, (np.tile(np.arange(len(ends)), 3), spots[len(at) :]), 1)
+    np.add.at(counts.reshape(-1), np.tile(np.arange(len(ends)) * len(used), 3) + spots[len(at) :], 1)
     return used, counts
 
 
+_LOGS = np.log1p(np.arange(1 << 13))
+_LOGS_32 = np.log1p(np.arange(1 << 13), dtype=np.float32)
+
+
+def logs_of(counts: np.ndarray, table: np.ndarray = _LOGS) -> np.ndarray:
+    """Logarithms of one more than the counts; all but large ones are read off a table."""
+    return table.take(counts) if counts.max(initial=0) < len(table) else np.log1p(counts, dtype=table.dtype)
+
+
+def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The vector of a text with these counts."""
+    v = (logs_of(counts) * idf).astype(np.float32)
+    return v / np.maximum(np.sqrt((v * v).sum()), np.float32(1e-12))
+
+
 def weigh(counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """Vectors of texts with these counts; the few bins that are not 0 are worked out."""
-    v = np.zeros((len(counts), BINS), np.float32)
-    for row, c in zip(v, counts, strict=True):
-        used = np.flatnonzero(c)
-        row[used] = np.log1p(c[used]) * idf[used]
-    v /= np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
-    return v
+    return np.stack([vector(c, idf) for c in counts])
 
 
 @dataclass
@@ -138,7 +161,7 @@ class Centroids:
         some = [i for i, w in enumerate(words) if w]
         found, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if some and self.languages:
-            cosines = weigh([gram_counts(words[i]) for i in some], self.idf) @ self.vectors.T
+            cosines = np.stack([vector(gram_counts(words[i]), self.idf) for i in some]) @ self.vectors.T
             nearest = cosines.argmax(axis=1)
             best = np.stack([cosines[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
             likely = np.exp((best - best.max(axis=1, keepdims=True)) / SURE)
@@ -168,7 +191,7 @@ class Distinct:
                 hit = (bitmap[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
                 yield batch.filter(pa.array(~hit | same.is_null().to_numpy(zero_copy_only=False)))
 
-        return self.rows.mapInArrow(lambda batches: work(pieces(kept(batches), 512)), schema)
+        return self.rows.mapInArrow(lambda batches: work(pieces(kept(batches), 256)), schema)
 
 
 def distinct_of(counted: DataFrame) -> Distinct:
@@ -181,19 +204,23 @@ def distinct_of(counted: DataFrame) -> Distinct:
     return Distinct(rows.unionByName(copies), counted.sparkSession.sparkContext.broadcast((bits, bitmap)))
 
 
-_LOGS = np.log1p(np.arange(256), dtype=np.float32)
-# The places of the bits in each byte (the highest is 0), one byte's after another's.
-_IN_BYTE = np.nonzero(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1))[1]
-_BYTE_START = np.append(0, np.cumsum(np.bitwise_count(np.arange(255, dtype=np.uint8)), dtype=np.int64))
-
-
 def places_of_bits(packed: np.ndarray) -> np.ndarray:
     """Places of the bits that are set, from the bytes that have any."""
-    some = np.flatnonzero(packed)
-    held = packed[some]
-    n = np.bitwise_count(held).astype(np.int64)
-    first = np.cumsum(n) - n
-    return np.repeat(8 * some, n) + _IN_BYTE[np.arange(n.sum()) + np.repeat(_BYTE_START[held] - first, n)]
+    some = np.flatnonzero(packed != 0)
+    at = np.flatnonzero(np.unpackbits(packed[some]).view(bool))
+    return 8 * some[at >> 3] + (at & 7)
+
+
+# Least wide numbers come first.
+_COUNTS = "u1", "<u2", "<u4"
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return counts.astype(_COUNTS[np.searchsorted([1 << 8, 1 << 16], counts.max(), side="right")]).tobytes()
+
+
+def unpacked_counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // n}")
 
 
 def vectors_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,13 +230,10 @@ def vectors_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.n
     place = places_of_bits(bits.ravel()) & (BINS - 1)
     sizes = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     row = np.repeat(np.arange(batch.num_rows), sizes)
-    parts = [np.frombuffer(c, np.uint8 if len(c) == n else "<u4") for c, n in zip(batch.column("counts").to_pylist(), sizes.tolist(), strict=True)]
-    counts = np.concatenate(parts)
-    logs = _LOGS[np.minimum(counts, 255)]
-    many = np.flatnonzero(counts > 255)
-    logs[many] = np.log1p(counts[many], dtype=np.float32)
-    v = logs * idf.astype(np.float32)[place]
-    return row, place, v / np.sqrt(np.bincount(row, v * v)).astype(np.float32)[row]
+    counts = np.concatenate([unpacked_counts(c, n) for c, n in zip(batch.column("counts").to_pylist(), sizes.tolist(), strict=True)])
+    v = logs_of(counts, _LOGS_32) * idf.astype(np.float32)[place]
+    lengths = np.sqrt(np.add.reduceat(v * v, np.cumsum(sizes) - sizes, dtype=np.float64))
+    return row, place, v / np.repeat(lengths.astype(np.float32), sizes)
 
 
 def turned_centres(centres: np.ndarray) -> np.ndarray:
@@ -223,7 +247,7 @@ def own_cosines(batch: pa.RecordBatch, idf: np.ndarray, languages: list[str], tu
     row, place, v = vectors_of(batch, idf)
     own = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
     first = np.searchsorted(row, np.arange(len(own)))  # every document has letters
-    return (row, place, v), own, np.add.reduceat(v[:, None] * turned[own[row] * BINS + place], first)
+    return (row, place, v), own, np.add.reduceat(v[:, None] * turned.take(own[row] * BINS + place, axis=0), first)
 
 
 def centre_sums(counted: Distinct, idf: np.ndarray, languages: list[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,10 +378,10 @@ def fit(
             for text, lang in zip(*[batch.column(c).to_pylist() for c in range(2)], strict=True):
                 if words := letters(text):
                     counts = gram_counts(words)
-                    df += counts > 0
+                    there = counts > 0
+                    df += there
                     n += 1
-                    some = counts[counts > 0]
-                    out.append((lang, np.packbits(counts > 0).tobytes(), some.astype(np.uint8 if some.max() < 256 else "<u4").tobytes(), words[: LENGTHS[-1]]))
+                    out.append((lang, np.packbits(there).tobytes(), packed_counts(counts[there]), words[: LENGTHS[-1]]))
             if out:
                 lang, bits, counts, start = zip(*out, strict=True)
                 yield pa.RecordBatch.from_pydict(
@@ -394,18 +418,21 @@ def limits(starts: DataFrame, model: Centroids) -> np.ndarray:
         turned = np.ascontiguousarray(m.vectors.T, np.float64)
         starts = np.searchsorted(m.owner, np.arange(len(m.languages)))  # every language has centroids
         for batch in pieces(batches, 64):
-            found = []
+            owners, nearest = [], []
             for lang, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if len(start) < LENGTHS[0] // 2:
                     continue
                 used, counts = cut_counts(start)
-                v = np.log1p(counts) * m.idf[used]
+                v = logs_of(counts) * m.idf[used]
                 cosines = v @ turned[used] / np.sqrt((v * v).sum(axis=1))[:, None]
-                best = step(np.maximum.reduceat(cosines, starts, axis=1))
-                own = (np.arange(size[0]) == m.languages.index(lang)).astype(np.int64)
-                found.append((best + STEPS * (own + 2 * (np.arange(len(best))[:, None] + size[1] * np.arange(size[0])))).ravel())
-            if found:
-                np.add.at(n.reshape(-1), np.concatenate(found), 1)
+                nearest.append(np.maximum.reduceat(cosines, starts, axis=1))
+                owners.append(m.languages.index(lang))
+            if nearest:
+                held = [len(x) for x in nearest]
+                levels = np.concatenate([np.arange(k) for k in held])[:, None]
+                own = np.repeat(owners, held)[:, None] == np.arange(size[0])
+                at = step(np.concatenate(nearest)) + STEPS * (own + 2 * (levels + size[1] * np.arange(size[0])))
+                np.add.at(n.reshape(-1), at.ravel(), 1)
         k, level, own, at = np.nonzero(n)
         yield pa.RecordBatch.from_pydict({"k": k, "level": level, "own": own.astype(bool), "bin": at, "n": n[n > 0]})
 
