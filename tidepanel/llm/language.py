@@ -21,8 +21,10 @@ are left as they are.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -59,6 +61,19 @@ _LATIN = bytes(32 if _GAP.match(chr(i)) else ord(chr(i).lower()) for i in range(
 _MIX = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 
 
+def code_points(words: str) -> np.ndarray:
+    return np.frombuffer(words.encode("utf-32-le"), "<u4")
+
+
+@cache
+def gaps() -> np.ndarray:
+    """Whether a character stands between words, by code point."""
+    found = np.zeros(sys.maxunicode + 1, bool)
+    for run in _GAP.finditer("".join(map(chr, range(len(found))))):
+        found[slice(*run.span())] = True
+    return found
+
+
 def letters(text: str | None) -> str:
     """Lower-case words with single spaces around them; empty if there is no letter."""
     if not text:
@@ -66,7 +81,11 @@ def letters(text: str | None) -> str:
     try:
         words = b" ".join(text.encode("latin-1").translate(_LATIN).split()).decode("latin-1")
     except UnicodeEncodeError:
-        words = _GAP.sub(" ", text.lower()).strip()
+        c = code_points(text.lower())
+        gap = gaps()[c]
+        kept = ~gap
+        kept[1:] |= ~gap[:-1]  # and what follows a letter
+        words = np.where(gap, np.uint32(32), c)[kept].tobytes().decode("utf-32-le").strip()
     return f" {words} " if any(c.isalpha() for c in words) else ""
 
 
@@ -91,10 +110,6 @@ def gram_hashes(c: np.ndarray) -> list[np.ndarray]:
     return [one, two, two[:-1] + c[2:] * _MIX[2]]
 
 
-def code_points(words: str) -> np.ndarray:
-    return np.frombuffer(words.encode("utf-32-le"), "<u4")
-
-
 def gram_counts(words: str) -> np.ndarray:
     return np.bincount(bins_of(gram_hashes(code_points(words))), minlength=BINS)
 
