@@ -226,6 +226,43 @@ def test_wide_blocks_send_few_copies(spark):
     assert len(got) == 400 * 401 // 2 and got == want
 
 
+def test_values_of_a_universe_are_dealt_once(spark):
+    """Three times the assets send about three times the bytes to the pairs, not nine times."""
+
+    def sent(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return sent(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        children = plan.children()
+        below = sum(sent(children.apply(k)) for k in range(children.length()))
+        return below + (plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0)
+
+    def universe(p):
+        cells = spark.range(40 * p).select((F.col("id") % p).alias("asset"), F.expr(f"date_add(DATE'2020-01-01', int(id / {p}))").alias("date"), F.rand(7).alias("ret"))
+        ran = MO.universe_moments(cells, 41, 4)._jdf.queryExecution()
+        assert ran.toRdd().count() == 0
+        return sent(ran.executedPlan())
+
+    narrow, wide = universe(240), universe(720)
+    assert 240 * 40 * 4 < narrow and 2 * narrow < wide < 4.5 * narrow
+
+
+def test_tiles_of_few_values_and_assets_of_any_kind(spark, monkeypatch):
+    """Tiles end with their values as with their assets; rows without a date or an asset."""
+    rng = np.random.default_rng(5)
+    rows = [(f"S{k:02d}", dt.date(2020, 1, 1) + dt.timedelta(days=t), float(rng.normal(3, 1))) for k in range(30) for t in range(50) if rng.random() < 0.6]
+    df = spark.createDataFrame([*rows, (None, dt.date(2020, 1, 1), 1.0), (None, dt.date(2020, 1, 2), 2.0)], "asset STRING, date DATE, ret DOUBLE")
+    key = lambda m: (m.asset_a, m.asset_b)
+    want = sorted(MO.universe_moments(df, 2).collect(), key=key)
+    assert len(want) == 30 * 31 // 2 and all(m.asset_a <= m.asset_b for m in want)
+    monkeypatch.setattr(MO, "TILE_CELLS", 40)
+    stamped = df.withColumn("date", F.col("date").cast("timestamp"))
+    for x in (df, stamped):
+        got = sorted(MO.universe_moments(x, 2).collect(), key=key)
+        assert [(key(m), m.n) for m in got] == [(key(m), m.n) for m in want]
+        assert [(m.cov, m.corr) for m in got] == [(pytest.approx(m.cov), pytest.approx(m.corr)) for m in want]
+
+
 def test_book_rows_do_not_depend_on_the_path(spark):
     from tidepanel.operators import portfolio as PF
 
